@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
+from typing import ClassVar
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from respeval.functions import text as tx
@@ -17,33 +18,48 @@ GRADE_FLOORS = (("A", 4.5), ("B", 3.5), ("C", 2.5), ("D", 1.5))
 GRADES = ("A", "B", "C", "D", "F")
 
 
-@dataclass(frozen=True)
 class TextFeatures:
-    """What the heuristics need to know of a response; each field is a Column."""
-
-    text: Column
-    lowered: Column
-    words: Column
-    found: Column
-    listed: Column
-
-    @classmethod
-    def of(cls, text: Column) -> TextFeatures:
-        return cls(
-            text=text,
-            lowered=F.lower(text),
-            words=tx.lower_words(text),
-            found=tx.markers(text),
-            listed=tx.has_list_marker(text),
-        )
-
-    def columns(self) -> dict[str, Column]:
-        return {f"__{f.name}": getattr(self, f.name) for f in fields(self)}
-
-    @classmethod
-    def named(cls) -> TextFeatures:
-        """The features as columns that ``columns()`` has put into the table."""
-        return cls(*[F.col(f"__{f.name}") for f in fields(cls)])
+    """What the heuristics need to know of a response, each a Column.
+
+    ``used`` records which were asked for, so that only those are computed.
+    """
+
+    BUILDERS: ClassVar[dict[str, Callable[[Column], Column]]] = {
+        "text": lambda text: text,
+        "lowered": F.lower,
+        "words": tx.lower_words,
+        "found": tx.markers,
+        "listed": tx.has_list_marker,
+    }
+
+    def __init__(self) -> None:
+        self.used: set[str] = set()
+
+    def _feature(self, name: str) -> Column:
+        self.used.add(name)
+        return F.col(f"__{name}")
+
+    @property
+    def text(self) -> Column:
+        return self._feature("text")
+
+    @property
+    def lowered(self) -> Column:
+        return self._feature("lowered")
+
+    @property
+    def words(self) -> Column:
+        """Lower-case words."""
+        return self._feature("words")
+
+    @property
+    def found(self) -> Column:
+        """Marker phrases."""
+        return self._feature("found")
+
+    @property
+    def listed(self) -> Column:
+        return self._feature("listed")
 
     @property
     def n_words(self) -> Column:
@@ -56,6 +72,16 @@ class TextFeatures:
     def has(self, phrases: tuple[str, ...]) -> Column:
         return tx.has_marker(self.found, phrases)
 
+    def add_to(self, df: DataFrame, text: Column) -> DataFrame:
+        """Add the features used so far as columns, so each is computed once.
+
+        They come out of a generator of one row. The optimizer moves no filter through a
+        generator; through a projection, a filter on a score would take along a copy of every
+        regex behind it.
+        """
+        features = [self.BUILDERS[n](text).alias(f"__{n}") for n in sorted(self.used)]
+        return df.select("*", F.inline(F.array(F.struct(*features)))) if features else df
+
 
 def _points(condition: Column) -> Column:
     return condition.cast("int")

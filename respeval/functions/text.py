@@ -105,10 +105,14 @@ def count_markers(found: Column, phrases: tuple[str, ...]) -> Column:
 
 
 def has_list_marker(text: Column) -> Column:
-    """A digit before ``)``, a hyphen, a bullet, or "first"/"second" anywhere, even inside a word."""
-    return contains_any(F.lower(text), LIST_WORDS) | text.rlike(
-        r"(?iu)\p{Nd}\)|first|second"
-    )
+    """A digit before ``)``, a hyphen, a bullet, or "first"/"second" anywhere, even inside a word.
+
+    Plain substring searches come first; the regexes run only on texts that could match them.
+    """
+    numbered = text.contains(")") & text.rlike(r"\p{Nd}\)")
+    # Letters that fold to the ASCII letters of the list words but are not lowered to them.
+    folded = contains_any(text, ("ſ", "ı", "İ")) & text.rlike("(?iu)first|second")
+    return contains_any(F.lower(text), LIST_WORDS) | numbered | folded
 
 
 def unique_word_ratio(lowered_words: Column) -> Column:
@@ -119,10 +123,10 @@ def unique_word_ratio(lowered_words: Column) -> Column:
     )
 
 
-def contains_any(lowered_text: Column, phrases: tuple[str, ...]) -> Column:
+def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
     hit = F.lit(False)
     for phrase in phrases:
-        hit = hit | lowered_text.contains(phrase)
+        hit = hit | text.contains(phrase)
     return hit
 
 

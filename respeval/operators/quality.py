@@ -266,7 +266,7 @@ def quality_report_columns(
                 F.lit(n).alias("column"),
                 F.lit(kinds[n].simpleString()).alias("dtype"),
                 nulls.cast("bigint").alias("null_count"),
-                F.try_divide(nulls * 100.0, F.col("__total")).alias("null_percentage"),
+                (F.try_divide(nulls, F.col("__total")) * 100).alias("null_percentage"),
                 (F.col(f"__unique_{i}") if approximate else F.lit(None))
                 .cast("bigint")
                 .alias("unique_values"),

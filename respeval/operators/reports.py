@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 from respeval.functions.numbers import number_column
 from respeval.functions.sanitize import html_escape
 from respeval.functions.scores import DEFAULT_WEIGHTS
-from respeval.operators.running import exact_medians
+from respeval.operators.running import medians_of_counts
 from respeval.operators.scoring import present, prompt_text
+from respeval.sources.storage import write_and_read
 
 # The score that counts as a success on each scale, and the insight bands.
 SUCCESS_ON_ONE, SUCCESS_ON_FIVE = 0.7, 3.5
@@ -61,32 +62,48 @@ def insight_band(average: Column) -> Column:
 def executive_summary(df: DataFrame, approximate_median: bool = False) -> DataFrame:
     """One row: count, mean, median, standard deviation, success rate, and what to make of them.
 
-    The success rate is over all rows, also those without a score.
+    The success rate is over all rows, also those without a score. Equal scores are counted
+    first and the counts stored, so the table is read once; all else comes from the counts.
+    ``approximate_median`` takes a sketch instead and stores nothing.
     """
     name = _first_present(df, ("aggregated_score", "overall_score")) or df.columns[0]
-    score = _known(df, name)
+    scores = df.select(_known(df, name).alias("score"))
     if approximate_median:
-        median = F.percentile_approx(score, 0.5)
+        score, n = F.col("score"), F.lit(1)
+        mean, std = F.avg(score), F.stddev_samp(score)
+        middle = F.percentile_approx(score, 0.5)
     else:
-        one_column = df.select(F.lit(name).alias("column"), score.alias("value"))
-        median = exact_medians(one_column).select("median").scalar()
-    stats = df.agg(
-        F.count(F.lit(1)).alias("total_evaluations"),
-        F.avg(score).alias("mean"),
-        (median if approximate_median else F.lit(None).cast("double")).alias("middle"),
-        F.stddev_samp(score).alias("std"),
-        F.count_if(score >= SUCCESS_ON_ONE).alias("good_on_one"),
-        F.count_if(score >= SUCCESS_ON_FIVE).alias("good_on_five"),
+        counts = scores.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+        scores = write_and_read(counts, "scores")
+        score, n = F.col("score"), F.col("n")
+        known = F.sum(F.when(score.isNotNull(), n))
+        mean = F.try_divide(F.sum(score * n), known)
+        center = scores.agg(mean).scalar()
+        squares = F.sum(n * (score - center) * (score - center))
+        std = F.sqrt(F.try_divide(squares, F.nullif(known - 1, F.lit(0))))
+        columns = scores.select(F.lit(name).alias("column"), score.alias("value"), "n")
+        middle = medians_of_counts(columns).select("median").scalar()
+
+    def rows_where(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
+
+    stats = scores.agg(
+        rows_where(F.lit(True)).alias("total_evaluations"),
+        mean.alias("mean"),
+        (middle if approximate_median else F.lit(None).cast("double")).alias("middle"),
+        std.alias("std"),
+        rows_where(score >= SUCCESS_ON_ONE).alias("good_on_one"),
+        rows_where(score >= SUCCESS_ON_FIVE).alias("good_on_five"),
     )
     if not approximate_median:
-        stats = stats.withColumn("middle", median)
+        stats = stats.withColumn("middle", middle)
     on_one = {"aggregated_score": F.lit(True), "overall_score": F.lit(False)}.get(
         name, F.coalesce(F.col("mean") <= 1.0, F.lit(False))
     )
     factor = F.when(on_one, 5.0).otherwise(1.0)
     good = F.when(on_one, F.col("good_on_one")).otherwise(F.col("good_on_five"))
     summary = stats.select(
-        "total_evaluations",
+        F.col("total_evaluations").cast("bigint").alias("total_evaluations"),
         (F.col("mean") * factor).alias("average_score"),
         (F.col("middle") * factor).alias("median_score"),
         (F.col("std") * factor).alias("std_dev"),
@@ -207,24 +224,29 @@ def histogram(values: DataFrame, bins: int, value: str = "value") -> DataFrame:
     )
     step = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     edges = [F.col("lo") + F.lit(float(i)) * step for i in range(bins)] + [F.col("hi")]
-    # The number of inner edges at or below a value is its bin.
-    inner = ends.select(F.array(*edges[1:-1])).scalar()
-    bin_of = F.size(F.filter(F.col("inner"), lambda e: F.col("x") >= e))
-    counts = (
-        values.select(known.alias("x"), inner.alias("inner"))
-        .groupBy(F.when(F.col("x").isNotNull(), bin_of).alias("bin"))
-        .agg(F.count(F.lit(1)).alias("__n"))
+    # The edges are a scalar subquery, named once so that it is planned once. A value's bin is
+    # the number of inner edges at or below it.
+    placed = values.select(known.alias("x"), ends.select(F.array(*edges)).scalar().alias("edges"))
+    inner = F.slice("edges", 2, bins - 1)
+    bin_of = F.size(F.filter(inner, lambda e: F.col("x") >= e))
+    counts = placed.select(
+        "edges", F.when(F.col("x").isNotNull(), bin_of).alias("bin")
+    ).agg(
+        F.first("edges").alias("edges"),
+        *[F.count_if(F.col("bin") == i).alias(f"__{i}") for i in range(bins)],
     )
-    bounds = [
-        F.struct(F.lit(i).alias("bin"), edges[i].alias("low"), edges[i + 1].alias("high"))
+    unit = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
+    filled = counts.withColumn("edges", F.coalesce("edges", unit))
+    rows = [
+        F.struct(
+            F.lit(i).alias("bin"),
+            F.col("edges")[i].alias("low"),
+            F.col("edges")[i + 1].alias("high"),
+            F.col(f"__{i}").alias("count"),
+        )
         for i in range(bins)
     ]
-    # Both sides have a row per bin.
-    return (
-        ends.select(F.inline(F.array(*bounds)))
-        .join(F.broadcast(counts), "bin", "left")
-        .select("bin", "low", "high", F.coalesce("__n", F.lit(0)).alias("count"))
-    )
+    return filled.select(F.inline(F.array(*rows)))
 
 
 def accuracy_histogram(df: DataFrame, bins: int = 5) -> DataFrame:
@@ -245,6 +267,11 @@ def overall_histogram(df: DataFrame, bins: int = 10) -> DataFrame:
     return histogram(df.select(number_column(df, name).alias("value")), bins)
 
 
+def first_rows(df: DataFrame, order_by: Sequence[str], rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows a sample shows; taken from a raw table, only these need to be scored."""
+    return df.orderBy(*order_by).limit(rows)
+
+
 def report_sample(df: DataFrame, order_by: Sequence[str], rows: int = SAMPLE_ROWS) -> DataFrame:
     """The first rows of the report, HTML-escaped, in the order given.
 
@@ -266,8 +293,7 @@ def report_sample(df: DataFrame, order_by: Sequence[str], rows: int = SAMPLE_ROW
     cut = F.substring(html_escape(raw_prompt), 1, SAMPLE_PROMPT_CHARS)
     shown = F.when(F.length(raw_prompt) > SAMPLE_PROMPT_CHARS, F.concat(cut, F.lit("...")))
     return (
-        df.orderBy(*order_by)
-        .limit(rows)
+        first_rows(df, order_by, rows)
         .select(
             *present(df, *order_by),
             escaped("prompt_id").alias("sample_id"),

@@ -137,15 +137,17 @@ def budget_alerts(
 def exact_medians(values: DataFrame) -> DataFrame:
     """Exact interpolated median per column name of a table (column, value).
 
-    Nulls and NaN are left out. Equal values are counted before anything is ordered, so few
-    distinct values mean little data, and many are ordered over all tasks rather than gathered
-    in one.
+    Equal values are counted before anything is ordered, so few distinct values mean little data,
+    and many are ordered over all tasks rather than gathered in one.
     """
-    counts = (
-        values.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+    return medians_of_counts(
+        values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+def medians_of_counts(counts: DataFrame) -> DataFrame:
+    """Medians of a table (column, value, n) of counted values; nulls and NaN are left out."""
+    counts = counts.filter(F.col("value").isNotNull() & ~F.isnan("value"))
     ranked = running_sum(counts, ["value"], {"upto": "n"}, ["column"])
     # One row per column name: as short as a table is wide.
     sizes = ranked.groupBy("column").agg(F.max("upto").alias("size"))

@@ -191,16 +191,6 @@ def prompt_id(df: DataFrame) -> Column:
     return F.coalesce(*candidates) if candidates else F.lit(None).cast("string")
 
 
-def with_text_features(df: DataFrame, text: Column) -> DataFrame:
-    """Add the text features as columns, so each is computed once however often it is used.
-
-    They come out of a generator of one row. The optimizer moves no filter through a generator;
-    through a projection, a filter on a score would take along a copy of every regex behind it.
-    """
-    features = [c.alias(name) for name, c in TextFeatures.of(text).columns().items()]
-    return df.select("*", F.inline(F.array(F.struct(*features))))
-
-
 def score_columns(rubric: Rubric, f: TextFeatures) -> dict[str, Column]:
     """Per criterion ``score_<k>_raw`` and ``score_<k>_notes``."""
     out: dict[str, Column] = {}
@@ -221,10 +211,16 @@ def _normalized(criterion: Criterion) -> Column:
 
 def _scored(df: DataFrame, rubric: Rubric, defects: bool) -> tuple[DataFrame, dict[str, Column]]:
     """The table with ``__`` helper columns, and the report columns over it by name."""
-    f = TextFeatures.named()
-    featured = with_text_features(df, response_text(df))
+    f = TextFeatures()
     raws = score_columns(rubric, f)
-    scored = featured.select("*", *[c.alias(f"__{name}") for name, c in raws.items()])
+    codes = None
+    if defects:
+        keys = [c.key for c in rubric.criteria if c.key in SCORE_DEFECTS]
+        codes = defect_codes(f, {key: F.col(f"__norm_{key}") * 5.0 for key in keys})
+    response = f.text
+    scored = f.add_to(df, response_text(df)).select(
+        "*", *[c.alias(f"__{name}") for name, c in raws.items()]
+    )
     norms = {c.key: _normalized(c) for c in rubric.criteria}
     scored = scored.select("*", *[n.alias(f"__norm_{key}") for key, n in norms.items()])
 
@@ -241,7 +237,7 @@ def _scored(df: DataFrame, rubric: Rubric, defects: bool) -> tuple[DataFrame, di
         "prompt_id": prompt_id(df),
         "prompt_text": prompt_text(df),
         "model": df["model"] if "model" in df.columns else F.lit(None).cast("string"),
-        "response": f.text,
+        "response": response,
         "aggregated_score": F.col("__aggregated"),
         "overall_score": F.col("__aggregated") * 5.0,
     }
@@ -249,9 +245,8 @@ def _scored(df: DataFrame, rubric: Rubric, defects: bool) -> tuple[DataFrame, di
     for key in norms:
         norm = F.col(f"__norm_{key}")
         out |= {f"score_{key}": norm, key: norm * 5.0, f"{key}_score": norm * 5.0}
-    if defects:
-        on_five = {key: F.col(f"__norm_{key}") * 5.0 for key in norms if key in SCORE_DEFECTS}
-        out["defects"] = F.array_join(defect_codes(f, on_five), ",")
+    if codes is not None:
+        out["defects"] = F.array_join(codes, ",")
     return scored, out
 
 
@@ -269,9 +264,9 @@ def score_responses(df: DataFrame, rubric: Rubric | None = None, defects: bool =
 
 
 def with_category_score(df: DataFrame, category: str = "category") -> DataFrame:
-    featured = with_text_features(df, response_text(df))
-    chosen = category_score(TextFeatures.named(), F.col(category))
-    return featured.select(*df.columns, chosen.cast("int").alias("category_score"))
+    f = TextFeatures()
+    chosen = category_score(f, F.col(category)).cast("int")
+    return f.add_to(df, response_text(df)).select(*df.columns, chosen.alias("category_score"))
 
 
 def table_score(df: DataFrame, dimension: str) -> Column:
@@ -290,9 +285,8 @@ def table_score(df: DataFrame, dimension: str) -> Column:
 def detect_defects(df: DataFrame) -> DataFrame:
     """Add ``defects`` (array) to a table that already has response texts and scores."""
     scores = {k: table_score(df, k) for k in SCORE_DEFECTS}
-    featured = with_text_features(
-        df.select("*", *[c.alias(f"__s_{k}") for k, c in scores.items()]), response_text(df)
-    )
+    f = TextFeatures()
+    codes = defect_codes(f, {k: F.col(f"__s_{k}") for k in scores})
+    valued = df.select("*", *[c.alias(f"__s_{k}") for k, c in scores.items()])
     kept = [c for c in df.columns if c != "defects"]
-    codes = defect_codes(TextFeatures.named(), {k: F.col(f"__s_{k}") for k in scores})
-    return featured.select(*kept, codes.alias("defects"))
+    return f.add_to(valued, response_text(df)).select(*kept, codes.alias("defects"))

@@ -22,7 +22,6 @@ from respeval.operators.scoring import (
     response_text,
     score_responses,
     with_category_score,
-    with_text_features,
 )
 from respeval.operators.tables import ragged_union
 from respeval.plans import relations as rel
@@ -46,9 +45,10 @@ def r6(name: str) -> Column:
     return F.round(F.col(name), 6).alias(name)
 
 
-def _featured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, TextFeatures]:
+def _from_features(spark: SparkSession, sf_dir: str, f: TextFeatures, **columns: Column):
     base = rel.responses(spark, sf_dir)
-    return with_text_features(base, response_text(base)), TextFeatures.named()
+    named = [c.alias(name) for name, c in columns.items()]
+    return f.add_to(base, response_text(base)).select("prompt_id", *named)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,30 +105,33 @@ def scored_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    featured, f = _featured(spark, sf_dir)
-    return featured.select(
-        "prompt_id",
-        f.n_words.cast("bigint").alias("n_words"),
-        tx.count_markers(f.found, tx.LOGICAL).cast("bigint").alias("logical_count"),
-        f.has(tx.POSITIVE).alias("positive"),
-        f.has(tx.NEGATIVE).alias("negative"),
-        f.has(tx.POLITE).alias("polite"),
-        f.has(tx.UNCERTAIN).alias("uncertain"),
-        f.has(tx.ACCURACY_BONUS).alias("bonus"),
-        f.listed.alias("listed"),
+    f = TextFeatures()
+    return _from_features(
+        spark,
+        sf_dir,
+        f,
+        n_words=f.n_words.cast("bigint"),
+        logical_count=tx.count_markers(f.found, tx.LOGICAL).cast("bigint"),
+        positive=f.has(tx.POSITIVE),
+        negative=f.has(tx.NEGATIVE),
+        polite=f.has(tx.POLITE),
+        uncertain=f.has(tx.UNCERTAIN),
+        bonus=f.has(tx.ACCURACY_BONUS),
+        listed=f.listed,
     )
 
 
 def unique_word_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    featured, f = _featured(spark, sf_dir)
+    f = TextFeatures()
     ratio = F.round(tx.unique_word_ratio(f.words), 6)
-    return featured.select("prompt_id", ratio.alias("unique_word_ratio"))
+    return _from_features(spark, sf_dir, f, unique_word_ratio=ratio)
 
 
 def _heuristic(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        featured, f = _featured(spark, sf_dir)
-        return featured.select("prompt_id", HEURISTICS[name](f).cast("bigint").alias(name))
+        f = TextFeatures()
+        score = HEURISTICS[name](f).cast("bigint")
+        return _from_features(spark, sf_dir, f, **{name: score})
 
     return query
 
@@ -169,7 +172,7 @@ def _rule(rule: str, **params):
 def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = {"json_key": "k", "min_val": 0, "max_val": 100}
     rubric = Rubric((Criterion("judge", 1.0, "judge", params),))
-    table = rel.derive(rel.load(spark, sf_dir, "events"), rel.JUDGE_TEXTS)
+    table = rel.derive(rel.spread(rel.load(spark, sf_dir, "events")), rel.JUDGE_TEXTS)
     scored = score_responses(table, rubric, defects=False)
     return scored.select(
         "event_id", r6("score_judge"), r6("score_judge_raw"), "score_judge_notes"
@@ -267,8 +270,9 @@ def request_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = rel.derive(rel.spread(rel.load(spark, sf_dir, "pages")), rel.PAGE_RESPONSES)
-    return reports.report_sample(score_responses(pages), ["seq"]).select(
+    pages = rel.derive(rel.load(spark, sf_dir, "pages"), rel.PAGE_RESPONSES)
+    shown = score_responses(reports.first_rows(pages, ["seq"]))
+    return reports.report_sample(shown, ["seq"]).select(
         "seq", "sample_id", "prompt", "model", r6("score"), "defects"
     )
 
@@ -414,7 +418,7 @@ def _column_view(report: DataFrame) -> DataFrame:
 
 
 def quality_report_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _column_view(quality.quality_report_columns(rel.load(spark, sf_dir, "lineitem")))
+    return _column_view(quality.quality_report_columns(rel.spread(rel.load(spark, sf_dir, "lineitem"))))
 
 
 def quality_report_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,8 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/respeval/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, below a folder of this application.
+
+    Lazy tables read these files later, so they stay until the application's folder is removed.
+    """
+    run = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/respeval/{run}/{name}-{uuid.uuid4().hex}"
 
 
 def write_and_read(df: DataFrame, name: str) -> DataFrame:

@@ -165,7 +165,7 @@ def budget_sink(
             .filter(F.col("alert").isNotNull())
         )
         alerts.write.mode("overwrite").parquet(f"{path}/alerts/batch_id={batch_id}")
-        in_batch = batch.groupBy(run).agg(F.sum("cost").alias("spent"))
+        in_batch = running.groupBy(run).agg(F.sum("cost").alias("spent"))
         now = before.select(run, "spent").unionByName(in_batch)
         now.groupBy(run).agg(F.sum("spent").alias("spent")).write.mode("overwrite").parquet(
             f"{path}/spent/batch_id={batch_id}"
