@@ -24,11 +24,10 @@ class TextFeatures:
     ``used`` records which were asked for, so that only those are computed.
     """
 
-    BUILDERS: ClassVar[dict[str, Callable[[Column], Column]]] = {
-        "text": lambda text: text,
-        "lowered": F.lower,
+    # Built from the text and its lower-case form.
+    BUILDERS: ClassVar[dict[str, Callable[[Column, Column], Column]]] = {
         "words": tx.lower_words,
-        "found": tx.markers,
+        "found": lambda text, _: tx.markers(text),
         "listed": tx.has_list_marker,
     }
 
@@ -79,8 +78,14 @@ class TextFeatures:
         generator; through a projection, a filter on a score would take along a copy of every
         regex behind it.
         """
-        features = [self.BUILDERS[n](text).alias(f"__{n}") for n in sorted(self.used)]
-        return df.select("*", F.inline(F.array(F.struct(*features)))) if features else df
+        base = df.select("*", text.alias("__text"))
+        base = base.select("*", F.lower("__text").alias("__lowered"))
+        features = [
+            build(F.col("__text"), F.col("__lowered")).alias(f"__{name}")
+            for name, build in self.BUILDERS.items()
+            if name in self.used
+        ]
+        return base.select("*", F.inline(F.array(F.struct(*features)))) if features else base
 
 
 def _points(condition: Column) -> Column:

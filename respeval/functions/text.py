@@ -56,8 +56,9 @@ def words(text: Column) -> Column:
     return F.array_remove(_split_on_space(text, text), "")
 
 
-def lower_words(text: Column) -> Column:
-    return F.array_remove(_split_on_space(F.lower(text), text), "")
+def lower_words(text: Column, lowered: Column) -> Column:
+    """The words of the lower-case form of a text, given both."""
+    return F.array_remove(_split_on_space(lowered, text), "")
 
 
 def word_count(text: Column) -> Column:
@@ -104,7 +105,7 @@ def count_markers(found: Column, phrases: tuple[str, ...]) -> Column:
     return F.size(F.filter(found, lambda m: m.isin(*phrases)))
 
 
-def has_list_marker(text: Column) -> Column:
+def has_list_marker(text: Column, lowered: Column) -> Column:
     """A digit before ``)``, a hyphen, a bullet, or "first"/"second" anywhere, even inside a word.
 
     Plain substring searches come first; the regexes run only on texts that could match them.
@@ -112,7 +113,7 @@ def has_list_marker(text: Column) -> Column:
     numbered = text.contains(")") & text.rlike(r"\p{Nd}\)")
     # Letters that fold to the ASCII letters of the list words but are not lowered to them.
     folded = contains_any(text, ("ſ", "ı", "İ")) & text.rlike("(?iu)first|second")
-    return contains_any(F.lower(text), LIST_WORDS) | numbered | folded
+    return contains_any(lowered, LIST_WORDS) | numbered | folded
 
 
 def unique_word_ratio(lowered_words: Column) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from respeval.functions.numbers import round_binary
 from respeval.functions.scores import GRADES, expected_grade
 from respeval.functions.text import strip
-from respeval.operators.running import exact_medians
+from respeval.operators.running import medians_of_counts
+from respeval.sources.storage import write_and_read
 
 # The columns each kind of table must have, and the range of scores.
 REQUIRED_COLUMNS = {
@@ -210,17 +211,30 @@ def quality_report_table(df: DataFrame) -> DataFrame:
     )
 
 
-def _distinct_key(df: DataFrame, name: str) -> Column:
-    """The value as a short string, null if missing; equal values give equal strings."""
-    kind = df.schema[name].dataType
+# Whole numbers up to this size are exact as doubles.
+_EXACT_WHOLE = 2**53
+
+
+def _cell(df: DataFrame, name: str) -> tuple[Column, Column]:
+    """A value as (number, short string) that is equal for equal values and null if missing.
+
+    Numbers that a double holds exactly need no string.
+    """
+    kind, c = df.schema[name].dataType, df[name]
+    no_number, no_key = F.lit(None).cast("double"), F.lit(None).cast("string")
     if _is_string(kind):
-        return grouping_key(df, name)
+        return no_number, grouping_key(df, name)
     if _is_float(kind):
         # Adding zero turns -0.0 into 0.0.
-        return F.when(~F.isnan(df[name]), (df[name] + F.lit(0.0)).cast("string"))
+        return F.when(~F.isnan(c), c.cast("double") + F.lit(0.0)), no_key
+    if isinstance(kind, (T.LongType, T.DecimalType)):
+        exact = F.lit(False) if isinstance(kind, T.DecimalType) else F.abs(c) <= _EXACT_WHOLE
+        return c.cast("double"), F.when(~exact, c.cast("string"))
+    if isinstance(kind, T.NumericType):
+        return c.cast("double"), no_key
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return F.when(df[name].isNotNull(), F.sha2(F.to_json(F.struct(df[name])), 256))
-    return df[name].cast("string")
+        return no_number, F.when(c.isNotNull(), F.sha2(F.to_json(F.struct(c)), 256))
+    return no_number, c.cast("string")
 
 
 def quality_report_columns(
@@ -229,7 +243,7 @@ def quality_report_columns(
     """Per column: type, nulls, distinct values, and for numbers mean, median, std, min, max.
 
     Counts and moments come from one aggregate over the table. Distinct values and medians need
-    the values themselves: they are counted per (column, value) before they move.
+    the values themselves: they are counted per (column, value) before they move, once for both.
     ``approximate=True`` takes sketches for both instead, which leaves a single pass.
     """
     names = list(columns or df.columns)
@@ -251,7 +265,8 @@ def quality_report_columns(
             if approximate:
                 aggregates.append(F.percentile_approx(known(n), 0.5).alias(f"__median_{i}"))
         if approximate:
-            aggregates.append(F.approx_count_distinct(_distinct_key(df, n)).alias(f"__unique_{i}"))
+            either = F.coalesce(*[part.cast("string") for part in reversed(_cell(df, n))])
+            aggregates.append(F.approx_count_distinct(either).alias(f"__unique_{i}"))
     wide = df.agg(*aggregates)
 
     def stat(i: int, label: str, available: bool) -> Column:
@@ -263,6 +278,7 @@ def quality_report_columns(
         nulls = F.col(f"__nulls_{i}")
         rows.append(
             F.struct(
+                F.lit(i).alias("place"),
                 F.lit(n).alias("column"),
                 F.lit(kinds[n].simpleString()).alias("dtype"),
                 nulls.cast("bigint").alias("null_count"),
@@ -281,41 +297,34 @@ def quality_report_columns(
         "null_percentage", round_binary(F.col("null_percentage"), 2)
     )
     if approximate:
-        return report
-
-    cells = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(n).alias("column"), _distinct_key(df, n).alias("key"))
-                    for n in names
-                ]
-            )
-        ).alias("cell")
-    ).select("cell.*")
-    distinct = (
-        cells.filter(F.col("key").isNotNull())
-        .groupBy("column", "key")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("column")
-        .agg(F.count(F.lit(1)).alias("__unique"))
+        return report.drop("place")
+
+    cells = []
+    for i, n in enumerate(names):
+        number, key = _cell(df, n)
+        cells.append(
+            F.struct(F.lit(i).alias("place"), number.alias("number"), key.alias("key"))
+        )
+    counts = write_and_read(
+        df.select(F.explode(F.array(*cells)).alias("cell"))
+        .select("cell.*")
+        .filter(F.col("number").isNotNull() | F.col("key").isNotNull())
+        .groupBy("place", "number", "key")
+        .agg(F.count(F.lit(1)).alias("n")),
+        "cells",
+    )
+    distinct = counts.groupBy("place").agg(F.count(F.lit(1)).alias("__unique"))
+    numbers = counts.select(F.col("place").alias("column"), F.col("number").alias("value"), "n")
+    medians = medians_of_counts(numbers).select(
+        F.col("column").alias("place"), F.col("median").alias("__median")
     )
     # Both lookups have one row per column of the table.
-    report = report.join(F.broadcast(distinct), "column", "left").withColumn(
-        "unique_values", F.coalesce("__unique", F.lit(0)).cast("bigint")
+    report = (
+        report.join(F.broadcast(distinct), "place", "left")
+        .join(F.broadcast(medians), "place", "left")
+        .withColumn("unique_values", F.coalesce("__unique", F.lit(0)).cast("bigint"))
+        .withColumn("median", F.col("__median"))
     )
-    if numeric:
-        values = df.select(
-            F.explode(
-                F.array(
-                    *[F.struct(F.lit(n).alias("column"), known(n).alias("value")) for n in numeric]
-                )
-            ).alias("cell")
-        ).select("cell.*")
-        medians = exact_medians(values).withColumnRenamed("median", "__median")
-        report = report.join(F.broadcast(medians), "column", "left").withColumn(
-            "median", F.col("__median")
-        )
     return report.select(
         "column", "dtype", "null_count", "null_percentage", "unique_values",
         "mean", "median", "std", "min", "max",

@@ -28,9 +28,9 @@ def request_rate(
         .agg(F.count(F.lit(1)).alias("requests"))
         .withColumn("__at", micros)
     )
-    minute = F.floor(F.col("__at") / MINUTE)
-    placed = instants.withColumn("__own", minute).withColumn(
-        "__minute", F.explode(F.array(F.col("__own"), F.col("__own") + 1))
+    own = F.col("__at") - F.pmod(F.col("__at"), F.lit(MINUTE))
+    placed = instants.withColumn("__own", own).withColumn(
+        "__minute", F.explode(F.array(F.col("__own"), F.col("__own") + MINUTE))
     )
     trailing = (
         Window.partitionBy(*keys, "__minute").orderBy("__at").rangeBetween(-(MINUTE - 1), 0)

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from respeval.operators import reports
-from respeval.operators.costs import row_cost
-from respeval.operators.execute import execute_prompts, filter_success
+from respeval.operators.costs import cost_by_model, cost_summary, row_cost
+from respeval.operators.execute import (
+    error_stats,
+    execute_prompts,
+    failed_requests,
+    filter_success,
+)
 from respeval.operators.regression import regression_report, run_verdict
 from respeval.operators.scoring import Rubric, score_responses
 from respeval.sources.prompts import load_prompts
@@ -20,21 +27,42 @@ def score_results(results: DataFrame, rubric: Rubric | None = None) -> DataFrame
     return row_cost(score_responses(filter_success(results), rubric))
 
 
-def write_reports(scored: DataFrame, path: str) -> dict[str, str]:
-    """Write every report table of a scored table; returns name -> path."""
-    tables = {
-        "statistics": reports.report_statistics(scored),
-        "executive_summary": reports.executive_summary(scored),
-        "dimension_averages": reports.dimension_averages(scored),
-        "accuracy_histogram": reports.accuracy_histogram(scored),
-        "overall_histogram": reports.overall_histogram(scored),
+def track_execution(results: DataFrame, budget_limit: float | None = None) -> dict[str, DataFrame]:
+    """What became of an executed batch: its summary, cost and failures as tables."""
+    failed = failed_requests(results)
+    usage = row_cost(filter_success(results))
+    return {
+        "summary": reports.execution_summary(results),
+        "costs": cost_summary(usage, budget_limit),
+        "cost_by_model": cost_by_model(usage),
+        "failed": failed,
+        "errors": error_stats(failed),
     }
-    if "defects" in scored.columns:
-        tables["defect_summary"] = reports.defect_summary(scored)
+
+
+REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "statistics": reports.report_statistics,
+    "executive_summary": reports.executive_summary,
+    "dimension_averages": reports.dimension_averages,
+    "accuracy_histogram": reports.accuracy_histogram,
+    "overall_histogram": reports.overall_histogram,
+    "defect_summary": reports.defect_summary,
+}
+
+
+def write_reports(scored: DataFrame, path: str) -> dict[str, str]:
+    """Write the report tables of a scored table; returns name -> path of those that worked.
+
+    A report that fails, for example for want of its column, does not stop the others.
+    """
     written = {}
-    for name, table in tables.items():
-        save_report(table, f"{path}/{name}", "json")
-        written[name] = f"{path}/{name}"
+    for name, build in REPORTS.items():
+        try:
+            save_report(build(scored), f"{path}/{name}", "json")
+        except (PySparkException, ValueError, IndexError) as e:
+            warnings.warn(f"report {name} failed: {e}", stacklevel=2)
+        else:
+            written[name] = f"{path}/{name}"
     return written
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,15 +122,6 @@ def read_latest(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return stored.filter(F.col("batch_id") == last).select(*like.columns)
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-
-
 def budget_sink(
     path: str,
     limit: float,
@@ -148,11 +138,11 @@ def budget_sink(
     check_limit(limit)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
         running = cumulative_cost(batch, order_by, [run])
-        before = _stored(session, f"{path}/spent/batch_id={batch_id - 1}")
-        if before is None:
+        if batch_id == 0:
             before = batch.select(run).limit(0).withColumn("spent", F.lit(0.0))
+        else:
+            before = batch.sparkSession.read.parquet(f"{path}/spent/batch_id={batch_id - 1}")
         carried = before.select(F.col(run).alias("__run"), F.col("spent").alias("__spent"))
         spent = running.join(carried, F.col(run).eqNullSafe(F.col("__run")), "left")
         total = F.col("cumulative_cost") + F.coalesce("__spent", F.lit(0.0))

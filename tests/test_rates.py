@@ -1,0 +1,40 @@
+from __future__ import annotations
+
+import datetime
+import random
+
+import pytest
+
+from respeval.operators.rates import request_rate
+
+EPOCH = datetime.datetime(1969, 12, 31, 23, 58)
+
+
+def test_brute_force(table):
+    """Dense traffic, ties, both sides of 1970, one key with most requests."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(1500):
+        key = rng.choice(["hot", "hot", "hot", "b"])
+        micros = rng.randrange(300_000_000)
+        rows.append((key, EPOCH + datetime.timedelta(microseconds=micros - micros % 250_000)))
+    got = request_rate(table(rows, "k string, ts timestamp_ntz"), "ts", ["k"], 50).collect()
+    minute = datetime.timedelta(minutes=1)
+    expected = {
+        (k, t): sum(1 for k2, t2 in rows if k2 == k and t - minute < t2 <= t) for k, t in set(rows)
+    }
+    assert {(r.k, r.ts): r.calls_last_minute for r in got} == expected
+    assert sum(r.requests for r in got) == len(rows)
+    assert all(r.utilization_percent == r.calls_last_minute / 50 * 100 for r in got)
+
+
+def test_without_key(table):
+    rows = [(EPOCH,), (EPOCH + datetime.timedelta(seconds=59, microseconds=999_999),),
+            (EPOCH + datetime.timedelta(seconds=60),)]
+    got = request_rate(table(rows, "ts timestamp"), "ts").orderBy("ts").collect()
+    assert [r.calls_last_minute for r in got] == [1, 2, 2]
+
+
+def test_bad_limit(table):
+    with pytest.raises(ValueError):
+        request_rate(table([(EPOCH,)], "ts timestamp"), "ts", calls_per_minute=0)

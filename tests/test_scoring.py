@@ -1,0 +1,197 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from respeval.functions.scores import expected_grade, judge_score
+from respeval.operators.scoring import (
+    CRITERION_TYPES,
+    Criterion,
+    RULES,
+    Rubric,
+    detect_defects,
+    prompt_id,
+    register_criterion_type,
+    register_rule,
+    score_responses,
+    score_table,
+    with_category_score,
+)
+
+
+def rule(rule_name: str, **params) -> Rubric:
+    return Rubric((Criterion("check", 1.0, "rule", {"rule": rule_name, **params}),))
+
+
+def score(table, one, text: str, rubric: Rubric) -> dict:
+    return one(score_responses(table([(text,)], "response string"), rubric))
+
+
+@pytest.mark.parametrize(
+    ("text", "rubric", "value", "note"),
+    [
+        ("Python is great", rule("contains_terms", terms=["AI", "ML"]), 0.0, "matched 0/2 terms"),
+        ("PYTHON is", rule("contains_terms", terms=["python"]), 1.0, "matched 1/1 terms"),
+        ("ab", rule("contains_terms", terms=["a", "b", "c"], min_match=2), 1.0,
+         "matched 2/3 terms"),
+        ("ab", rule("contains_terms", terms="ab"), 0.0,
+         "exception during scoring: params['terms'] must be a list"),
+        ("on Mars", rule("mentions_entity", entity="mars"), 1.0, "entity 'mars' present"),
+        ("on Mars", rule("mentions_entity"), 0.0, "entity 'None' absent"),
+        ("a b c d e", rule("length_within", max_len=5), 1.0, "length 5 words"),
+        ("a b c d e f", rule("length_within", max_len=5), 0.0, "length 6 words"),
+        ("a", rule("length_within"), 1.0, "length 1 words"),
+        ("a", rule("no_such_rule"), 0.0, "using heuristic for rule: no_such_rule"),
+        ("", rule("length_within"), 0.0, "no response_text"),
+        ("a", Rubric((Criterion("check", 1.0, "magic"),)), 0.0,
+         "unsupported criterion type: magic"),
+        ("a", Rubric((Criterion("check", 1.0, "judge", {"min_val": "low"}),)), 0.0,
+         "exception during scoring: could not convert string to float: 'low'"),
+    ],
+)
+def test_criteria(table, one, text, rubric, value, note):
+    row = score(table, one, text, rubric)
+    assert (row["score_check"], row["score_check_notes"]) == (value, note)
+
+
+@pytest.mark.parametrize(
+    ("text", "params", "value", "note"),
+    [
+        ("The score is 5", {"min_val": 1, "max_val": 10}, 4 / 9, "parsed last numeric"),
+        ('{"score": 0.8}', {"json_key": "score", "min_val": 0, "max_val": 1}, 0.8,
+         "json key 'score' parsed"),
+        ('ok ```json\n{"s": 3}\n``` 9', {"json_key": "s"}, 0.6, "json key 's' parsed"),
+        ('ok ``` {"s": "4"} ```', {"json_key": "s"}, 0.8, "json key 's' parsed"),
+        ('{"s": true}', {"json_key": "s"}, 1.0, "json key 's' parsed"),
+        ('{"s": "true"}', {"json_key": "s"}, None, "no numeric found"),
+        ('{"s": null, "t": 7}', {"json_key": "s"}, 0.7, "parsed last numeric"),
+        ('{"s": {"a": 2}}', {"json_key": "s"}, 0.4, "parsed last numeric"),
+        ('{"s": 3, "s": 4}', {"json_key": "s"}, 0.8, "json key 's' parsed"),
+        ('{"s": 4} and 2', {"json_key": "s"}, 0.4, "parsed last numeric"),
+        ('{"s": 4}], [{"s": 2}', {"json_key": "s"}, 0.4, "parsed last numeric"),
+        ('{"s": 4}}, {"x": {"s": 2}', {"json_key": "s"}, 0.4, "parsed last numeric"),
+        ("{'s': 3}", {"json_key": "s"}, 0.6, "parsed last numeric"),
+        ('[{"s": 3}]', {"json_key": "s"}, 0.6, "parsed last numeric"),
+        ('{"a`b": 3}', {"json_key": "a`b"}, 0.6, "json key 'a`b' parsed"),
+        ("-5", {}, 1.0, "parsed last numeric"),
+        ("-.5", {}, 0.0, "parsed last numeric"),
+        ("1.5.2", {}, 0.2, "parsed last numeric"),
+        ("٣", {}, 0.6, "parsed last numeric"),
+        ("none", {}, None, "no numeric found"),
+        ("", {}, None, "no response_text"),
+    ],
+)
+def test_judge(table, one, text, params, value, note):
+    s, n = judge_score(F.col("t"), **params)
+    row = one(table([(text,)], "t string").select(s.alias("s"), n.alias("n")))
+    assert (row["s"], row["n"]) == (pytest.approx(value) if value is not None else None, note)
+
+
+def test_empty_response_scores_one_in_each_dimension(table, one):
+    row = one(score_responses(table([("",)], "response string")))
+    assert row["overall_score"] == pytest.approx(1.0)
+    assert row["defects"] == "D01,D02,D03,D04"
+    assert row["score_tone_notes"] == "no response_text"
+
+
+def test_null_response_counts_as_empty(table, one):
+    assert one(score_responses(table([(None,)], "response string")))["accuracy"] == 1.0
+
+
+def test_weights_are_normalised(table, one):
+    with pytest.warns(UserWarning):
+        rubric = Rubric((Criterion("tone", 2.0), Criterion("accuracy", 6.0)))
+    row = score(table, one, "please", rubric)  # tone 4, accuracy 3
+    assert row["aggregated_score"] == pytest.approx((0.8 * 2 + 0.6 * 6) / 8)
+
+
+@pytest.mark.parametrize(
+    "criteria",
+    [(), (Criterion("a", 0.0),), (Criterion("a", -1.0), Criterion("b", 2.0)),
+     (Criterion("a", float("nan")),), (Criterion("a", float("inf")),)],
+)
+def test_bad_rubrics(criteria):
+    with pytest.raises(ValueError):
+        Rubric(criteria)
+
+
+def test_rubric_from_config():
+    config = {
+        "scoring": {
+            "criteria": {
+                "tone": {"weight": 0.5},
+                "judge": {"weight": 0.5, "type": "judge", "min_score": 1, "max_score": 10,
+                          "params": {"max_val": 9}},
+            }
+        }
+    }
+    assert Rubric.from_config(config).criteria == (
+        Criterion("tone", 0.5, "rule", {}),
+        Criterion("judge", 0.5, "judge", {"min_val": 1, "max_val": 9}),
+    )
+    assert Rubric.from_config({}) == Rubric()
+    with pytest.raises(TypeError):
+        Rubric.from_config({"scoring": {"criteria": {"tone": 1}}})
+    with pytest.raises(TypeError):
+        Rubric.from_config({"scoring": {"criteria": {"tone": {"params": [1]}}}})
+
+
+def test_extensions(table, one):
+    register_rule("chars", lambda f, p: (F.length(f.text).cast("double"), F.lit("chars")))
+    register_criterion_type("fixed", lambda f, c: (F.lit(c.params["value"]), F.lit("fixed")))
+    try:
+        assert score(table, one, "abcd", rule("chars"))["score_check"] == pytest.approx(0.8)
+        fixed = Rubric((Criterion("check", 1.0, "fixed", {"value": 50.0}),))
+        row = score(table, one, "x", fixed)
+        assert (row["score_check_raw"], row["score_check"]) == (50.0, 0.5)
+    finally:
+        del RULES["chars"], CRITERION_TYPES["fixed"]
+
+
+def test_input_columns_win(table, one):
+    df = table([("p", "mine", "x")], "prompt_id string, overall_score string, response string")
+    scored = score_responses(df)
+    assert one(scored)["overall_score"] == "mine"
+    assert scored.columns[:3] == df.columns
+    assert scored.columns[3:] == sorted(scored.columns[3:])
+
+
+def test_score_table_names(table):
+    columns = score_table(table([("x",)], "response string"), defects=False).columns
+    assert "defects" not in columns
+    assert {"prompt_text", "score_tone", "score_tone_raw", "tone", "tone_score"} <= set(columns)
+
+
+def test_response_and_id_fallbacks(table, one):
+    df = table(
+        [("", "p", "", "help")], "id string, prompt_id string, model_response string, response string"
+    )
+    assert one(df.select(prompt_id(df).alias("i")))["i"] == "p"
+    assert one(score_table(df))["response"] == "help"
+
+
+def test_detect_defects_lookup(table):
+    rows = [
+        ("0.2", None, None, "x"),  # unreadable types are handled below
+        (None, 1.0, None, "x"),
+        (None, None, 0.2, "x"),
+        ("bad", 1.0, 0.2, "x"),
+        (None, None, None, "word " * 30),
+        (None, None, None, ". " * 25),
+    ]
+    df = table(
+        rows, "reasoning string, reasoning_score double, score_reasoning double, response string"
+    )
+    found = [r.defects for r in detect_defects(df).collect()]
+    assert found == [["D01"], ["D01"], ["D01"], [], ["D05"], ["D05"]]
+
+
+def test_category_score(table):
+    df = table([("please", "tone"), ("please", "style")], "response string, category string")
+    assert [r.category_score for r in with_category_score(df).collect()] == [4, 3]
+
+
+def test_grades(table):
+    values = [5.0, 4.5, 4.4, 3.5, 2.5, 1.5, 1.4, None, float("nan")]
+    df = table([(v,) for v in values], "s double").select(expected_grade(F.col("s")).alias("g"))
+    assert [r.g for r in df.collect()] == ["A", "A", "B", "B", "C", "D", "F", "F", "F"]
