@@ -33,6 +33,7 @@ class TextFeatures:
 
     def __init__(self) -> None:
         self.used: set[str] = set()
+        self.own: dict[str, Callable[[Column], Column]] = {}
 
     def _feature(self, name: str) -> Column:
         self.used.add(name)
@@ -71,6 +72,11 @@ class TextFeatures:
     def has(self, phrases: tuple[str, ...]) -> Column:
         return tx.has_marker(self.found, phrases)
 
+    def derived(self, name: str, build: Callable[[Column], Column]) -> Column:
+        """A feature of one's own: ``build`` of the text, computed once under that name."""
+        self.own[name] = build
+        return F.col(f"`__own_{name.replace('`', '``')}`")
+
     def add_to(self, df: DataFrame, text: Column) -> DataFrame:
         """Add the features used so far as columns, so each is computed once.
 
@@ -84,7 +90,7 @@ class TextFeatures:
             build(F.col("__text"), F.col("__lowered")).alias(f"__{name}")
             for name, build in self.BUILDERS.items()
             if name in self.used
-        ]
+        ] + [build(F.col("__text")).alias(f"__own_{name}") for name, build in self.own.items()]
         return base.select("*", F.inline(F.array(F.struct(*features)))) if features else base
 
 
@@ -152,7 +158,8 @@ _NUMBER = r"[-+]?\p{Nd}*\.\p{Nd}+|\p{Nd}+"
 
 
 def fenced_json(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, _FENCED_JSON, 1), F.lit(""))
+    block = F.nullif(F.regexp_extract(text, _FENCED_JSON, 1), F.lit(""))
+    return F.when(text.contains("```"), block)
 
 
 def last_number(text: Column) -> Column:
@@ -161,43 +168,47 @@ def last_number(text: Column) -> Column:
     return parse_number(ascii_digits(F.try_element_at(found, F.lit(-1))))
 
 
+_END = "end of the judged text"
+
+
 def json_number(text: Column, key: str) -> Column:
     """The number under ``key`` if the text is one JSON object, else null.
 
     Booleans and numeric strings count; anything after the object makes the text invalid. The
-    parser stops at the end of the first value, so the object is parsed once inside an array and
-    once inside an object: trailing text breaks at least one of the two.
+    parser stops at the end of the first value, so the object is parsed as the first of exactly
+    two array elements, of which the second is an end mark that trailing text would displace.
     """
     quoted = key.replace("`", "``")
-    options = {"allowSingleQuotes": "false"}
-    in_array = F.from_json(
-        F.concat(F.lit("["), text, F.lit("]")), f"array<struct<`{quoted}`: variant>>", options
-    )
-    in_object = F.from_json(
-        F.concat(F.lit('{"x":'), text, F.lit("}")), f"struct<x: struct<`{quoted}`: variant>>", options
+    framed = F.concat(F.lit("["), text, F.lit(f',{{"{_END}":true}}]'))
+    schema = f"array<struct<`{quoted}`: variant, `{_END}`: boolean>>"
+    parsed = F.from_json(framed, schema, {"allowSingleQuotes": "false"})
+    value = F.try_element_at(parsed, F.lit(1)).getField(key)
+    ended = F.try_element_at(parsed, F.lit(2)).getField(_END)
+    whole = (F.size(parsed) == 2) & F.coalesce(ended, F.lit(False))
+    is_string = F.schema_of_variant(value) == "STRING"
+    number = F.when(is_string, parse_number(F.try_variant_get(value, "$", "string"))).otherwise(
+        F.try_variant_get(value, "$", "double")
     )
     is_object = tx.strip(text).startswith("{")
-    value = F.try_element_at(in_array, F.lit(1)).getField(key)
-    kind = F.schema_of_variant(value)
-    number = F.when(
-        kind == "STRING", parse_number(F.try_variant_get(value, "$", "string"))
-    ).otherwise(F.try_variant_get(value, "$", "double"))
-    return F.when(is_object & (F.size(in_array) == 1) & in_object.getField("x").isNotNull(), number)
+    return F.when(is_object, F.when(whole, number))
 
 
 def judge_score(
-    text: Column,
+    f: TextFeatures,
     json_key: str | None = None,
     min_val: float | None = None,
     max_val: float | None = None,
 ) -> tuple[Column, Column]:
     """A judge's verdict as (score on 0-1, note): the JSON value if any, else the last number."""
-    spoken = last_number(text)
+    spoken = f.derived("spoken", last_number)
     score = F.when(spoken.isNotNull(), normalize_value(spoken, min_val, max_val))
     note = F.when(spoken.isNotNull(), "parsed last numeric").otherwise("no numeric found")
     if json_key:
-        keyed = json_number(F.coalesce(fenced_json(text), text), json_key)
+        keyed = f.derived(
+            f"json_{json_key}",
+            lambda text: json_number(F.coalesce(fenced_json(text), text), json_key),
+        )
         score = F.when(keyed.isNotNull(), normalize_value(keyed, min_val, max_val)).otherwise(score)
         note = F.when(keyed.isNotNull(), f"json key '{json_key}' parsed").otherwise(note)
-    empty = text == ""
+    empty = f.text == ""
     return F.when(~empty, score), F.when(empty, "no response_text").otherwise(note)

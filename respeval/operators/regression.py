@@ -92,7 +92,9 @@ def _metric_rows(wide: DataFrame, metrics: list[str]) -> DataFrame:
         n_c.alias("current_n"),
         F.col("mean_b").alias("baseline_mean"),
         F.col("mean_c").alias("current_mean"),
-        F.coalesce(F.try_divide(change, "mean_b") * 100, F.lit(0.0)).alias("percent_change"),
+        F.when(F.col("mean_b") == 0, 0.0)
+        .otherwise(F.try_divide(change, "mean_b") * 100)
+        .alias("percent_change"),
         F.when(spread > 0, change / spread).otherwise(0.0).alias("cohens_d"),
         F.when(error > 0, change / error)
         .when((error == 0) & (change != 0), infinite)

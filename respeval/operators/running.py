@@ -56,7 +56,8 @@ def running_sum(
     so_far = Window.partitionBy(*grain).orderBy(*order_by).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    local = sliced.select(
+    # By range of the slice number, each task gets one slice; a hash would pile up several on one.
+    local = sliced.repartitionByRange("__slice").select(
         "*", *[F.sum(source).over(so_far).alias(f"__l_{out}") for out, source in sums.items()]
     )
     same_slice = F.lit(True)

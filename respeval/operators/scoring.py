@@ -143,7 +143,7 @@ def _judge_type(f: TextFeatures, criterion: Criterion) -> Verdict:
     except (TypeError, ValueError) as e:
         note = F.lit(f"exception during scoring: {e}")
         return _null_score(), F.when(f.text == "", "no response_text").otherwise(note)
-    return judge_score(f.text, p.get("json_key"), *ends)
+    return judge_score(f, p.get("json_key"), *ends)
 
 
 CRITERION_TYPES: dict[str, Callable[[TextFeatures, Criterion], Verdict]] = {

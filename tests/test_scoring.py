@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from respeval.functions.scores import expected_grade, judge_score
+from respeval.functions.scores import TextFeatures, expected_grade, judge_score
 from respeval.operators.scoring import (
     CRITERION_TYPES,
     Criterion,
@@ -69,6 +69,7 @@ def test_criteria(table, one, text, rubric, value, note):
         ('{"s": 3, "s": 4}', {"json_key": "s"}, 0.8, "json key 's' parsed"),
         ('{"s": 4} and 2', {"json_key": "s"}, 0.4, "parsed last numeric"),
         ('{"s": 4}], [{"s": 2}', {"json_key": "s"}, 0.4, "parsed last numeric"),
+        ('{"s": 4}, {"t": 1}], [{"s": 2}', {"json_key": "s"}, 0.4, "parsed last numeric"),
         ('{"s": 4}}, {"x": {"s": 2}', {"json_key": "s"}, 0.4, "parsed last numeric"),
         ("{'s': 3}", {"json_key": "s"}, 0.6, "parsed last numeric"),
         ('[{"s": 3}]', {"json_key": "s"}, 0.6, "parsed last numeric"),
@@ -82,8 +83,10 @@ def test_criteria(table, one, text, rubric, value, note):
     ],
 )
 def test_judge(table, one, text, params, value, note):
-    s, n = judge_score(F.col("t"), **params)
-    row = one(table([(text,)], "t string").select(s.alias("s"), n.alias("n")))
+    f = TextFeatures()
+    s, n = judge_score(f, **params)
+    df = f.add_to(table([(text,)], "t string"), F.col("t"))
+    row = one(df.select(s.alias("s"), n.alias("n")))
     assert (row["s"], row["n"]) == (pytest.approx(value) if value is not None else None, note)
 
 
