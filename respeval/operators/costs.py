@@ -20,10 +20,9 @@ from respeval.functions.cost import (
 from respeval.functions.numbers import number_column, round_binary, to_whole
 from respeval.functions.text import first_non_empty
 from respeval.operators.scoring import present
+from respeval.sources.storage import broadcast_if_small
 
 PRICE_LIST_SCHEMA = "price_key string, input_price double, output_price double"
-# A price list up to this many rows is broadcast; a longer one is joined by shuffle.
-BROADCAST_PRICE_ROWS = 100_000
 
 
 def _tokens(df: DataFrame, given: str, text: Column, counter: TokenCounter) -> Column:
@@ -63,9 +62,8 @@ def price_requests(
         price_in, price_out = price_columns(_model(df), prices)
         cost = request_cost(F.col("input_tokens"), F.col("output_tokens"), price_in, price_out)
         return df.select("*", cost.alias("cost"))
-    short = prices.limit(BROADCAST_PRICE_ROWS + 1).count() <= BROADCAST_PRICE_ROWS
     fallback = prices.filter(F.col("price_key") == DEFAULT_MODEL)
-    listed = F.broadcast(prices) if short else prices
+    listed = broadcast_if_small(prices.select("price_key", "input_price", "output_price"))
     joined = df.withColumn("price_key", normalize_model(_model(df))).join(
         listed, "price_key", "left"
     )

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from respeval.operators.quality import duplicated_keys
+from respeval.operators.scoring import columns_of
+from respeval.sources.storage import broadcast_if_small
 
 # The form a prompt must have.
 ID_PATTERN = "^[A-Za-z0-9_-]+$"
@@ -52,10 +54,10 @@ def lint_prompts(df: DataFrame) -> DataFrame:
         repeated = duplicated_keys(df, "id").select(
             F.col("id").alias("__id"), F.lit(True).alias("__repeated")
         )
-        linted = df.join(repeated, df["id"].eqNullSafe(F.col("__id")), "left")
+        linted = df.join(broadcast_if_small(repeated), df["id"].eqNullSafe(F.col("__id")), "left")
         issues["duplicate_id"] = F.col("__repeated")
     codes = F.array_compact(F.array(*[F.when(c, code) for code, c in issues.items()]))
-    return linted.select(*[df[c] for c in df.columns], codes.alias("issues"))
+    return linted.select(*columns_of(df), codes.alias("issues"))
 
 
 def lint_prompt_files(files: DataFrame) -> DataFrame:
@@ -74,4 +76,4 @@ def lint_prompt_files(files: DataFrame) -> DataFrame:
 
 def pending_prompts(prompts: DataFrame, done: DataFrame, key: str = "prompt_id") -> DataFrame:
     """Prompts without a stored result. Results are reduced to one row per id first."""
-    return prompts.join(done.select(key).distinct(), key, "left_anti")
+    return prompts.join(broadcast_if_small(done.select(key).distinct()), key, "left_anti")

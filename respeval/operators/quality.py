@@ -12,7 +12,7 @@ from respeval.functions.numbers import round_binary
 from respeval.functions.scores import GRADES, expected_grade
 from respeval.functions.text import strip
 from respeval.operators.running import medians_of_counts
-from respeval.sources.storage import write_and_read
+from respeval.sources.storage import broadcast_if_small, write_and_read
 
 # The columns each kind of table must have, and the range of scores.
 REQUIRED_COLUMNS = {
@@ -50,10 +50,10 @@ def duplicated_keys(df: DataFrame, key: str = "prompt_id") -> DataFrame:
 def duplicate_ids(df: DataFrame, key: str = "prompt_id") -> DataFrame:
     """All rows whose ``key`` occurs more than once.
 
-    Counts per key are combined before the shuffle and joined back as one row per key, so the
-    rows of a frequent key can stay spread over many tasks.
+    Counts per key are combined before the shuffle and joined back as one row per key. As long as
+    few keys repeat, only keys are shuffled, never the rows themselves.
     """
-    repeated = duplicated_keys(df, key).select(F.col(key).alias("__key"))
+    repeated = broadcast_if_small(duplicated_keys(df, key).select(F.col(key).alias("__key")))
     return df.join(repeated, df[key].eqNullSafe(F.col("__key")), "left_semi")
 
 

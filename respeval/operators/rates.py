@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MINUTE = 60_000_000
 
 
+def _micros(df: DataFrame, time: str) -> Column:
+    """Microseconds since 1970; of a timestamp without zone, whatever the session's zone."""
+    if isinstance(df.schema[time].dataType, T.TimestampNTZType):
+        epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", epoch, F.col(time))
+    return F.unix_micros(F.col(time).cast("timestamp"))
+
+
 def request_rate(
     requests: DataFrame, time: str, keys: Sequence[str] = (), calls_per_minute: int = 60
 ) -> DataFrame:
@@ -21,7 +30,7 @@ def request_rate(
     """
     if calls_per_minute <= 0:
         raise ValueError("calls_per_minute must be positive")
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    micros = _micros(requests, time)
     instants = (
         requests.filter(F.col(time).isNotNull())
         .groupBy(*keys, F.col(time))

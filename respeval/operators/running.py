@@ -21,7 +21,8 @@ def running_sum(
 ) -> DataFrame:
     """Add, for each ``output: input`` of ``sums``, the total of the input so far.
 
-    ``order_by`` must tell any two rows of a partition apart. Rows are cut by range over
+    ``order_by`` must tell any two rows of a partition apart. All columns of the table are moved,
+    so select those you need first. Rows are cut by range over
     (partition, order) into slices of about equal size, so one partition holding most of the
     table, or the whole table as one partition, is still spread over all tasks. Each slice is
     summed on its own and shifted by what earlier slices of the same partition add up to. Only a

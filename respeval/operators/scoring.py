@@ -177,6 +177,11 @@ def present(df: DataFrame, *names: str) -> list[Column]:
     return [df[n] for n in names if n in df.columns]
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of a table, also those with dots in their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def response_text(df: DataFrame) -> Column:
     return tx.first_non_empty(*present(df, "model_response", "response"))
 
@@ -260,7 +265,7 @@ def score_responses(df: DataFrame, rubric: Rubric | None = None, defects: bool =
     """The input plus every report column it does not have yet, in name order. No shuffle."""
     scored, out = _scored(df, rubric or Rubric(), defects)
     new = sorted(name for name in out if name not in df.columns)
-    return scored.select(*[df[c] for c in df.columns], *[out[name].alias(name) for name in new])
+    return scored.select(*columns_of(df), *[out[name].alias(name) for name in new])
 
 
 def with_category_score(df: DataFrame, category: str = "category") -> DataFrame:

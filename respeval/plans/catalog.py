@@ -25,6 +25,7 @@ from respeval.operators.scoring import (
 )
 from respeval.operators.tables import ragged_union
 from respeval.plans import relations as rel
+from respeval.sources import results as io
 from respeval.sources.storage import work_path
 from respeval.streaming import streams
 
@@ -586,6 +587,43 @@ def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", sanitize.html_escape(F.col("html")).alias("html"))
 
 
+def _round_trip(fmt: str):
+    """The documents, line breaks and quotes included, through a file format and back."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = rel.load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+        path = work_path(spark, f"round-trip-{fmt}")
+        io.save_responses(docs, path, fmt)
+        schema = "doc_id bigint, lang string, n_chars bigint, text string"
+        if fmt == "csv":
+            return io.load_typed_results(spark, path, schema)
+        return spark.read.schema(schema).format(fmt).load(path)
+
+    return query
+
+
+def exported_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usage log as exported and read back."""
+    path = work_path(spark, "usage-log")
+    usage = _priced_usage(spark, sf_dir).withColumn(
+        "prompt_id", F.concat(F.lit("evt_"), F.col("event_id").cast("string"))
+    )
+    io.export_usage_log(usage, path, BUDGET)
+    schema = (
+        "prompt_id string, model string, input_tokens bigint, output_tokens bigint, cost double"
+    )
+    return spark.read.schema(schema).json(f"{path}/usage_log")
+
+
+def stored_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later run against a stored baseline."""
+    baseline, later = _runs(spark, sf_dir)
+    path = work_path(spark, "baseline")
+    io.save_as_baseline(baseline.select(*regression.METRICS, "grade"), path)
+    report = regression.regression_report(io.load_baseline(spark, path), later)
+    return report.select("metric", "status")
+
+
 def _persist(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Run a stream into a folder and read the folder."""
     path = work_path(spark, name)
@@ -703,6 +741,10 @@ QUERIES = {
     "sanitize_nested": sanitize_nested,
     "key_shape": key_shapes,
     "html_escape": html_escape,
+    "csv_round_trip": _round_trip("csv"),
+    "json_round_trip": _round_trip("json"),
+    "export_usage_log": exported_usage,
+    "save_as_baseline": stored_baseline,
     "stream_score": stream_score,
     "stream_persist": stream_persist,
     "stream_request_rate": stream_request_rate,

@@ -794,6 +794,13 @@ FROM pages""",
     OR length(w) > 30))), ' ') AS keys
 FROM documents""",
     "html_escape": f"SELECT page_id, {_escape('html')} AS html FROM pages",
+    "csv_round_trip": "SELECT doc_id, text, lang, n_chars FROM documents",
+    "json_round_trip": "SELECT doc_id, text, lang, n_chars FROM documents",
+    "export_usage_log": f"""{WITH_USAGE}
+SELECT 'evt_' || event_id AS prompt_id, model, input_tokens, output_tokens,
+  {_binary_round("cost", 6)} AS cost
+FROM priced""",
+    "save_as_baseline": f"{REGRESSION_REPORT} SELECT metric, status FROM report",
     "stream_score": f"{WITH_SCORES} {_scored_view('scored')} WHERE status = 'success'",
     "stream_persist": "SELECT event_id, event_type, value FROM events",
     # Windows of a minute every ten seconds, without those the watermark still keeps open.

@@ -6,6 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# A join side within both bounds is broadcast.
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,3 +45,20 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(
+    side: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """A join side, marked for broadcast if it proves small; else left to a shuffle join.
+
+    The side is stored first and measured, so it is computed once. With a broadcast the other,
+    long side is not shuffled at all. Beyond the bounds both are shuffled, where adaptive
+    execution splits the partitions of frequent keys.
+    """
+    stored = write_and_read(side, "side")
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in stored.columns]))
+    rows, size = stored.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))
+    ).first()
+    return F.broadcast(stored) if rows <= max_rows and size <= max_bytes else stored

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from respeval.functions.numbers import round_binary
 from respeval.operators.running import alert_columns, check_limit, cumulative_cost
 from respeval.operators.scoring import Rubric, score_responses
+from respeval.sources.storage import broadcast_if_small
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -144,7 +145,7 @@ def budget_sink(
         else:
             before = batch.sparkSession.read.parquet(f"{path}/spent/batch_id={batch_id - 1}")
         carried = before.select(F.col(run).alias("__run"), F.col("spent").alias("__spent"))
-        spent = running.join(carried, F.col(run).eqNullSafe(F.col("__run")), "left")
+        spent = running.join(broadcast_if_small(carried), F.col(run).eqNullSafe(F.col("__run")), "left")
         total = F.col("cumulative_cost") + F.coalesce("__spent", F.lit(0.0))
         kind, message = alert_columns(F.col("cumulative_cost"), limit)
         alerts = (

@@ -16,6 +16,7 @@ from respeval.plans.workflows import (
     write_reports,
 )
 from respeval.sources import results as io
+from respeval.sources import storage
 from respeval.sources.storage import shared_folder, write_and_read
 
 ROWS = [("a", 'say "hi",\nthen <go>', 1.5, ["D01", "D02"]), ("b", None, None, []),
@@ -78,6 +79,18 @@ def test_shared_folder_comes_from_the_session(spark, tmp_path):
     assert df.inputFiles()
 
 
+def test_only_a_small_side_is_broadcast(table):
+    side = table([("k", "x" * 50), ("l", None), (None, "é")], "k string, v string")
+    long = table([("k", 1)] * 300 + [("m", 2), (None, 3)], "k string, n int")
+    plans = {}
+    for bounds in ((10, 1000), (2, 1000), (10, 20)):
+        joined = long.join(storage.broadcast_if_small(side, *bounds), "k", "left")
+        plans[bounds] = joined._jdf.queryExecution().optimizedPlan().toString()
+        assert joined.filter("v IS NOT NULL").count() == 300
+        assert joined.count() == 302
+    assert ["strategy=broadcast" in p for p in plans.values()] == [True, False, False]
+
+
 def test_evaluate_and_check(spark, tmp_path):
     texts = [f"Explain topic number {i} in detail." for i in range(8)]
     content = {
