@@ -47,10 +47,10 @@ def defect_codes(f: TextFeatures, scores: dict[str, Column]) -> Column:
         if dimension in scores
     ]
     repetitive = (f.n_words > MIN_WORDS_FOR_REDUNDANCY) & (
-        tx.unique_word_ratio(f.words) < MIN_UNIQUE_RATIO
+        f.unique_word_ratio < MIN_UNIQUE_RATIO
     )
     codes.append(F.when(repetitive, "D05"))
     codes.append(F.when(tx.contains_any(f.lowered, REFUSALS), "D06"))
     codes.append(F.when(tx.contains_any(f.lowered, HEDGES), "D07"))
     # The codes are built in their sorted order, each at most once.
-    return F.array_compact(F.array(*codes))
+    return F.array_remove(F.array(*[F.coalesce(c, F.lit("")) for c in codes]), "")

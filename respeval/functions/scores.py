@@ -69,6 +69,10 @@ class TextFeatures:
     def blank(self) -> Column:
         return self.n_words == 0
 
+    @property
+    def unique_word_ratio(self) -> Column:
+        return tx.unique_word_ratio(self.text, self.lowered, self.words)
+
     def has(self, phrases: tuple[str, ...]) -> Column:
         return tx.has_marker(self.found, phrases)
 

@@ -124,7 +124,7 @@ def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unique_word_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = TextFeatures()
-    ratio = F.round(tx.unique_word_ratio(f.words), 6)
+    ratio = F.round(f.unique_word_ratio, 6)
     return _from_features(spark, sf_dir, f, unique_word_ratio=ratio)
 
 
