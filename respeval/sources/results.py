@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,8 @@ _CSV = {"header": True, "escape": '"', "quote": '"'}
 def load_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A CSV with header as text columns. A missing path raises.
 
-    Responses hold line breaks, so records may span lines; such a file is read by one task. Many
+    Responses hold line breaks, so records may span lines (in a file with Windows line ends, a
+    break inside a value is read as ``\\n``); such a file is read by one task. Many
     files are read in parallel, and ``multi_line=False`` lets a file without line breaks in its
     values be split.
     """
@@ -48,15 +49,17 @@ def stream_results(
 
 
 def _flat(df: DataFrame) -> DataFrame:
-    """Columns in name order; CSV has no arrays, so they become comma-separated text."""
-    return df.select(
-        *[
-            F.array_join(F.col(f.name).cast("array<string>"), ",").alias(f.name)
-            if isinstance(f.dataType, T.ArrayType)
-            else F.col(f.name)
-            for f in sorted(df.schema.fields, key=lambda f: f.name)
-        ]
-    )
+    """Columns in name order and as CSV can hold them: lists comma-separated, other nests as JSON."""
+
+    def flat(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.ArrayType):
+            c = F.array_join(c.cast("array<string>"), ",")
+        elif isinstance(f.dataType, (T.StructType, T.MapType)):
+            c = F.to_json(c)
+        return c.alias(f.name)
+
+    return df.select(*[flat(f) for f in sorted(df.schema.fields, key=lambda f: f.name)])
 
 
 def save_responses(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import csv
 import glob
 import json
 
@@ -36,6 +37,30 @@ def test_csv_round_trip(spark, table, tmp_path):
     assert got["c"] == ("é; \\n", 2.0, None)
 
 
+def test_csv_written_by_python(spark, tmp_path):
+    rows = [
+        ("a", "two\nlines, \"quoted\" and \\ kept ", "1.5"),
+        ("b", "\nstarts with a break", ""),
+        ("c", "", "nan"),
+    ]
+    with open(tmp_path / "r.csv", "w", newline="", encoding="utf-8") as f:
+        writer = csv.writer(f)
+        writer.writerow(["prompt_id", "response", "score"])
+        writer.writerows(rows)
+    back = io.load_results(spark, str(tmp_path / "r.csv")).collect()
+    assert [tuple(v or "" for v in r) for r in back] == rows
+    schema = "prompt_id string, response string, score double"
+    typed = io.load_typed_results(spark, str(tmp_path / "r.csv"), schema).collect()
+    assert (typed[0].score, typed[1].score) == (1.5, None)
+
+
+def test_nested_values_in_csv(spark, table, tmp_path):
+    df = table([(("x", 1), {"k": 2})], "s struct<a: string, b: int>, m map<string, int>")
+    io.save_responses(df, str(tmp_path / "out"))
+    (row,) = io.load_results(spark, str(tmp_path / "out")).collect()
+    assert (json.loads(row.s), json.loads(row.m)) == ({"a": "x", "b": 1}, {"k": 2})
+
+
 @pytest.mark.parametrize("fmt", ["json", "parquet"])
 def test_other_formats(spark, table, tmp_path, fmt):
     path = str(tmp_path / "out")
