@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from respeval.functions.numbers import round_binary
 from respeval.functions.scores import GRADES, expected_grade
 from respeval.functions.text import strip
-from respeval.operators.running import medians_of_counts
-from respeval.sources.storage import broadcast_if_small, write_and_read
+from respeval.operators.running import medians_of_slices, slice_table
+from respeval.sources.storage import broadcast_if_small
 
 # The columns each kind of table must have, and the range of scores.
 REQUIRED_COLUMNS = {
@@ -303,19 +303,20 @@ def quality_report_columns(
     for i, n in enumerate(names):
         number, key = _cell(df, n)
         cells.append(
-            F.struct(F.lit(i).alias("place"), number.alias("number"), key.alias("key"))
+            F.struct(F.lit(i).alias("column"), number.alias("value"), key.alias("key"))
         )
-    counts = write_and_read(
+    counts = (
         df.select(F.explode(F.array(*cells)).alias("cell"))
         .select("cell.*")
-        .filter(F.col("number").isNotNull() | F.col("key").isNotNull())
-        .groupBy("place", "number", "key")
-        .agg(F.count(F.lit(1)).alias("n")),
-        "cells",
+        .filter(F.col("value").isNotNull() | F.col("key").isNotNull())
+        .groupBy("column", "value", "key")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    distinct = counts.groupBy("place").agg(F.count(F.lit(1)).alias("__unique"))
-    numbers = counts.select(F.col("place").alias("column"), F.col("number").alias("value"), "n")
-    medians = medians_of_counts(numbers).select(
+    counts = slice_table(counts, ["column", "value", "key"])
+    distinct = counts.groupBy(F.col("column").alias("place")).agg(
+        F.count(F.lit(1)).alias("__unique")
+    )
+    medians = medians_of_slices(counts.drop("key")).select(
         F.col("column").alias("place"), F.col("median").alias("__median")
     )
     # Both lookups have one row per column of the table.

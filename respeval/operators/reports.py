@@ -11,9 +11,8 @@ from pyspark.sql import types as T
 from respeval.functions.numbers import number_column
 from respeval.functions.sanitize import html_escape
 from respeval.functions.scores import DEFAULT_WEIGHTS
-from respeval.operators.running import medians_of_counts
+from respeval.operators.running import medians_of_slices, slice_table
 from respeval.operators.scoring import present, prompt_text
-from respeval.sources.storage import write_and_read
 
 # The score that counts as a success on each scale, and the insight bands.
 SUCCESS_ON_ONE, SUCCESS_ON_FIVE = 0.7, 3.5
@@ -73,16 +72,17 @@ def executive_summary(df: DataFrame, approximate_median: bool = False) -> DataFr
         mean, std = F.avg(score), F.stddev_samp(score)
         middle = F.percentile_approx(score, 0.5)
     else:
-        counts = scores.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-        scores = write_and_read(counts, "scores")
-        score, n = F.col("score"), F.col("n")
+        counts = scores.groupBy(F.lit(name).alias("column"), F.col("score").alias("value")).agg(
+            F.count(F.lit(1)).alias("n")
+        )
+        scores = slice_table(counts, ["column", "value"])
+        score, n = F.col("value"), F.col("n")
         known = F.sum(F.when(score.isNotNull(), n))
         mean = F.try_divide(F.sum(score * n), known)
         center = scores.agg(mean).scalar()
         squares = F.sum(n * (score - center) * (score - center))
         std = F.sqrt(F.try_divide(squares, F.nullif(known - 1, F.lit(0))))
-        columns = scores.select(F.lit(name).alias("column"), score.alias("value"), "n")
-        middle = medians_of_counts(columns).select("median").scalar()
+        middle = medians_of_slices(scores).select("median").scalar()
 
     def rows_where(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))

@@ -13,6 +13,18 @@ from respeval.sources.storage import write_and_read
 WARNING_SHARE = 0.2
 
 
+SLICE = "__slice"
+
+
+def slice_table(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Store a table cut by range over ``keys`` into slices of about equal size, numbered in order.
+
+    Stored, because the number is that of the shuffle partition and must not change between uses.
+    """
+    ranged = df.repartitionByRange(*keys).withColumn(SLICE, F.spark_partition_id())
+    return write_and_read(ranged, "slices")
+
+
 def running_sum(
     df: DataFrame,
     order_by: Sequence[str],
@@ -22,26 +34,31 @@ def running_sum(
     """Add, for each ``output: input`` of ``sums``, the total of the input so far.
 
     ``order_by`` must tell any two rows of a partition apart. All columns of the table are moved,
-    so select those you need first. Rows are cut by range over
-    (partition, order) into slices of about equal size, so one partition holding most of the
-    table, or the whole table as one partition, is still spread over all tasks. Each slice is
-    summed on its own and shifted by what earlier slices of the same partition add up to. Only a
-    slice's first partition can have started in an earlier slice, so the shifts are at most one
-    row per slice, however large the table.
+    so select those you need first.
     """
     if not order_by:
         raise ValueError("a running sum needs an order")
-    keys = [*partition_by, *order_by]
-    sliced = write_and_read(
-        df.repartitionByRange(*keys).withColumn("__slice", F.spark_partition_id()), "slices"
-    )
-    grain = [*partition_by, "__slice"]
+    sliced = slice_table(df, [*partition_by, *order_by])
+    return running_sum_of_slices(sliced, order_by, sums, partition_by)
+
+
+def running_sum_of_slices(
+    sliced: DataFrame, order_by: Sequence[str], sums: dict[str, str], partition_by: Sequence[str]
+) -> DataFrame:
+    """``running_sum`` of a table from ``slice_table`` over (partition, order).
+
+    One partition holding most of the table, or the whole table as one partition, is still spread
+    over all tasks: each slice is summed on its own and shifted by what earlier slices of the same
+    partition add up to. Only a slice's first partition can have started in an earlier slice, so
+    the shifts are at most one row per slice, however large the table.
+    """
+    grain = [*partition_by, SLICE]
     totals = sliced.groupBy(*grain).agg(
         *[F.sum(source).alias(f"__{out}") for out, source in sums.items()]
     )
     earlier = (
         Window.partitionBy(*(partition_by or [F.lit(0)]))
-        .orderBy("__slice")
+        .orderBy(SLICE)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     # Own names on this side: both sides of the join come from the same table.
@@ -58,7 +75,7 @@ def running_sum(
         Window.unboundedPreceding, Window.currentRow
     )
     # By range of the slice number, each task gets one slice; a hash would pile up several on one.
-    local = sliced.repartitionByRange("__slice").select(
+    local = sliced.repartitionByRange(SLICE).select(
         "*", *[F.sum(source).over(so_far).alias(f"__l_{out}") for out, source in sums.items()]
     )
     same_slice = F.lit(True)
@@ -66,7 +83,7 @@ def running_sum(
         same_slice = same_slice & F.col(g).eqNullSafe(F.col(f"__of_{g}"))
     joined = local.join(F.broadcast(shifts), same_slice, "left")
     return joined.select(
-        *[c for c in df.columns if c not in sums],
+        *[c for c in sliced.columns if c not in sums and c != SLICE],
         *[
             (F.col(f"__l_{out}") + F.coalesce(f"__shift_{out}", F.lit(0))).alias(out)
             for out in sums
@@ -142,17 +159,19 @@ def exact_medians(values: DataFrame) -> DataFrame:
     Equal values are counted before anything is ordered, so few distinct values mean little data,
     and many are ordered over all tasks rather than gathered in one.
     """
-    return medians_of_counts(
-        values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
+    counts = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return medians_of_slices(slice_table(counts, ["column", "value"]))
+
 
+def medians_of_slices(counts: DataFrame) -> DataFrame:
+    """Medians of counted values (column, value, n), sliced over (column, value).
 
-def medians_of_counts(counts: DataFrame) -> DataFrame:
-    """Medians of a table (column, value, n) of counted values; nulls and NaN are left out."""
-    counts = counts.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    ranked = running_sum(counts, ["value"], {"upto": "n"}, ["column"])
+    Nulls and NaN are left out.
+    """
+    known = counts.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    ranked = running_sum_of_slices(known, ["value"], {"upto": "n"}, ["column"])
     # One row per column name: as short as a table is wide.
-    sizes = ranked.groupBy("column").agg(F.max("upto").alias("size"))
+    sizes = known.groupBy("column").agg(F.sum("n").alias("size"))
     # Zero-based places of the lower and the upper middle value.
     lower = F.floor((F.col("size") - 1) / 2)
     upper = F.floor(F.col("size") / 2)
