@@ -54,7 +54,8 @@ def price_columns(
 
     def lookup(side: int) -> Column:
         entries = [F.lit(v) for name, pair in prices.items() for v in (name, float(pair[side]))]
-        return F.coalesce(F.try_element_at(F.create_map(*entries), key), F.lit(float(default[side])))
+        listed = F.try_element_at(F.create_map(*entries), key)
+        return F.coalesce(listed, F.lit(float(default[side])))
 
     return lookup(0), lookup(1)
 

@@ -136,7 +136,8 @@ def validate_table(df: DataFrame, kind: str = "raw_results") -> DataFrame:
         checks.append(("invalid_timestamp", "timestamp", F.count_if(bad_timestamp(df))))
 
     counts = df.agg(
-        F.count(F.lit(1)).alias("__total"), *[c.alias(f"__{i}") for i, (_, _, c) in enumerate(checks)]
+        F.count(F.lit(1)).alias("__total"),
+        *[c.alias(f"__{i}") for i, (_, _, c) in enumerate(checks)],
     )
     total = F.col("__total")
     found = [

@@ -186,7 +186,9 @@ def response_text(df: DataFrame) -> Column:
     return tx.first_non_empty(*present(df, "model_response", "response"))
 
 
-def prompt_text(df: DataFrame, order: tuple[str, ...] = ("text", "prompt_text", "prompt")) -> Column:
+def prompt_text(
+    df: DataFrame, order: tuple[str, ...] = ("text", "prompt_text", "prompt")
+) -> Column:
     """The first non-empty of the named prompt columns that the table has."""
     return tx.first_non_empty(*present(df, *order))
 
@@ -281,7 +283,8 @@ def table_score(df: DataFrame, dimension: str) -> Column:
     search with null.
     """
     chosen = F.when(F.lit(False), F.lit(None).cast("double"))
-    for name, factor in ((dimension, 1.0), (f"{dimension}_score", 1.0), (f"score_{dimension}", 5.0)):
+    factors = {dimension: 1.0, f"{dimension}_score": 1.0, f"score_{dimension}": 5.0}
+    for name, factor in factors.items():
         if name in df.columns:
             chosen = chosen.when(df[name].isNotNull(), number_column(df, name) * factor)
     return chosen

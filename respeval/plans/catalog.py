@@ -12,7 +12,13 @@ from respeval.functions import text as tx
 from respeval.functions.numbers import normalize_value
 from respeval.functions.scores import HEURISTICS, TextFeatures, expected_grade
 from respeval.operators import execute, prompts, quality, rates, regression, reports, running
-from respeval.operators.costs import cost_by_model, cost_summary, price_requests, row_cost
+from respeval.operators.costs import (
+    PRICE_LIST_SCHEMA,
+    cost_by_model,
+    cost_summary,
+    price_requests,
+    row_cost,
+)
 from respeval.operators.scoring import (
     Criterion,
     Rubric,
@@ -221,7 +227,7 @@ def row_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def joined_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the price list as a table."""
     rows = [(k, i, o) for k, (i, o) in cost_functions.PRICES.items()]
-    prices = spark.createDataFrame(rows, "price_key string, input_price double, output_price double")
+    prices = spark.createDataFrame(rows, PRICE_LIST_SCHEMA)
     priced = row_cost(rel.responses(spark, sf_dir), prices)
     cost = F.round("cost", 8).alias("cost")
     return priced.select("prompt_id", "input_tokens", "output_tokens", cost)
@@ -419,7 +425,8 @@ def _column_view(report: DataFrame) -> DataFrame:
 
 
 def quality_report_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _column_view(quality.quality_report_columns(rel.spread(rel.load(spark, sf_dir, "lineitem"))))
+    items = rel.spread(rel.load(spark, sf_dir, "lineitem"))
+    return _column_view(quality.quality_report_columns(items))
 
 
 def quality_report_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,7 +171,8 @@ def _normalized(value: str, scaled: str | None = None) -> str:
         f"WHEN {value} <= 5 THEN {value} / 5 WHEN {value} <= 10 THEN {value} / 10 "
         f"WHEN {value} <= 100 THEN {value} / 100 ELSE 1e0 END"
     )
-    return f"CASE WHEN {value} IS NULL OR isnan({value}) OR isinf({value}) THEN 0e0 ELSE {known} END"
+    missing = f"{value} IS NULL OR isnan({value}) OR isinf({value})"
+    return f"CASE WHEN {missing} THEN 0e0 ELSE {known} END"
 
 
 _PRICE_KEY = (

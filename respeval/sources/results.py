@@ -49,7 +49,7 @@ def stream_results(
 
 
 def _flat(df: DataFrame) -> DataFrame:
-    """Columns in name order and as CSV can hold them: lists comma-separated, other nests as JSON."""
+    """Columns in name order, lists comma-separated and other nested values as JSON."""
 
     def flat(f: T.StructField) -> Column:
         c = F.col(f"`{f.name}`")

@@ -14,12 +14,12 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder the cluster names in ``spark.checkpoint.dir``, or the program by setCheckpointDir.
 
-    Only a local session without that setting gets a temporary folder: executors on other
-    machines could not read it.
+    Only a local session without either gets a temporary folder: executors on other machines
+    could not read it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if spark.sparkContext.master.startswith("local"):

@@ -145,7 +145,8 @@ def budget_sink(
         else:
             before = batch.sparkSession.read.parquet(f"{path}/spent/batch_id={batch_id - 1}")
         carried = before.select(F.col(run).alias("__run"), F.col("spent").alias("__spent"))
-        spent = running.join(broadcast_if_small(carried), F.col(run).eqNullSafe(F.col("__run")), "left")
+        same_run = F.col(run).eqNullSafe(F.col("__run"))
+        spent = running.join(broadcast_if_small(carried), same_run, "left")
         total = F.col("cumulative_cost") + F.coalesce("__spent", F.lit(0.0))
         kind, message = alert_columns(F.col("cumulative_cost"), limit)
         alerts = (

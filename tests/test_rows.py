@@ -82,12 +82,6 @@ def test_pending(table):
     assert {r.prompt_id for r in pending_prompts(asked, done).collect()} == {"a", "c"}
 
 
-def fail_on_x(text: str) -> str:
-    if text == "x":
-        raise KeyError("no x")
-    return text.upper()
-
-
 def test_execute_isolates_errors(spark, table):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
     try:
