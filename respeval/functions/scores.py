@@ -16,6 +16,19 @@ DEFAULT_WEIGHTS = {"accuracy": 0.40, "reasoning": 0.30, "tone": 0.15, "completen
 # Lowest score of each grade, on the 0-5 scale.
 GRADE_FLOORS = (("A", 4.5), ("B", 3.5), ("C", 2.5), ("D", 1.5))
 GRADES = ("A", "B", "C", "D", "F")
+# The notes on how a criterion was scored.
+NOTE_NO_TEXT = "no response_text"
+NOTE_TERMS = "matched %d/%d terms"
+NOTE_PRESENT = "entity '%s' present"
+NOTE_ABSENT = "entity '%s' absent"
+NOTE_LENGTH = "length %d words"
+NOTE_HEURISTIC = "using heuristic for rule: %s"
+NOTE_JSON = "json key '%s' parsed"
+NOTE_NUMBER = "parsed last numeric"
+NOTE_NO_NUMBER = "no numeric found"
+NOTE_UNKNOWN_TYPE = "unsupported criterion type: %s"
+NOTE_FAILED = "exception during scoring: %s"
+BAD_TERMS = "params['terms'] must be a list"
 
 
 class TextFeatures:
@@ -206,13 +219,13 @@ def judge_score(
     """A judge's verdict as (score on 0-1, note): the JSON value if any, else the last number."""
     spoken = f.derived("spoken", last_number)
     score = F.when(spoken.isNotNull(), normalize_value(spoken, min_val, max_val))
-    note = F.when(spoken.isNotNull(), "parsed last numeric").otherwise("no numeric found")
+    note = F.when(spoken.isNotNull(), NOTE_NUMBER).otherwise(NOTE_NO_NUMBER)
     if json_key:
         keyed = f.derived(
             f"json_{json_key}",
             lambda text: json_number(F.coalesce(fenced_json(text), text), json_key),
         )
         score = F.when(keyed.isNotNull(), normalize_value(keyed, min_val, max_val)).otherwise(score)
-        note = F.when(keyed.isNotNull(), f"json key '{json_key}' parsed").otherwise(note)
+        note = F.when(keyed.isNotNull(), NOTE_JSON % json_key).otherwise(note)
     empty = f.text == ""
-    return F.when(~empty, score), F.when(empty, "no response_text").otherwise(note)
+    return F.when(~empty, score), F.when(empty, NOTE_NO_TEXT).otherwise(note)

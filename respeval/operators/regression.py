@@ -15,6 +15,7 @@ FAIL_RISE_POINTS = 10.0
 MIN_SAMPLE = 5
 GRADE_METRIC = "Grade Distribution"
 NO_BASELINE = "No baseline available"
+TOO_FEW = "Insufficient samples (need at least %d)"
 
 METRICS = {"overall_score": "Overall Score"} | {
     f"score_{d}": d.capitalize() for d in DEFAULT_WEIGHTS
@@ -239,7 +240,7 @@ def regression_report(
         *_metric_aggregates(metrics), *(_grade_aggregates() if graded else [])
     )
     few = (F.col("rows_b") < min_sample) | (F.col("rows_c") < min_sample)
-    reason = F.when(few, f"Insufficient samples (need at least {min_sample})")
+    reason = F.when(few, TOO_FEW % min_sample)
 
     def status(regression: Column, improvement: Column) -> Column:
         return (

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from respeval.sources.storage import write_and_read
 
-# Fixed value: a warning is due once less than this share of the limit is left.
+# A warning is due once less than this share of the limit is left; the messages.
 WARNING_SHARE = 0.2
+EXCEEDED = "Budget exceeded: $%.4f spent, $%.4f available"
+NEARLY_SPENT = "Budget warning: $%.4f remaining (80%% spent)"
 
 
 SLICE = "__slice"
@@ -112,8 +114,8 @@ def alert_columns(spent: Column, limit: float) -> tuple[Column, Column]:
     kind = F.when(left < 0, "error").when(left < limit_col * F.lit(WARNING_SHARE), "warning")
     message = F.when(
         kind == "error",
-        F.format_string("Budget exceeded: $%.4f spent, $%.4f available", spent, limit_col),
-    ).when(kind == "warning", F.format_string("Budget warning: $%.4f remaining (80%% spent)", left))
+        F.format_string(EXCEEDED, spent, limit_col),
+    ).when(kind == "warning", F.format_string(NEARLY_SPENT, left))
     return kind, message
 
 

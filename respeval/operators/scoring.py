@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from respeval.functions import scores as notes
 from respeval.functions import text as tx
 from respeval.functions.defects import SCORE_DEFECTS, defect_codes
 from respeval.functions.numbers import normalize_value, number_column
@@ -81,25 +82,25 @@ class Rubric:
 def contains_terms(f: TextFeatures, params: Mapping[str, Any]) -> Verdict:
     terms = params.get("terms", [])
     if not isinstance(terms, list):
-        raise TypeError("params['terms'] must be a list")
+        raise TypeError(notes.BAD_TERMS)
     needed = max(1, int(params.get("min_match", 1)))
     matched = F.lit(0)
     for term in terms:
         matched = matched + f.lowered.contains(str(term).lower()).cast("int")
-    note = F.concat(F.lit("matched "), matched.cast("string"), F.lit(f"/{len(terms)} terms"))
+    note = F.format_string(notes.NOTE_TERMS, matched, F.lit(len(terms)))
     return (matched >= needed).cast("double"), note
 
 
 def mentions_entity(f: TextFeatures, params: Mapping[str, Any]) -> Verdict:
     entity = params.get("entity")
     present = f.lowered.contains(str(entity).lower()) if entity else F.lit(False)
-    note = F.when(present, f"entity '{entity}' present").otherwise(f"entity '{entity}' absent")
+    note = F.when(present, notes.NOTE_PRESENT % (entity,)).otherwise(notes.NOTE_ABSENT % (entity,))
     return present.cast("double"), note
 
 
 def length_within(f: TextFeatures, params: Mapping[str, Any]) -> Verdict:
     longest = int(params.get("max_len", 10000))
-    note = F.concat(F.lit("length "), f.n_words.cast("string"), F.lit(" words"))
+    note = F.format_string(notes.NOTE_LENGTH, f.n_words)
     return (f.n_words <= longest).cast("double"), note
 
 
@@ -124,15 +125,14 @@ def _rule_type(f: TextFeatures, criterion: Criterion) -> Verdict:
     heuristic = HEURISTICS.get(criterion.key)
     fallback = heuristic(f) / F.lit(5.0) if heuristic else _null_score()
     if name not in RULES:
-        note = F.lit(f"using heuristic for rule: {name}")
-        return fallback, F.when(empty, "no response_text").otherwise(note)
+        return fallback, F.when(empty, notes.NOTE_NO_TEXT).otherwise(notes.NOTE_HEURISTIC % (name,))
     try:
         raw, note = RULES[name](f, criterion.params)
     except (TypeError, ValueError) as e:
-        raw, note = _null_score(), F.lit(f"exception during scoring: {e}")
+        raw, note = _null_score(), F.lit(notes.NOTE_FAILED % (e,))
     return (
         F.when(empty, fallback).otherwise(raw),
-        F.when(empty, "no response_text").otherwise(note),
+        F.when(empty, notes.NOTE_NO_TEXT).otherwise(note),
     )
 
 
@@ -141,8 +141,8 @@ def _judge_type(f: TextFeatures, criterion: Criterion) -> Verdict:
     try:
         ends = [None if p.get(k) is None else float(p[k]) for k in ("min_val", "max_val")]
     except (TypeError, ValueError) as e:
-        note = F.lit(f"exception during scoring: {e}")
-        return _null_score(), F.when(f.text == "", "no response_text").otherwise(note)
+        note = F.when(f.text == "", notes.NOTE_NO_TEXT).otherwise(notes.NOTE_FAILED % (e,))
+        return _null_score(), note
     return judge_score(f, p.get("json_key"), *ends)
 
 
@@ -169,7 +169,7 @@ def register_criterion_type(
 def _verdict(f: TextFeatures, criterion: Criterion) -> Verdict:
     build = CRITERION_TYPES.get(criterion.type)
     if build is None:
-        return _null_score(), F.lit(f"unsupported criterion type: {criterion.type}")
+        return _null_score(), F.lit(notes.NOTE_UNKNOWN_TYPE % (criterion.type,))
     return build(f, criterion)
 
 
