@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from respeval.operators.quality import clean_results, duplicate_ids, validate_table
+from respeval.operators.prompts import lint_prompts
 from respeval.operators.regression import metric_tests
 from respeval.operators.reports import defect_summary, report_statistics
+from respeval.operators.running import running_sum
 from respeval.operators.scoring import score_responses
 from respeval.plans.workflows import score_results
 
@@ -69,3 +71,16 @@ def test_no_cross_joins(stored):
     ):
         text = plan(df)
         assert "Cartesian" not in text and "NestedLoop" not in text
+
+
+def test_running_sum_broadcasts_only_shifts_and_hashes_no_rows(stored):
+    """The rows move by range of their slice; only per-slice totals are hashed."""
+    got = running_sum(stored.select("prompt_id", "unused"), ["prompt_id"], {"upto": "unused"})
+    rows, shifts = plan(got).split("BroadcastExchange", 1)
+    assert "rangepartitioning(__slice" in rows and "hashpartitioning" not in rows
+    assert "HashAggregate" in shifts and "partial_sum" in shifts
+
+
+def test_few_repeated_ids_shuffle_no_rows(stored):
+    assert "Exchange hashpartitioning" not in plan(duplicate_ids(stored))
+    assert "Exchange hashpartitioning" not in plan(lint_prompts(stored))
