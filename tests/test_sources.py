@@ -3,6 +3,8 @@ from __future__ import annotations
 import csv
 import glob
 import json
+import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -104,6 +106,20 @@ def test_shared_folder_comes_from_the_session(spark, tmp_path):
     assert df.inputFiles()
 
 
+def test_no_local_folder_on_a_cluster():
+    def session(master, conf=None, context=None):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda name, default: conf or default),
+            sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: context),
+        )
+
+    assert shared_folder(session("yarn", conf="hdfs:///shared/")) == "hdfs:///shared"
+    assert shared_folder(session("yarn", context="hdfs:///set")) == "hdfs:///set"
+    assert os.path.isdir(shared_folder(session("local[2]")))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session("spark://host:7077"))
+
+
 def test_only_a_small_side_is_broadcast(table):
     side = table([("k", "x" * 50), ("l", None), (None, "é")], "k string, v string")
     long = table([("k", 1)] * 300 + [("m", 2), (None, 3)], "k string, n int")
