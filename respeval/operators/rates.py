@@ -59,3 +59,22 @@ def request_rate(
             ),
         )
     )
+
+
+def with_request_rate(
+    requests: DataFrame, time: str, keys: Sequence[str] = (), calls_per_minute: int = 60
+) -> DataFrame:
+    """Each request with its ``calls_last_minute`` and ``utilization_percent``.
+
+    The rates of ``request_rate``, one row per key and instant, are joined back to the rows. A
+    request without a time has no rate.
+    """
+    by = [*keys, time]
+    rate = request_rate(requests, time, keys, calls_per_minute).select(
+        *[F.col(c).alias(f"__{c}") for c in by], "calls_last_minute", "utilization_percent"
+    )
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    joined = requests.join(rate, same, "left")
+    return joined.drop(*[f"__{c}" for c in by])

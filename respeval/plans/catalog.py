@@ -276,6 +276,12 @@ def request_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def request_rate_per_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = rel.load(spark, sf_dir, "events").select("event_id", "event_type", "ts")
+    rated = rates.with_request_rate(events, "ts", ["event_type"], CALLS_PER_MINUTE)
+    return rated.select("event_id", "calls_last_minute", r6("utilization_percent"))
+
+
 def report_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = rel.derive(rel.load(spark, sf_dir, "pages"), rel.PAGE_RESPONSES)
     shown = score_responses(reports.first_rows(pages, ["seq"]))
@@ -711,6 +717,7 @@ QUERIES = {
     "cumulative_cost_overall": cumulative_cost_overall,
     "budget_alerts": budget_alerts,
     "request_rate": request_rate,
+    "request_rate_per_request": request_rate_per_request,
     "report_sample": report_sample,
     "report_statistics": report_statistics,
     "executive_summary": executive_summary,

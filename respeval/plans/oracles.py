@@ -615,6 +615,12 @@ SELECT event_type, ts, count(*) AS requests, any_value(calls_last_minute) AS cal
   round(any_value(calls_last_minute) / {catalog.CALLS_PER_MINUTE}e0 * 100, 6)
     AS utilization_percent
 FROM calls GROUP BY event_type, ts""",
+    "request_rate_per_request": f"""SELECT event_id, calls_last_minute,
+  round(calls_last_minute / {catalog.CALLS_PER_MINUTE}e0 * 100, 6) AS utilization_percent
+FROM (SELECT event_id, count(*) OVER (
+    PARTITION BY event_type ORDER BY epoch_us(ts)
+    RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS calls_last_minute
+  FROM events)""",
     "report_sample": f"""{WITH_PAGE_SCORES}
 SELECT seq, {_escape("prompt_id")} AS sample_id,
   {_ESCAPED_PROMPT}[:100] || CASE WHEN length(prompt_text) > 100 THEN '...' ELSE '' END AS prompt,

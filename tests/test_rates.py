@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from respeval.operators.rates import request_rate
+from respeval.operators.rates import request_rate, with_request_rate
 
 EPOCH = datetime.datetime(1969, 12, 31, 23, 58)
 
@@ -28,6 +28,14 @@ def test_brute_force(table):
     assert all(r.utilization_percent == r.calls_last_minute / 50 * 100 for r in got)
 
 
+def test_per_request(table):
+    at = [EPOCH, EPOCH, EPOCH + datetime.timedelta(seconds=30), None]
+    rows = [(i, None if i == 2 else "k", t) for i, t in enumerate(at)]
+    df = table(rows, "i int, k string, ts timestamp")
+    got = {r.i: r.calls_last_minute for r in with_request_rate(df, "ts", ["k"]).collect()}
+    assert got == {0: 2, 1: 2, 2: 1, 3: None}
+
+
 def test_without_key(table):
     rows = [(EPOCH,), (EPOCH + datetime.timedelta(seconds=59, microseconds=999_999),),
             (EPOCH + datetime.timedelta(seconds=60),)]
