@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respeval.llm import decontaminate, secrets, token_counts, toxicity
+from respeval.llm import decontaminate, ngram_join, secrets, token_counts, toxicity
 from respeval.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +58,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_secret_scan,
+        op5_ngram_jaccard_join,
         op7_token_counts,
         op9_toxicity,
         op10_decontamination,
