@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respeval.llm import decontaminate, ngram_join, secrets, token_counts, toxicity
+from respeval.llm import decontaminate, mixture, ngram_join, secrets, token_counts, toxicity
 from respeval.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"))
 
 
+def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,9 +63,61 @@ QUERIES = {
     for f in (
         op2_secret_scan,
         op5_ngram_jaccard_join,
+        op6_source_mixture,
         op7_token_counts,
         op9_toxicity,
         op10_decontamination,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_source_mixture": r"""
+with recursive d as (
+    select doc_id, source, text,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+        (('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':17'), 1, 13))::bigint + 0.5::double)
+            / 4503599627370496::double as u,
+        case when length(text) > 0
+            then 0.1::double + 0.9::double * length(regexp_replace(text, '[^\p{L} ]+', '', 'g'))::double
+                / length(text)
+            else 0.1::double end as quality
+    from documents
+), s as (
+    select source, sum(size)::bigint as source_size,
+        [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight
+    from d group by source
+), level(n, capped) as (
+    -- Cap what is above three times its size, share the rest anew, until nothing is above.
+    select 0, [] :: varchar[]
+    union all
+    select n + 1, (
+        select list(coalesce(source, chr(0))) from s
+        where list_contains(capped, coalesce(source, chr(0))) or 3 * source_size * (
+            select sum(weight) from s where not list_contains(capped, coalesce(source, chr(0)))
+        ) <= weight * ((select sum(source_size) from s) - coalesce((
+            select sum(3 * source_size) from s where list_contains(capped, coalesce(source, chr(0)))), 0))
+    )
+    from level where n < (select count(*) from s)
+), final as (
+    select coalesce(capped, []) as capped from level order by n desc limit 1
+), t as (
+    select source, source_size, case when list_contains(capped, coalesce(source, chr(0)))
+        then (3 * source_size)::double
+        else ((select sum(source_size) from s) - coalesce((
+                select sum(3 * source_size) from s where list_contains(capped, coalesce(source, chr(0)))), 0))::double
+            * weight / (select sum(weight) from s where not list_contains(capped, coalesce(source, chr(0))))
+        end as target
+    from s, final
+), g as (
+    select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as epochs from t
+), r as (
+    select d.doc_id, d.size, g.source_size, g.target, g.epochs, g.target - g.epochs * g.source_size as rest,
+        coalesce(sum(d.size) over (
+            partition by d.source order by -ln(u) / quality, coalesce(d.doc_id::varchar, '')
+            rows between unbounded preceding and 1 preceding), 0) as ahead
+    from d join g on d.source is not distinct from g.source
+)
+select doc_id, size, source_size::bigint as source_size, target,
+    (size * (epochs + case when 2 * ahead + size <= 2 * rest then 1 else 0 end))::bigint as taken
+from r
+""",
+}
