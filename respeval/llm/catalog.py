@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respeval.llm import decontaminate, mixture, ngram_join, secrets, token_counts, toxicity
+from respeval.llm import decontaminate, mixture, ngram_join, secrets, sharding, token_counts, toxicity
 from respeval.llm.common import table
 
 
+def op1_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.balance(table(spark, sf_dir, "documents"), 40).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = secrets.secret_spans(table(spark, sf_dir, "documents"))
 
@@ -61,6 +73,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_best_fit_shards,
         op2_secret_scan,
         op5_ngram_jaccard_join,
         op6_source_mixture,
