@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respeval.llm import decontaminate, mixture, ngram_join, secrets, sharding, token_counts, toxicity
+from respeval.llm import decontaminate, fingerprints, mixture, ngram_join, secrets, sharding, token_counts, toxicity
 from respeval.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_likeness(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -78,6 +82,7 @@ QUERIES = {
         op5_ngram_jaccard_join,
         op6_source_mixture,
         op7_token_counts,
+        op8_fingerprints,
         op9_toxicity,
         op10_decontamination,
     )
