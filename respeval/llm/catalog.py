@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respeval.llm import decontaminate, fingerprints, mixture, ngram_join, secrets, sharding, token_counts, toxicity
-from respeval.llm.common import table
+from respeval.llm import (
+    decontaminate,
+    fingerprints,
+    fixity,
+    line_templates,
+    mixture,
+    ngram_join,
+    secrets,
+    sharding,
+    token_counts,
+    toxicity,
+)
+from respeval.llm.common import stored, table
 
 
 def op1_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +48,22 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_templates.dropped_lines(table(spark, sf_dir, "documents"))
+    return found.withColumn("dropped", F.array_join("dropped", ","))
+
+
+def op4_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of all pages against a replica in which some records are damaged or lost.
+
+    Records whose id is divisible by 101 are damaged in the replica, by 103 lost.
+    """
+    primary = stored(fixity.archive_index(table(spark, sf_dir, "pages"), "page_id", "url", "html"), "index")
+    damaged = F.when(F.col("key") % 101 == 0, F.sha2(F.concat(F.lit("damaged"), "digest"), 256)).otherwise(F.col("digest"))
+    replica = stored(primary.filter(F.coalesce(F.col("key") % 103 != 0, F.lit(True))).withColumn("digest", damaged), "replica")
+    return fixity.audit(primary, replica).withColumnRenamed("key", "page_id")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"))
 
@@ -79,6 +106,8 @@ QUERIES = {
     for f in (
         op1_best_fit_shards,
         op2_secret_scan,
+        op3_line_templates,
+        op4_fixity_audit,
         op5_ngram_jaccard_join,
         op6_source_mixture,
         op7_token_counts,
@@ -88,6 +117,58 @@ QUERIES = {
     )
 }
 ORACLES: dict[str, str] = {
+    "op3_line_templates": r"""
+with t as (
+    select distinct text from documents where text is not null
+), l as (
+    select text, unnest(string_split(text, chr(10))) as value,
+        generate_subscripts(string_split(text, chr(10)), 1) - 1 as line
+    from t
+), k as (
+    select text, line, string_split_regex(
+        regexp_replace(value, '[^ \t]*[0-9][^ \t]*', '*', 'g'), '[ \t]+') as tokens
+    from l where trim(translate(value, chr(9), ' ')) <> ''
+), leaves as (
+    select *, len(tokens) as n, tokens[1:3] as lead, count(*) over (partition by len(tokens), tokens[1:3]) as m
+    from k
+), held as (
+    select * from leaves where (n, lead) in (
+        select (n, lead) from leaves where m >= 5 group by n, lead having count(distinct text) >= 5)
+), each as (
+    select text, line, n, lead, unnest(tokens) as token, generate_subscripts(tokens, 1) as place from held
+), constant as (
+    select n, lead, place, token from each where token <> '*'
+    group by n, lead, place, token having count(distinct text) >= 5
+), whole as (
+    select e.text, e.line, e.n, e.lead, count(c.token) as constants,
+        list(coalesce(c.token, '*') order by e.place) as template
+    from each e left join constant c
+        on e.n = c.n and e.lead = c.lead and e.place = c.place and e.token = c.token
+    group by e.text, e.line, e.n, e.lead
+), common as (
+    select n, lead, template from whole where 2 * constants >= n
+    group by n, lead, template having count(distinct text) >= 5
+), dropped as (
+    select w.text, list(w.line order by w.line) as lines
+    from whole w join common c on w.n = c.n and w.lead = c.lead and w.template = c.template
+    group by w.text
+)
+select doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::bigint as n_lines,
+    coalesce(len(lines), 0)::bigint as n_dropped, coalesce(array_to_string(lines, ','), '') as dropped
+from documents d left join dropped x on d.text = x.text
+""",
+    "op4_fixity_audit": r"""
+select page_id,
+    coalesce(sum(length) over (order by page_id, digest rows between unbounded preceding and 1 preceding),
+        0)::bigint as "offset",
+    length, digest, status
+from (
+    select page_id, (strlen(coalesce(url, '')) + strlen(coalesce(html, '')) + 128)::bigint as length,
+        sha256(coalesce(url, '') || chr(10) || coalesce(html, '')) as digest,
+        case when page_id % 103 = 0 then 'missing' when page_id % 101 = 0 then 'corrupt' else 'ok' end as status
+    from pages
+)
+""",
     "op6_source_mixture": r"""
 with recursive d as (
     select doc_id, source, text,
