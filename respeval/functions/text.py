@@ -128,9 +128,11 @@ def has_list_marker(text: Column, lowered: Column) -> Column:
 
 _NOT_SPACE = f"[^{LATIN_SPACES}{WIDE_SPACES}]"
 _PUNCTUATION = f"[{re.escape(WORD_PUNCTUATION)}]"
-# Punctuation up to the end of a word, or from its start. The first lookahead only saves time.
+# A run of punctuation up to the end of a word, or from its start. A run is looked at once, from its
+# head and without giving back, so a long one costs no more than its length.
 _WORD_ENDS = (
-    f"(?={_PUNCTUATION})(?:{_PUNCTUATION}+(?!{_NOT_SPACE})|(?<!{_NOT_SPACE}){_PUNCTUATION}+)"
+    f"(?<!{_PUNCTUATION})(?={_PUNCTUATION})"
+    f"(?:{_PUNCTUATION}++(?!{_NOT_SPACE})|(?<!{_NOT_SPACE}){_PUNCTUATION}++)"
 )
 
 

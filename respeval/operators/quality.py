@@ -12,6 +12,7 @@ from respeval.functions.numbers import round_binary
 from respeval.functions.scores import GRADES, expected_grade
 from respeval.functions.text import strip
 from respeval.operators.running import medians_of_slices, slice_table
+from respeval.sources.storage import write_and_read
 from respeval.sources.storage import broadcast_if_small
 
 # The columns each kind of table must have, and the range of scores.
@@ -313,7 +314,7 @@ def quality_report_columns(
         .groupBy("column", "value", "key")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    counts = slice_table(counts, ["column", "value", "key"])
+    counts = slice_table(write_and_read(counts, "counts"), ["column", "value"])
     distinct = counts.groupBy(F.col("column").alias("place")).agg(
         F.count(F.lit(1)).alias("__unique")
     )

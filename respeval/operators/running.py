@@ -16,15 +16,38 @@ NEARLY_SPENT = "Budget warning: $%.4f remaining (80%% spent)"
 
 
 SLICE = "__slice"
+# Slices: so many, and one more for every so many rows, up to a bound on the size of the expression.
+SLICES = 16
+ROWS_PER_SLICE = 1_000_000
+MOST_SLICES = 2048
+SAMPLED_PER_SLICE = 50
 
 
-def slice_table(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Store a table cut by range over ``keys`` into slices of about equal size, numbered in order.
+def slice_table(df: DataFrame, keys: Sequence[str], slices: int | None = None) -> DataFrame:
+    """Number ranges of ``keys`` with about equally many rows, in order.
 
-    Stored, because the number is that of the shuffle partition and must not change between uses.
+    Reads the keys twice when called, to count and to sample them. The bounds of the slices are
+    literals, so a row's slice depends on the row alone, wherever and however often it is computed.
     """
-    ranged = df.repartitionByRange(*keys).withColumn(SLICE, F.spark_partition_id())
-    return write_and_read(ranged, "slices")
+    narrow = df.select(*keys)
+    rows = narrow.count()
+    slices = slices or min(MOST_SLICES, SLICES + rows // ROWS_PER_SLICE)
+    share = min(1.0, SAMPLED_PER_SLICE * slices / max(rows, 1))
+    sample = narrow.sample(share, seed=1).orderBy(*keys).collect()
+    picked = [sample[i * len(sample) // slices] for i in range(1, slices)] if sample else []
+    bounds = list(dict.fromkeys(tuple(r) for r in picked))
+    types = [df.schema[k].dataType for k in keys]
+    here = F.struct(*[F.col(k) for k in keys])
+
+    def number(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        values = zip(keys, bounds[middle], types, strict=True)
+        bound = F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in values])
+        return F.when(here >= bound, number(middle + 1, high)).otherwise(number(low, middle))
+
+    return df.withColumn(SLICE, number(0, len(bounds)))
 
 
 def running_sum(
@@ -32,18 +55,25 @@ def running_sum(
     order_by: Sequence[str],
     sums: dict[str, str],
     partition_by: Sequence[str] = (),
+    slices: int | None = None,
 ) -> DataFrame:
     """Add, for each ``output: input`` of ``sums``, the total of the input so far.
 
+    A null input adds nothing; the total is null until a value was seen. Rows are shuffled once.
     ``order_by`` must tell any two rows of a partition apart. All columns of the table are moved,
     so select those you need first.
     """
     if not order_by:
         raise ValueError("a running sum needs an order")
-    sliced = slice_table(df, [*partition_by, *order_by])
+    sliced = slice_table(df, [*partition_by, *order_by], slices)
     return running_sum_of_slices(sliced, order_by, sums, partition_by)
 
 
+def _plus(a: Column, b: Column) -> Column:
+    """The sum of two totals; null, as no value was seen, only if both are."""
+    return F.when(a.isNotNull() & b.isNotNull(), a + b).otherwise(F.coalesce(a, b))
+
+
 def running_sum_of_slices(
     sliced: DataFrame, order_by: Sequence[str], sums: dict[str, str], partition_by: Sequence[str]
 ) -> DataFrame:
@@ -76,8 +106,7 @@ def running_sum_of_slices(
     so_far = Window.partitionBy(*grain).orderBy(*order_by).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    # By range of the slice number, each task gets one slice; a hash would pile up several on one.
-    local = sliced.repartitionByRange(SLICE).select(
+    local = sliced.select(
         "*", *[F.sum(source).over(so_far).alias(f"__l_{out}") for out, source in sums.items()]
     )
     same_slice = F.lit(True)
@@ -86,10 +115,7 @@ def running_sum_of_slices(
     joined = local.join(F.broadcast(shifts), same_slice, "left")
     return joined.select(
         *[c for c in sliced.columns if c not in sums and c != SLICE],
-        *[
-            (F.col(f"__l_{out}") + F.coalesce(f"__shift_{out}", F.lit(0))).alias(out)
-            for out in sums
-        ],
+        *[_plus(F.col(f"__l_{out}"), F.col(f"__shift_{out}")).alias(out) for out in sums],
     )
 
 
@@ -162,6 +188,7 @@ def exact_medians(values: DataFrame) -> DataFrame:
     and many are ordered over all tasks rather than gathered in one.
     """
     counts = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = write_and_read(counts, "counts")
     return medians_of_slices(slice_table(counts, ["column", "value"]))
 
 

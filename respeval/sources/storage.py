@@ -16,21 +16,34 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``, or the program by setCheckpointDir.
 
-    Only a local session without either gets a temporary folder: executors on other machines
-    could not read it.
+    A local session without either, where all tasks run on this machine, gets one temporary folder,
+    set as its checkpoint folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="respeval-")
+    if context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="respeval-"))
+        return context.getCheckpointDir().rstrip("/")
     raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there, through Spark's own file systems."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this application stored; lazy results over it can no longer be read."""
+    remove(spark, f"{shared_folder(spark)}/respeval/{spark.sparkContext.applicationId}")
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, below a folder of this application.
 
-    Lazy tables read these files later, so they stay until the application's folder is removed.
+    Lazy tables read these files later, so they stay until ``release``.
     """
     run = spark.sparkContext.applicationId
     return f"{shared_folder(spark)}/respeval/{run}/{name}-{uuid.uuid4().hex}"
@@ -52,13 +65,16 @@ def broadcast_if_small(
 ) -> DataFrame:
     """A join side, marked for broadcast if it proves small; else left to a shuffle join.
 
-    The side is stored first and measured, so it is computed once. With a broadcast the other,
-    long side is not shuffled at all. Beyond the bounds both are shuffled, where adaptive
-    execution splits the partitions of frequent keys.
+    The side is stored first and measured, which runs when this is called, so it is computed once
+    and keeps that state. With a broadcast the other, long side is not shuffled at all. Beyond the
+    bounds both are shuffled, where adaptive execution splits the partitions of frequent keys.
+    Measuring stops at the bound on rows.
     """
     stored = write_and_read(side, "side")
     text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in stored.columns]))
-    rows, size = stored.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))
-    ).first()
+    rows, size = (
+        stored.limit(max_rows + 1)
+        .agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)))
+        .first()
+    )
     return F.broadcast(stored) if rows <= max_rows and size <= max_bytes else stored

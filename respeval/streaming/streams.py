@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from respeval.functions.numbers import round_binary
 from respeval.operators.running import alert_columns, check_limit, cumulative_cost
 from respeval.operators.scoring import Rubric, score_responses
-from respeval.sources.storage import broadcast_if_small
+from respeval.sources.storage import remove
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -134,7 +134,8 @@ def budget_sink(
     Rows are ordered inside a micro-batch; a row that arrives in a later batch counts as later
     spending. Per batch it stores the alerts under ``path/alerts`` and what each run has spent
     under ``path/spent``, where the next batch picks it up. The running sum inside a batch is
-    spread over all tasks even if one run makes up most of it, which keyed state would not be.
+    spread over all tasks even if one run makes up most of it, which keyed state would not be. Nothing
+    else is stored, and only the last two states of the runs are kept.
     """
     check_limit(limit)
 
@@ -146,7 +147,7 @@ def budget_sink(
             before = batch.sparkSession.read.parquet(f"{path}/spent/batch_id={batch_id - 1}")
         carried = before.select(F.col(run).alias("__run"), F.col("spent").alias("__spent"))
         same_run = F.col(run).eqNullSafe(F.col("__run"))
-        spent = running.join(broadcast_if_small(carried), same_run, "left")
+        spent = running.join(carried, same_run, "left")
         total = F.col("cumulative_cost") + F.coalesce("__spent", F.lit(0.0))
         kind, message = alert_columns(F.col("cumulative_cost"), limit)
         alerts = (
@@ -162,5 +163,7 @@ def budget_sink(
         now.groupBy(run).agg(F.sum("spent").alias("spent")).write.mode("overwrite").parquet(
             f"{path}/spent/batch_id={batch_id}"
         )
+        # The batch and the one before may be run again; what came before them is not read any more.
+        remove(batch.sparkSession, f"{path}/spent/batch_id={batch_id - 2}")
 
     return on_batch

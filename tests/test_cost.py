@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from respeval.functions.cost import PRICES, normalize_model
 from respeval.operators.costs import cost_by_model, cost_summary, price_requests, row_cost
 from respeval.operators.running import (
+    SLICE,
+    SLICES,
     budget_alerts,
     budget_status,
     cumulative_cost,
     exact_medians,
     running_sum,
+    slice_table,
 )
 
 USAGE = "run string, seq long, model string, input_tokens long, output_tokens long"
@@ -127,15 +130,32 @@ def test_running_sum_over_a_hot_partition(spark, table, partition):
     assert len(got) == len(rows)
 
 
-def test_hot_partition_is_cut_into_slices(spark, table):
-    df = table([("hot", i, 1) for i in range(20_000)], "run string, seq long, x long")
+@pytest.mark.parametrize("slices", [1, 8, 40])
+@pytest.mark.parametrize("partition", [[], ["run"]])
+def test_running_sum_with_nulls_at_slice_starts(spark, table, partition, slices):
+    """Nulls over several slices, at the start of a run, and in a whole run."""
+    rows = [("a", i, None if 500 <= i < 1500 or i < 20 else i % 7) for i in range(2000)]
+    rows += [("b", i, None) for i in range(2000, 2400)] + [(None, i, 1) for i in range(2400, 2500)]
+    df = table(rows, "run string, seq long, x long").repartition(16)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = running_sum(df, ["seq"], {"upto": "x"}, ["run"])
-        sizes = got.groupBy(F.spark_partition_id()).count().collect()
+        got = running_sum(df, ["seq"], {"upto": "x"}, partition, slices=slices).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert max(r["count"] for r in sizes) < 20_000
+    expected, totals = {}, {}
+    for run, seq, x in rows:
+        key = run if partition else 0
+        if x is not None:
+            totals[key] = totals.get(key, 0) + x
+        expected[seq] = totals.get(key)
+    assert {r.seq: r.upto for r in got} == expected
+    assert len(got) == len(rows)
+
+
+def test_hot_partition_is_cut_into_slices(table):
+    df = table([("hot", i, 1) for i in range(20_000)], "run string, seq long, x long")
+    sizes = [r["count"] for r in slice_table(df, ["run", "seq"]).groupBy(SLICE).count().collect()]
+    assert len(sizes) == SLICES and max(sizes) < 2 * 20_000 / SLICES
 
 
 def test_running_sum_needs_order(table):

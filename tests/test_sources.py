@@ -20,7 +20,7 @@ from respeval.plans.workflows import (
 )
 from respeval.sources import results as io
 from respeval.sources import storage
-from respeval.sources.storage import shared_folder, write_and_read
+from respeval.sources.storage import remove, shared_folder, write_and_read
 
 ROWS = [("a", 'say "hi",\nthen <go>', 1.5, ["D01", "D02"]), ("b", None, None, []),
         ("c", "é; \\n", 2.0, None)]
@@ -101,11 +101,19 @@ def test_usage_log(spark, table, tmp_path):
 def test_shared_folder_comes_from_the_session(spark, tmp_path):
     before = spark.conf.get("spark.checkpoint.dir", None)
     assert before is None or shared_folder(spark) == before.rstrip("/")
+    assert shared_folder(spark) == shared_folder(spark)
     df = write_and_read(spark.range(10), "t")
     assert df.count() == 10
     assert df.inputFiles()
 
 
+def test_removed_folders_are_gone(spark, tmp_path):
+    spark.range(3).write.parquet(f"file://{tmp_path}/t")
+    remove(spark, f"file://{tmp_path}/t")
+    remove(spark, f"file://{tmp_path}/t")
+    assert not os.path.exists(tmp_path / "t")
+
+
 def test_no_local_folder_on_a_cluster():
     def session(master, conf=None, context=None):
         return SimpleNamespace(
@@ -115,7 +123,6 @@ def test_no_local_folder_on_a_cluster():
 
     assert shared_folder(session("yarn", conf="hdfs:///shared/")) == "hdfs:///shared"
     assert shared_folder(session("yarn", context="hdfs:///set")) == "hdfs:///set"
-    assert os.path.isdir(shared_folder(session("local[2]")))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(session("spark://host:7077"))
 

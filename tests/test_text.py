@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +94,13 @@ def test_first_non_empty(table):
     df = table([(None, ""), ("", "b"), ("a", "b"), (None, None)], "a string, b string")
     rows = df.select(tx.first_non_empty(F.col("a"), F.col("b")).alias("x")).collect()
     assert [r.x for r in rows] == ["", "b", "a", ""]
+
+
+def test_long_runs_take_linear_time(spark, table):
+    """100,000 characters of what a pattern could rescan: dots in a word, markers, numbers, fences."""
+    texts = ["a" + "." * 100_000 + "b", "so " * 33_000, "1" * 100_000, "`" * 100_000, "." * 100_000]
+    df = table([("because " * 25 + t,) for t in texts], "response string")
+    start = time.monotonic()
+    got = score_responses(df).collect()
+    assert len(got) == len(texts)
+    assert time.monotonic() - start < 20
