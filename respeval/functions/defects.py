@@ -9,15 +9,6 @@ from respeval.functions import text as tx
 from respeval.functions.scores import TextFeatures
 
 # Defect codes, the dimension behind each score defect, and the marker phrases.
-DEFECT_TYPES = {
-    "D01": "Logical Defect",
-    "D02": "Factual Defect",
-    "D03": "Tone Defect",
-    "D04": "Incomplete Response",
-    "D05": "Redundancy Defect",
-    "D06": "Refusal/Avoidance",
-    "D07": "Hallucination Warning",
-}
 SCORE_DEFECTS = {"reasoning": "D01", "accuracy": "D02", "tone": "D03", "completeness": "D04"}
 REFUSALS = (
     "as an ai model",

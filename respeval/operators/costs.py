@@ -62,13 +62,18 @@ def price_requests(
         price_in, price_out = price_columns(_model(df), prices)
         cost = request_cost(F.col("input_tokens"), F.col("output_tokens"), price_in, price_out)
         return df.select("*", cost.alias("cost"))
-    fallback = prices.filter(F.col("price_key") == DEFAULT_MODEL)
-    listed = broadcast_if_small(prices.select("price_key", "input_price", "output_price"))
-    joined = df.withColumn("price_key", normalize_model(_model(df))).join(
-        listed, "price_key", "left"
+    # Private names, as the table may have columns of these names.
+    listed = prices.select(
+        F.col("price_key").alias("__key"),
+        F.col("input_price").alias("__in"),
+        F.col("output_price").alias("__out"),
     )
-    price_in = F.coalesce("input_price", fallback.select("input_price").scalar())
-    price_out = F.coalesce("output_price", fallback.select("output_price").scalar())
+    fallback = listed.filter(F.col("__key") == DEFAULT_MODEL)
+    joined = df.withColumn("__model", normalize_model(_model(df))).join(
+        broadcast_if_small(listed), F.col("__model") == F.col("__key"), "left"
+    )
+    price_in = F.coalesce("__in", fallback.select("__in").scalar())
+    price_out = F.coalesce("__out", fallback.select("__out").scalar())
     cost = request_cost(F.col("input_tokens"), F.col("output_tokens"), price_in, price_out)
     return joined.select(*[F.col(c) for c in df.columns], cost.alias("cost"))
 

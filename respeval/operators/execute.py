@@ -17,6 +17,10 @@ RESULT_SCHEMA = (
     "error string, error_type string"
 )
 
+# Without a given concurrency: prompts of one task, and the most tasks.
+PROMPTS_PER_TASK = 20
+MOST_TASKS = 10_000
+
 
 def filter_success(df: DataFrame) -> DataFrame:
     """Rows with status ``success``; a table without the column is kept whole."""
@@ -44,8 +48,9 @@ def execute_prompts(
 ) -> DataFrame:
     """Run ``fn`` on every prompt; an exception makes an error row, never a failed job.
 
-    ``fn`` runs once per task attempt, so a lost executor repeats the calls of its tasks.
-    ``concurrency`` spreads the prompts over that many tasks.
+    So does an answer that is not a string. ``fn`` runs once per task attempt, so a lost executor
+    repeats the calls of its tasks. ``concurrency`` spreads the prompts over that many tasks; without
+    it, a table is spread by the number of its prompts, which are counted when this is called.
     """
     if not {"prompt", "text"} & set(prompts.columns):
         raise ValueError("prompts need a 'prompt' or a 'text' column")
@@ -55,6 +60,8 @@ def execute_prompts(
         F.coalesce(*ids, F.lit("unknown")).alias("prompt_id"),
         prompt_text(prompts, ("prompt", "text")).alias("prompt"),
     )
+    if not concurrency and not asked.isStreaming:
+        concurrency = max(1, min(MOST_TASKS, -(-asked.count() // PROMPTS_PER_TASK)))
     if concurrency:
         asked = asked.repartition(concurrency)
 
@@ -63,7 +70,10 @@ def execute_prompts(
             answers = []
             for text in batch["prompt"]:
                 try:
-                    answers.append((fn(text), "success", None, None))
+                    answer = fn(text)
+                    if not isinstance(answer, str):
+                        raise TypeError(f"the answer is of type {type(answer).__name__}, not str")
+                    answers.append((answer, "success", None, None))
                 except Exception as e:  # any failure of user code becomes a row
                     answers.append(("", "error", str(e), type(e).__name__))
             response, status, error, kind = zip(*answers, strict=True) if answers else ([],) * 4

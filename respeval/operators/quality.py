@@ -172,18 +172,37 @@ def validate_table(df: DataFrame, kind: str = "raw_results") -> DataFrame:
     return issues.select("issue", "column", "rows", share.alias("percentage"))
 
 
+def _drop_duplicate_rows(df: DataFrame) -> DataFrame:
+    def plain(f: T.StructField) -> Column:
+        # Negative zero equals zero, as in grouping.
+        is_float = isinstance(f.dataType, (T.FloatType, T.DoubleType))
+        return (F.col(f.name) + F.lit(0.0) if is_float else F.col(f.name)).alias(f.name)
+
+    if not df.columns:
+        return df
+    digest = F.sha2(F.to_json(F.struct(*[plain(f) for f in df.schema.fields])), 256)
+    marked = df.withColumn("__digest", digest)
+    repeated = marked.groupBy("__digest").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    repeated = broadcast_if_small(repeated.select("__digest"))
+    single = marked.join(repeated, "__digest", "left_anti")
+    again = marked.join(repeated, "__digest", "left_semi").dropDuplicates(["__digest"])
+    return single.unionByName(again).drop("__digest")
+
+
 def clean_results(df: DataFrame) -> DataFrame:
     """Trim strings, drop duplicate rows, clip scores, repair grades, in this order.
 
     Clipping and repair come after the duplicates are dropped, so rows that differ only in an
-    out-of-range score or a bad grade both stay.
+    out-of-range score or a bad grade both stay. Only digests are shuffled, and the rows whose digest
+    occurs more than once; these digests are counted and stored when this is called.
     """
     trimmed = df.select(
         *[
             strip(df[f.name]).alias(f.name) if _is_string(f.dataType) else df[f.name]
             for f in df.schema.fields
         ]
-    ).dropDuplicates()
+    )
+    trimmed = _drop_duplicate_rows(trimmed)
 
     def repaired(f: T.StructField) -> Column:
         c = F.col(f.name)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MINUTE = 60_000_000
+SECOND = 1_000_000
 
 
 def _micros(df: DataFrame, time: str) -> Column:
@@ -24,30 +24,62 @@ def request_rate(
 ) -> DataFrame:
     """Per key and instant at which requests came in: calls of the last 60 seconds, and load.
 
-    Requests of one instant are counted first. Each instant is then placed in its own minute and,
-    as context, in the next one, so a window task sees one key and two minutes of distinct
-    instants, never a whole key.
+    Requests of one instant are counted first, then those of each second. A trailing minute is 59
+    whole seconds, which a window over the seconds of two minutes adds up, its own second up to the
+    instant, and what of the second 60 before comes after the instant's place in it. So no window
+    task holds more than the instants of two seconds of a key, or the seconds of two minutes.
     """
     if calls_per_minute <= 0:
         raise ValueError("calls_per_minute must be positive")
-    micros = _micros(requests, time)
     instants = (
         requests.filter(F.col(time).isNotNull())
         .groupBy(*keys, F.col(time))
         .agg(F.count(F.lit(1)).alias("requests"))
-        .withColumn("__at", micros)
+        .withColumn("__at", _micros(requests, time))
     )
-    own = F.col("__at") - F.pmod(F.col("__at"), F.lit(MINUTE))
-    placed = instants.withColumn("__own", own).withColumn(
-        "__minute", F.explode(F.array(F.col("__own"), F.col("__own") + MINUTE))
+    place = F.pmod(F.col("__at"), F.lit(SECOND))
+    instants = instants.select(
+        *keys, time, "requests", ((F.col("__at") - place) / SECOND).cast("bigint").alias("__second"),
+        place.alias("__place"),
     )
-    trailing = (
-        Window.partitionBy(*keys, "__minute").orderBy("__at").rangeBetween(-(MINUTE - 1), 0)
+    nothing = F.lit(0).cast("bigint")
+    time_type = instants.schema[time].dataType
+
+    seconds = instants.groupBy(*keys, "__second").agg(F.sum("requests").alias("n"))
+    own = F.floor(F.col("__second") / 60)
+    seconds = seconds.withColumn("__own", own).withColumn(
+        "__minute", F.explode(F.array(F.col("__own"), F.col("__own") + 1))
+    )
+    whole = Window.partitionBy(*keys, "__minute").orderBy("__second").rangeBetween(-59, -1)
+    seconds = seconds.withColumn("__whole", F.coalesce(F.sum("n").over(whole), nothing))
+    seconds = seconds.filter(F.col("__own") == F.col("__minute")).select(
+        *keys, F.lit(None).cast(time_type).alias(time), nothing.alias("requests"), "__second",
+        F.lit(-1).cast("bigint").alias("__place"), nothing.alias("__old"), "__whole",
+    )
+
+    # Each instant counts in its own second, and in the one a minute later as one that drops out.
+    both = F.array(
+        F.struct("__second", F.col(time), "requests", nothing.alias("__old")),
+        F.struct(
+            (F.col("__second") + 60).alias("__second"),
+            F.lit(None).cast(time_type).alias(time),
+            nothing.alias("requests"),
+            F.col("requests").alias("__old"),
+        ),
+    )
+    rows = instants.select(*keys, "__place", F.inline(both)).withColumn("__whole", nothing)
+    rows = rows.unionByName(seconds)
+    second = Window.partitionBy(*keys, "__second")
+    upto = second.orderBy("__place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    calls = (
+        F.sum("requests").over(upto)
+        + F.sum("__old").over(second)
+        - F.sum("__old").over(upto)
+        + F.sum("__whole").over(second)
     )
-    calls = F.sum("requests").over(trailing)
     return (
-        placed.withColumn("calls_last_minute", calls)
-        .filter(F.col("__own") == F.col("__minute"))
+        rows.withColumn("calls_last_minute", calls)
+        .filter(F.col(time).isNotNull())
         .select(
             *keys,
             time,

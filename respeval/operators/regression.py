@@ -65,18 +65,27 @@ def _grade_aggregates() -> list[Column]:
     return out
 
 
-def _metric_rows(wide: DataFrame, metrics: list[str]) -> DataFrame:
-    """One row per metric with sizes, means, effect size and t statistic."""
-    parts = ("n", "mean", "var")
+def _metric_rows(wide: DataFrame, metrics: list[str], graded: bool = False) -> DataFrame:
+    """One row per metric with sizes, means, effect size and t statistic.
+
+    With ``graded`` there is one more row, for the grades, and all rows have the struct ``grades``.
+    All come out of one generator, so what is below it is computed once.
+    """
+    parts = [(p, s) for p in ("n", "mean", "var") for s in ("b", "c")]
+    kinds = dict(wide.dtypes)
+    of_grades = [c for c in wide.columns if c.startswith("grade")] if graded else []
+    rest = ["rows_b", "rows_c", *([F.struct(*of_grades).alias("grades")] if graded else [])]
     structs = [
         F.struct(
             F.lit(METRICS[m]).alias("metric"),
-            *[F.col(f"{p}_{s}_{i}").alias(f"{p}_{s}") for p in parts for s in ("b", "c")],
-            "rows_b",
-            "rows_c",
+            *[F.col(f"{p}_{s}_{i}").alias(f"{p}_{s}") for p, s in parts],
+            *rest,
         )
         for i, m in enumerate(metrics)
     ]
+    if graded:
+        nothing = [F.lit(None).cast(kinds[f"{p}_{s}_0"]).alias(f"{p}_{s}") for p, s in parts]
+        structs.append(F.struct(F.lit(GRADE_METRIC).alias("metric"), *nothing, *rest))
     rows = wide.select(F.inline(F.array(*structs)))
     n_b, n_c = F.col("n_b"), F.col("n_c")
     var_b, var_c = F.col("var_b"), F.col("var_c")
@@ -103,6 +112,7 @@ def _metric_rows(wide: DataFrame, metrics: list[str]) -> DataFrame:
         freedom.cast("double").alias("degrees_of_freedom"),
         "rows_b",
         "rows_c",
+        *(["grades"] if graded else []),
     )
 
 
@@ -161,7 +171,9 @@ def grade_distribution(runs: DataFrame, run: str = "run") -> DataFrame:
     return wide.select(run, F.inline(F.array(*rows)))
 
 
-def _grade_row(wide: DataFrame, confidence: float, rescale: bool) -> DataFrame:
+def _with_grade_test(wide: DataFrame, confidence: float, rescale: bool) -> DataFrame:
+    """Add fail rates, their rise, chi-square, its p-value and the verdict to the grade counts."""
+
     def smoothed(grade: str, side: str) -> Column:
         return F.col(f"grade_{grade}_{side}") + 1
 
@@ -178,21 +190,18 @@ def _grade_row(wide: DataFrame, confidence: float, rescale: bool) -> DataFrame:
         chi2 = chi2 + F.pow(smoothed(g, "c") - expected, F.lit(2)) / expected
     # A goodness-of-fit test needs equal totals. Without them there is no test, and no regression.
     testable = F.lit(True) if rescale else total_b == total_c
+    rise = F.col("current_fail_pct") - F.col("baseline_fail_pct")
+    worse = (F.col("fail_increase") > FAIL_RISE_POINTS) & (F.col("grade_p_value") < 1 - confidence)
     return (
-        wide.select(
-            F.lit(GRADE_METRIC).alias("metric"),
-            fail_pct("b").alias("baseline_fail_pct"),
-            fail_pct("c").alias("current_fail_pct"),
-            F.when(testable, chi2).otherwise(0.0).alias("chi2"),
-            "rows_b",
-            "rows_c",
-        )
-        .withColumn("fail_increase", F.col("current_fail_pct") - F.col("baseline_fail_pct"))
-        .withColumn("p_value", chi_square_tail_4(F.col("chi2")))
-        .withColumn(
-            "is_regression",
-            (F.col("fail_increase") > FAIL_RISE_POINTS) & (F.col("p_value") < 1 - confidence),
+        wide.withColumns(
+            {
+                "baseline_fail_pct": fail_pct("b"),
+                "current_fail_pct": fail_pct("c"),
+                "chi2": F.when(testable, chi2).otherwise(0.0),
+            }
         )
+        .withColumns({"fail_increase": rise, "grade_p_value": chi_square_tail_4(F.col("chi2"))})
+        .withColumn("grades_worse", worse)
     )
 
 
@@ -209,7 +218,15 @@ def grade_regression(
     """
     sides = [F.count_if(side).alias(f"rows_{s}") for s, side in _sides().items()]
     wide = _together(baseline, current, ["grade"]).agg(*sides, *_grade_aggregates())
-    return _grade_row(wide, confidence, rescale).drop("rows_b", "rows_c")
+    return _with_grade_test(wide, confidence, rescale).select(
+        F.lit(GRADE_METRIC).alias("metric"),
+        "baseline_fail_pct",
+        "current_fail_pct",
+        "chi2",
+        "fail_increase",
+        F.col("grade_p_value").alias("p_value"),
+        F.col("grades_worse").alias("is_regression"),
+    )
 
 
 REPORT_SCHEMA = (
@@ -250,33 +267,30 @@ def regression_report(
             .otherwise("stable")
         )
 
-    judged = _verdicts(_metric_rows(wide, metrics), confidence, effect)
-    report = judged.select(
-        "metric",
-        F.col("baseline_mean").alias("baseline_value"),
-        F.col("current_mean").alias("current_value"),
-        F.col("percent_change").alias("change"),
-        F.col("cohens_d").alias("effect"),
-        F.col("t_statistic").alias("statistic"),
-        "p_value",
-        status(F.col("is_regression"), F.col("is_improvement")).alias("status"),
-        reason.alias("reason"),
-    )
+    judged = _verdicts(_metric_rows(wide, metrics, graded), confidence, effect)
+    values = {
+        "baseline_value": F.col("baseline_mean"),
+        "current_value": F.col("current_mean"),
+        "change": F.col("percent_change"),
+        "effect": F.col("cohens_d"),
+        "statistic": F.col("t_statistic"),
+        "p_value": F.col("p_value"),
+        "status": status(F.col("is_regression"), F.col("is_improvement")),
+    }
     if graded:
-        report = report.unionByName(
-            _grade_row(wide, confidence, rescale).select(
-                "metric",
-                F.col("baseline_fail_pct").alias("baseline_value"),
-                F.col("current_fail_pct").alias("current_value"),
-                F.col("fail_increase").alias("change"),
-                F.lit(None).cast("double").alias("effect"),
-                F.col("chi2").alias("statistic"),
-                "p_value",
-                status(F.col("is_regression"), F.lit(False)).alias("status"),
-                reason.alias("reason"),
-            )
-        )
-    return report
+        judged = _with_grade_test(judged.select("*", "grades.*"), confidence, rescale)
+        of_grades = {
+            "baseline_value": F.col("baseline_fail_pct"),
+            "current_value": F.col("current_fail_pct"),
+            "change": F.col("fail_increase"),
+            "effect": F.lit(None).cast("double"),
+            "statistic": F.col("chi2"),
+            "p_value": F.col("grade_p_value"),
+            "status": status(F.col("grades_worse"), F.lit(False)),
+        }
+        is_grades = F.col("metric") == GRADE_METRIC
+        values = {k: F.when(is_grades, of_grades[k]).otherwise(v) for k, v in values.items()}
+    return judged.select("metric", *[v.alias(k) for k, v in values.items()], reason.alias("reason"))
 
 
 def run_verdict(report: DataFrame) -> DataFrame:

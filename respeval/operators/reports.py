@@ -13,6 +13,7 @@ from respeval.functions.sanitize import html_escape
 from respeval.functions.scores import DEFAULT_WEIGHTS
 from respeval.operators.running import medians_of_slices, slice_table
 from respeval.operators.scoring import present, prompt_text
+from respeval.sources.storage import write_and_read
 
 # The score that counts as a success on each scale, and the insight bands.
 SUCCESS_ON_ONE, SUCCESS_ON_FIVE = 0.7, 3.5
@@ -75,7 +76,7 @@ def executive_summary(df: DataFrame, approximate_median: bool = False) -> DataFr
         counts = scores.groupBy(F.lit(name).alias("column"), F.col("score").alias("value")).agg(
             F.count(F.lit(1)).alias("n")
         )
-        scores = slice_table(counts, ["column", "value"])
+        scores = slice_table(write_and_read(counts, "counts"), ["column", "value"])
         score, n = F.col("value"), F.col("n")
         known = F.sum(F.when(score.isNotNull(), n))
         mean = F.try_divide(F.sum(score * n), known)
@@ -215,8 +216,10 @@ def histogram(values: DataFrame, bins: int, value: str = "value") -> DataFrame:
     A single value widens the range by a half to both sides; no value gives empty bins over 0-1.
     """
     x = F.col(value)
-    known = F.when(~F.isnan(x), x)
-    ends = values.agg(F.min(known).alias("lo"), F.max(known).alias("hi"))
+    counted = values.groupBy(F.when(~F.isnan(x), x).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    # Both uses of the counts read the same columns, so their shuffle is done once and reused.
+    seen = F.when(F.col("n") > 0, F.col("x"))
+    ends = counted.agg(F.min(seen).alias("lo"), F.max(seen).alias("hi"))
     widened = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
     ends = ends.select(
         F.coalesce(F.col("lo") - widened, F.lit(0.0)).alias("lo"),
@@ -226,14 +229,17 @@ def histogram(values: DataFrame, bins: int, value: str = "value") -> DataFrame:
     edges = [F.col("lo") + F.lit(float(i)) * step for i in range(bins)] + [F.col("hi")]
     # The edges are a scalar subquery, named once so that it is planned once. A value's bin is
     # the number of inner edges at or below it.
-    placed = values.select(known.alias("x"), ends.select(F.array(*edges)).scalar().alias("edges"))
+    placed = counted.select("x", "n", ends.select(F.array(*edges)).scalar().alias("edges"))
     inner = F.slice("edges", 2, bins - 1)
     bin_of = F.size(F.filter(inner, lambda e: F.col("x") >= e))
     counts = placed.select(
-        "edges", F.when(F.col("x").isNotNull(), bin_of).alias("bin")
+        "edges", "n", F.when(F.col("x").isNotNull(), bin_of).alias("bin")
     ).agg(
         F.first("edges").alias("edges"),
-        *[F.count_if(F.col("bin") == i).alias(f"__{i}") for i in range(bins)],
+        *[
+            F.coalesce(F.sum(F.when(F.col("bin") == i, F.col("n"))), F.lit(0)).alias(f"__{i}")
+            for i in range(bins)
+        ],
     )
     unit = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
     filled = counts.withColumn("edges", F.coalesce("edges", unit))

@@ -179,7 +179,7 @@ def _rule(rule: str, **params):
 def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = {"json_key": "k", "min_val": 0, "max_val": 100}
     rubric = Rubric((Criterion("judge", 1.0, "judge", params),))
-    table = rel.derive(rel.spread(rel.load(spark, sf_dir, "events")), rel.JUDGE_TEXTS)
+    table = rel.derive(rel.load(spark, sf_dir, "events"), rel.JUDGE_TEXTS)
     scored = score_responses(table, rubric, defects=False)
     return scored.select(
         "event_id", r6("score_judge"), r6("score_judge_raw"), "score_judge_notes"
@@ -406,16 +406,14 @@ def clean_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = quality.clean_results(_dirty_scores(spark, sf_dir))
     return cleaned.select(
         "prompt_id",
-        F.length("response").cast("bigint").alias("chars"),
+        "response",
         *[r6(c) for c in ("overall_score", "score_accuracy", "score_tone")],
         "grade",
     )
 
 
 def quality_report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_report_table(
-        rel.load(spark, sf_dir, "documents").select("text", "lang")
-    )
+    return quality.quality_report_table(rel.load(spark, sf_dir, "documents"))
 
 
 def _column_view(report: DataFrame) -> DataFrame:
@@ -431,7 +429,7 @@ def _column_view(report: DataFrame) -> DataFrame:
 
 
 def quality_report_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = rel.spread(rel.load(spark, sf_dir, "lineitem"))
+    items = rel.load(spark, sf_dir, "lineitem")
     return _column_view(quality.quality_report_columns(items))
 
 
@@ -442,7 +440,7 @@ def quality_report_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The scored answers, and a later run of the same prompts."""
-    docs = rel.spread(rel.load(spark, sf_dir, "documents"))
+    docs = rel.load(spark, sf_dir, "documents")
     columns = rel.DOC_RESPONSES | {"lang": "lang"}
     scored = score_responses(rel.derive(docs, columns), defects=False)
     baseline = scored.withColumn("grade", expected_grade(F.col("overall_score")))
@@ -604,10 +602,10 @@ def _round_trip(fmt: str):
     """The documents, line breaks and quotes included, through a file format and back."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = rel.load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+        docs = rel.load(spark, sf_dir, "documents")
         path = work_path(spark, f"round-trip-{fmt}")
         io.save_responses(docs, path, fmt)
-        schema = "doc_id bigint, lang string, n_chars bigint, text string"
+        schema = "doc_id bigint, lang string, n_chars bigint, source string, text string"
         if fmt == "csv":
             return io.load_typed_results(spark, path, schema)
         return spark.read.schema(schema).format(fmt).load(path)
@@ -654,8 +652,7 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = rel.load_stream(spark, sf_dir, "events")
-    stored = _persist(spark, events.select("event_id", "event_type", "value"), "stream-persist")
-    return stored.select("event_id", "event_type", "value")
+    return _persist(spark, events, "stream-persist")
 
 
 def stream_request_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -680,10 +677,16 @@ def stream_usage_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_budget_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    usage = price_requests(rel.derive(rel.load_stream(spark, sf_dir, "events"), rel.USAGE))
+    """The usage arrives in four parts, in order; the stream goes on from its checkpoint each time."""
     path = work_path(spark, "stream-budget")
+    parts = running.slice_table(rel.usage(spark, sf_dir), USAGE_ORDER, 4)
+    schema = parts.drop(running.SLICE).schema
     sink = streams.budget_sink(f"{path}/out", BUDGET, USAGE_ORDER)
-    streams.run_available(usage, sink, f"{path}/checkpoint")
+    for i in range(4):
+        part = parts.filter(F.col(running.SLICE) == i).drop(running.SLICE)
+        part.write.mode("append").parquet(f"{path}/in")
+        usage = price_requests(spark.readStream.schema(schema).parquet(f"{path}/in"))
+        streams.run_available(usage, sink, f"{path}/checkpoint")
     alerts = spark.read.parquet(f"{path}/out/alerts")
     remaining = F.round(F.lit(BUDGET) - F.col("cumulative_cost"), 8).alias("remaining")
     return alerts.select("run", "event_id", "alert", remaining)

@@ -723,14 +723,14 @@ trimmed AS (
     overall_score, score_accuracy, score_tone, score_flat, trim(grade) AS grade
   FROM t
 )
-SELECT prompt_id, length(response) AS chars,
+SELECT prompt_id, response,
   {", ".join(
       f"round(CASE WHEN {c} IS NOT NULL THEN greatest(0e0, least(5e0, {c})) END, 6) AS {c}"
       for c in ("overall_score", "score_accuracy", "score_tone"))},
   CASE WHEN upper(grade) IN ('A', 'B', 'C', 'D', 'F') THEN upper(grade) ELSE 'F' END AS grade
 FROM trimmed""",
-    "quality_report_table": """SELECT count(*) AS total_rows, 2::BIGINT AS total_columns,
-  count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS duplicate_rows
+    "quality_report_table": """SELECT count(*) AS total_rows, 5::BIGINT AS total_columns,
+  count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM documents)) AS duplicate_rows
 FROM documents""",
     "quality_report_columns": _column_report("lineitem", _LINEITEM),
     "quality_report_scores": f"{_DIRTY} {_column_report('t', _DIRTY_KINDS)}",
@@ -801,15 +801,15 @@ FROM pages""",
     OR length(w) > 30))), ' ') AS keys
 FROM documents""",
     "html_escape": f"SELECT page_id, {_escape('html')} AS html FROM pages",
-    "csv_round_trip": "SELECT doc_id, text, lang, n_chars FROM documents",
-    "json_round_trip": "SELECT doc_id, text, lang, n_chars FROM documents",
+    "csv_round_trip": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "json_round_trip": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "export_usage_log": f"""{WITH_USAGE}
 SELECT 'evt_' || event_id AS prompt_id, model, input_tokens, output_tokens,
   {_binary_round("cost", 6)} AS cost
 FROM priced""",
     "save_as_baseline": f"{REGRESSION_REPORT} SELECT metric, status FROM report",
     "stream_score": f"{WITH_SCORES} {_scored_view('scored')} WHERE status = 'success'",
-    "stream_persist": "SELECT event_id, event_type, value FROM events",
+    "stream_persist": "SELECT * FROM events",
     # Windows of a minute every ten seconds, without those the watermark still keeps open.
     "stream_request_rate": f"""WITH last AS (SELECT max(ts) - INTERVAL 2 MINUTE AS mark FROM events),
 placed AS (

@@ -146,26 +146,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _few_partitions(df: DataFrame) -> bool:
-    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
-
-
-def spread(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
-    """Use all cores on an input of fewer partitions than cores.
-
-    Only small inputs have so few, so a large table is never shuffled for this. A stream is
-    judged by ``like``, the same files as a table.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if _few_partitions(df if like is None else like) else df
-
-
 def load_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The table, a file or a folder of files, as a stream."""
     files = load(spark, sf_dir, table)
     # A file source takes a folder or a pattern, so the name is written as a pattern.
-    stream = spark.readStream.schema(files.schema).parquet(f"{sf_dir}/{table}{{.parquet}}")
-    return spread(stream, files)
+    return spark.readStream.schema(files.schema).parquet(f"{sf_dir}/{table}{{.parquet}}")
 
 
 def derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -173,7 +158,7 @@ def derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def doc_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spread(load(spark, sf_dir, "documents")), DOC_RESPONSES)
+    return derive(load(spark, sf_dir, "documents"), DOC_RESPONSES)
 
 
 def failed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:

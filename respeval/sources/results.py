@@ -38,11 +38,15 @@ def stream_results(
     schema: T.StructType | str,
     fmt: str = "csv",
     files_per_batch: int | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """A folder of result files as a stream, read in batches of files."""
+    """A folder of result files as a stream, read in batches of files.
+
+    ``multi_line=False`` lets large CSV files without line breaks in their values be split.
+    """
     reader = spark.readStream.schema(schema)
     if fmt == "csv":
-        reader = reader.options(**_CSV).option("multiLine", True)
+        reader = reader.options(**_CSV).option("multiLine", multi_line)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.format(fmt).load(path)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from respeval.operators.quality import clean_results, duplicate_ids, validate_table
 from respeval.operators.prompts import lint_prompts
-from respeval.operators.regression import metric_tests
-from respeval.operators.reports import defect_summary, report_statistics
+from respeval.operators.regression import metric_tests, regression_report
+from respeval.operators.reports import defect_summary, overall_histogram, report_statistics
 from respeval.operators.running import running_sum
 from respeval.operators.scoring import score_responses
 from respeval.plans.workflows import score_results
@@ -84,3 +84,27 @@ def test_running_sum_moves_rows_once(stored):
 def test_few_repeated_ids_shuffle_no_rows(stored):
     assert "Exchange hashpartitioning" not in plan(duplicate_ids(stored))
     assert "Exchange hashpartitioning" not in plan(lint_prompts(stored))
+
+
+def final_plan(df) -> str:
+    df.collect()
+    return plan(df)
+
+
+def test_histogram_scores_once(stored):
+    """The counts feed the range and the bins; the second use takes the shuffle of the first."""
+    text = final_plan(overall_histogram(stored)).split("== Initial Plan ==")[0]
+    scans = text.count("FileScan parquet")
+    assert scans == 1 or "ReusedExchange" in text, text
+
+
+def test_regression_report_reads_each_run_once(stored):
+    text = plan(regression_report(stored, stored.withColumn("score_tone", F.col("score_tone") + 1)))
+    assert text.count("FileScan parquet") == 2
+    assert text.count("HashAggregate") == 2  # before and after one shuffle
+
+
+def test_cleaning_moves_digests_only(stored):
+    text = plan(clean_results(stored.select("prompt_id", "response", "grade")))
+    single = text.split("Union")[1].split("Aggregate(")[0]  # the rows that occur once
+    assert "Exchange hashpartitioning" not in single
