@@ -25,12 +25,15 @@ from respeval.operators.scoring import (
     detect_defects,
     prompt_id,
     prompt_text,
+    register_rule,
     response_text,
     score_responses,
     with_category_score,
 )
 from respeval.operators.tables import ragged_union
 from respeval.plans import relations as rel
+from respeval.plans import workflows
+from respeval.sources import prompts as prompt_files
 from respeval.sources import results as io
 from respeval.sources.storage import work_path
 from respeval.streaming import streams
@@ -176,6 +179,15 @@ def _rule(rule: str, **params):
     return query
 
 
+def rule_of_the_caller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule that the program adds: whether the number of words is even."""
+    register_rule(
+        "even_words",
+        lambda f, params: ((f.n_words % 2 == 0).cast("double"), F.lit("even or odd")),
+    )
+    return _rule("even_words")(spark, sf_dir)
+
+
 def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = {"json_key": "k", "min_val": 0, "max_val": 100}
     rubric = Rubric((Criterion("judge", 1.0, "judge", params),))
@@ -613,6 +625,35 @@ def _round_trip(fmt: str):
     return query
 
 
+def load_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a result file, read back as text columns."""
+    path = work_path(spark, "results")
+    io.save_responses(rel.load(spark, sf_dir, "documents"), path, "csv")
+    return io.load_results(spark, path)
+
+
+def load_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt files of up to 200 parts each, written and loaded."""
+    path = work_path(spark, "prompts")
+    prompt = F.struct(
+        F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("id"),
+        F.col("p_name").alias("text"),
+        F.col("p_brand").alias("category"),
+        F.array("p_brand", "p_type").alias("tags"),
+        F.struct(F.col("p_size").cast("int").alias("max_tokens")).alias("expected_criteria"),
+    )
+    files = (
+        rel.load(spark, sf_dir, "part")
+        .groupBy(F.floor(F.col("p_partkey") / 200).alias("file"))
+        .agg(F.collect_list(prompt).alias("prompts"))
+    )
+    content = F.to_json(F.struct("prompts"))
+    files.select("file", content.alias("value")).write.partitionBy("file").text(path)
+    loaded = prompt_files.load_prompts(spark, f"{path}/*")
+    tags = F.array_join("tags", ",").alias("tags")
+    return loaded.select("id", "text", "category", tags, "expected_criteria.max_tokens")
+
+
 def exported_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The usage log as exported and read back."""
     path = work_path(spark, "usage-log")
@@ -655,6 +696,30 @@ def stream_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _persist(spark, events, "stream-persist")
 
 
+def result_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a callback on each stored batch saw: rows by type, added up."""
+    path = work_path(spark, "callback")
+
+    def seen(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"))
+        streams.persist_batches(f"{path}/seen")(counts, batch_id)
+
+    sink = streams.persist_batches(f"{path}/out")
+    events = rel.load_stream(spark, sf_dir, "events")
+    streams.run_available(events, sink, f"{path}/checkpoint", then=seen)
+    rows = spark.read.schema("event_type string, rows bigint").parquet(f"{path}/seen")
+    return rows.groupBy("event_type").agg(F.sum("rows").alias("rows"))
+
+
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of a run as its file holds it."""
+    path = work_path(spark, "reports")
+    scored = _scored(spark, sf_dir)
+    schema = reports.defect_summary(scored).schema
+    written = workflows.write_reports(scored, path)
+    return spark.read.schema(schema).json(written["defect_summary"])
+
+
 def stream_request_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = rel.load_stream(spark, sf_dir, "events")
     rate = streams.rate_stream(events, "ts", ["event_type"], CALLS_PER_MINUTE)
@@ -706,6 +771,11 @@ QUERIES = {
     "rule_contains_terms": _rule("contains_terms", terms=RULE_TERMS, min_match=2),
     "rule_mentions_entity": _rule("mentions_entity", entity=RULE_ENTITY),
     "rule_length_within": _rule("length_within", max_len=RULE_MAX_WORDS),
+    "rule_of_the_caller": rule_of_the_caller,
+    "load_results": load_results,
+    "load_prompts": load_prompts,
+    "result_callback": result_callback,
+    "report_files": report_files,
     "judge_score": judge_scores,
     "score_responses": scored_responses,
     "detect_defects": stored_defects,

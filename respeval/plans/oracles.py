@@ -286,7 +286,8 @@ LINT_CODES = {
     "min_tokens_over_max": "n_chars > 5000",
     "duplicate_id": "count(*) OVER (PARTITION BY id) > 1",
 }
-LINT = f"""WITH p AS ({_select(rel.PROMPTS | {"lang": "lang", "n_chars": "n_chars"}, "documents")})
+_LINTED = {k: v.replace("text", "documents.text") for k, v in rel.PROMPTS.items()}
+LINT = f"""WITH p AS ({_select(_LINTED | {"lang": "lang", "n_chars": "n_chars"}, "documents")})
 SELECT doc_id, array_to_string(list_sort(list_filter([
   {", ".join(f"CASE WHEN {c} THEN '{code}' END" for code, c in LINT_CODES.items())}
 ], lambda c: c IS NOT NULL)), ',') AS issues
@@ -569,6 +570,7 @@ FROM t""",
     "rule_length_within": _rule(
         f"(n_words <= {catalog.RULE_MAX_WORDS})::INT::DOUBLE", "'length ' || n_words || ' words'"
     ),
+    "rule_of_the_caller": _rule("(n_words % 2 = 0)::INT::DOUBLE", "'even or odd'"),
     "judge_score": JUDGE,
     "score_responses": f"{WITH_SCORES} {_scored_view('scored')}",
     "detect_defects": f"""{WITH_FEATURES},
@@ -652,6 +654,10 @@ SELECT dimension, round(a, 6) AS average,
     "defect_summary": f"""{WITH_SCORES}
 SELECT defect, count(*) AS count
 FROM (SELECT unnest(string_split(defects, ',')) AS defect FROM scored)
+WHERE defect <> '' GROUP BY defect""",
+    "report_files": f"""{WITH_SCORES}
+SELECT defect, count(*) AS count
+FROM (SELECT unnest(string_split(defects, ',')) AS defect FROM scored)
 WHERE defect <> '' GROUP BY defect""",
     "run_summary": f"""{WITH_SCORES}, {_ROW_TOKENS % "scored"}
 SELECT count(*) AS total_evaluations, round(avg(overall_score), 6) AS average_score,
@@ -801,6 +807,13 @@ FROM pages""",
     OR length(w) > 30))), ' ') AS keys
 FROM documents""",
     "html_escape": f"SELECT page_id, {_escape('html')} AS html FROM pages",
+    "load_results": """SELECT doc_id::VARCHAR AS doc_id, text, lang, source,
+  n_chars::VARCHAR AS n_chars
+FROM documents""",
+    "load_prompts": """SELECT 'part_' || p_partkey AS id, p_name AS text, p_brand AS category,
+  p_brand || ',' || p_type AS tags, p_size::INTEGER AS max_tokens
+FROM part""",
+    "result_callback": "SELECT event_type, count(*) AS rows FROM events GROUP BY event_type",
     "csv_round_trip": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "json_round_trip": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "export_usage_log": f"""{WITH_USAGE}
