@@ -168,6 +168,43 @@ from (
         case when page_id % 103 = 0 then 'missing' when page_id % 101 = 0 then 'corrupt' else 'ok' end as status
     from pages
 )
+""",
+    "op10_decontamination": r"""
+with w as (
+    select doc_id, row_number() over () as rid,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+    from documents
+), b as (
+    select item_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+    from benchmark
+), windows as (
+    select item_id, least(10, len(words)) as size,
+        unnest([words[i : i + least(10, len(words)) - 1] for i in range(1, greatest(len(words) - 9, 1) + 1)]) as gram
+    from b where len(words) > 0
+), grams as (
+    select gram, size, list(distinct item_id) as items from windows group by gram, size
+), sizes as (
+    select distinct size from grams
+), places as (
+    select rid, size, unnest(range(1, len(words) - size + 2)) as pos, words
+    from w, sizes where len(words) >= size
+), hits as (
+    select p.rid, p.pos, p.size, g.items
+    from places p join grams g on g.size = p.size and g.gram = p.words[p.pos : p.pos + p.size - 1]
+), hit_words as (
+    select rid, count(distinct place) as n_hit
+    from (select rid, unnest(range(pos, pos + size)) as place from hits) group by rid
+), hit_items as (
+    select rid, list_sort(list(distinct item::varchar)) as items
+    from (select rid, unnest(items) as item from hits) group by rid
+)
+select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+    coalesce(len(items), 0)::bigint as n_items,
+    sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from w left join hit_words using (rid) left join hit_items using (rid)
 """,
     "op6_source_mixture": r"""
 with recursive d as (

@@ -1,0 +1,86 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from respeval.llm import decontaminate
+from tests.llm.data import SCHEMA, awkward, prose
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+REPORT = "doc_id long, text string"
+ITEMS = "item_id long, text string"
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+def brute_force(docs, items, width=10):
+    windows = []
+    for item, text in items:
+        w = words(text)
+        size = min(width, len(w))
+        windows += [(item, w[i : i + size]) for i in range(len(w) - size + 1 if size else 0)]
+    out = []
+    for row in docs:
+        w = words(row[1])
+        hit, found = set(), set()
+        for item, window in windows:
+            for i in range(len(w) - len(window) + 1):
+                if w[i : i + len(window)] == window:
+                    hit.update(range(i, i + len(window)))
+                    found |= {item} - {None}
+        names = ",".join(sorted(map(str, found)))
+        out.append((row[0], len(w), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit)))
+    return out
+
+
+def benchmark(rng):
+    items = [(i, prose(rng, rng.choice([1, 2, 9, 10, 11, 40])) + f" key{i}") for i in range(30)]
+    return [*items, (30, None), (31, "…—!"), (32, ""), (None, prose(rng, 15)), (3, items[4][1]), (40, "Été日本 2x")]
+
+
+@pytest.mark.parametrize("slice_words", [10**6, 60])
+def test_brute_force(table, slice_words):
+    rng = random.Random(5)
+    items = benchmark(rng)
+    docs = awkward()
+    docs = [d for d in docs if len(d[1] or "") < 5000]
+    for k, (_, text) in enumerate(items):
+        w = (text or "").upper().split()
+        cut = w[rng.randrange(3) : len(w) - rng.randrange(3)]
+        docs.append((100 + k, f"{prose(rng, 20)} {', '.join(cut)}; {' '.join(cut)} {prose(rng, 9)}", *[None] * 5))
+    docs.append((200, "ÉTÉ日本 2X", *[None] * 5))
+    docs.append((201, "été日本 2X", *[None] * 5))
+    got = decontaminate.contamination(table(docs, SCHEMA), table(items, ITEMS), max_words=slice_words).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(brute_force(docs, items), key=repr)
+    bad = {r[0] for r in brute_force(docs, items) if r[5]}
+    kept = decontaminate.drop_contaminated(table(docs, SCHEMA), table(items, ITEMS), max_words=slice_words)
+    assert kept.columns == table(docs, SCHEMA).columns
+    assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(repr(d[0]) for d in docs if d[0] not in bad)
+
+
+def test_spans_are_removed(table):
+    rng = random.Random(6)
+    item = prose(rng, 20)
+    docs = [(1, f"Before é: {item.upper()}. After"), (2, "Clean, é text"), (3, None), (4, "")]
+    out = decontaminate.remove_spans(table(docs, REPORT), table([(1, item)], ITEMS))
+    texts = {r.doc_id: r.text for r in out.collect()}
+    assert (texts[2], texts[3], texts[4]) == ("Clean, é text", None, "")
+    assert re.fullmatch("Before é: +\\. After", texts[1])
+
+
+def test_long_texts_and_empty_tables(table, spark):
+    text = "a b c d e f g h i j " * 20_000
+    items = [(1, "a b c d e f g h i j"), (2, "j a")]
+    (row,) = decontaminate.contamination(table([(1, text)], REPORT), table(items, ITEMS)).collect()
+    assert (row.n_words, row.n_hit, row.n_items) == (200_000, 200_000, 2)
+    none = spark.createDataFrame([], ITEMS)
+    (row,) = decontaminate.contamination(table([(1, text)], REPORT), none).collect()
+    assert (row.n_hit, row.n_items, row.contaminated) == (0, 0, False)
+    empty = spark.createDataFrame([], SCHEMA)
+    assert decontaminate.contamination(empty, table(items, ITEMS)).count() == 0

@@ -1,0 +1,75 @@
+from __future__ import annotations
+
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from respeval.llm import mixture, sharding, toxicity
+from tests.llm import test_decontaminate, test_ngram_join
+from tests.llm.data import SCHEMA, awkward
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_registered():
+    found = set(entry.queries())
+    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in found if q.startswith("op")}
+    assert "pipeline" in found and [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity"
+
+
+def tables(spark):
+    return {t: spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels", "benchmark")}
+
+
+def test_stages_by_brute_force(spark):
+    """Each stage on its own input against a plain version of its decision."""
+    t = tables(spark)
+    items = [tuple(r) for r in t["benchmark"].select("item_id", "text").collect()]
+    docs, inputs = t["documents"], []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        inputs.append(docs)
+        docs = stage(spark, docs, SMALL)
+        docs = docs.persist()
+        if i < 4:
+            assert docs.columns == t["documents"].columns
+    rows = [{r.doc_id: r.text for r in d.collect()} for d in inputs]
+
+    model = toxicity.train(t["documents"], t["labels"])
+    clean = set()
+    for i, text in rows[0].items():
+        n, _, p = model.tag(text)
+        if model.score(n, p) < toxicity.THRESHOLD:
+            clean.add(i)
+    assert set(rows[1]) == clean
+
+    listed = sorted(rows[1].items())
+    component = {i: c for (i, _), (n, c) in zip(listed, test_ngram_join.brute_force(listed), strict=True)}
+    assert set(rows[2]) == {i for i, c in component.items() if c == i}
+
+    report = test_decontaminate.brute_force(sorted(rows[2].items()), items)
+    assert set(rows[3]) == {r[0] for r in report if not r[5]}
+
+    mixed = Counter(r.doc_id for r in inputs[4].collect())
+    took = {r.doc_id: r.taken // r["size"] for r in mixture.mix(inputs[3]).collect() if r["size"]}
+    assert mixed == Counter({i: n for i, n in took.items() if n})
+
+    shards = docs.collect()
+    assert Counter(r.doc_id for r in shards) == mixed
+    assert {r.shard for r in shards} <= set(range(sharding.SHARDS))
+    slots = Counter((r.shard, r.slot) for r in shards)
+    assert max(slots.values()) == 1
+    assert corpus_pipeline.run(spark, SMALL).count() == len(shards)
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_awkward_and_empty_documents(spark, table, stage):
+    docs = table(awkward(), SCHEMA)
+    run = corpus_pipeline.STAGES[stage][1]
+    got = run(spark, docs, SMALL)
+    assert got.filter(F.col("doc_id") == 12).count() <= 3
+    if stage < 4:
+        assert got.columns == docs.columns
+    assert run(spark, docs.limit(0), SMALL).count() == 0
