@@ -55,13 +55,16 @@ def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The archive of all pages against a replica in which some records are damaged or lost.
+    """The archive of all pages against one of its own, in which some records are damaged or lost.
 
-    Records whose id is divisible by 101 are damaged in the replica, by 103 lost.
+    Records whose id is divisible by 101 are longer in the replica, by 103 lost.
     """
-    primary = stored(fixity.archive_index(table(spark, sf_dir, "pages"), "page_id", "url", "html"), "index")
-    damaged = F.when(F.col("key") % 101 == 0, F.sha2(F.concat(F.lit("damaged"), "digest"), 256)).otherwise(F.col("digest"))
-    replica = stored(primary.filter(F.coalesce(F.col("key") % 103 != 0, F.lit(True))).withColumn("digest", damaged), "replica")
+    pages = table(spark, sf_dir, "pages")
+    html = F.concat(F.coalesce("html", F.lit("")), F.lit("damaged"))
+    other = pages.filter(F.coalesce(F.col("page_id") % 103 != 0, F.lit(True)))
+    other = other.withColumn("html", F.when(F.col("page_id") % 101 == 0, html).otherwise(F.col("html")))
+    primary = stored(fixity.archive_index(pages, "page_id", "url", "html"), "index")
+    replica = stored(fixity.archive_index(other, "page_id", "url", "html"), "replica")
     return fixity.audit(primary, replica).withColumnRenamed("key", "page_id")
 
 

@@ -7,12 +7,17 @@ below. Two replicas are compared from their roots down: only children of ranges
 looked at, so damage is found with as many comparisons as the tree is deep, and only records in
 differing ranges of the lowest level are compared themselves.
 
+Both trees are over the primary's offsets. A replica has its own: after a record that was lost, added
+or has another length, all others lie elsewhere. So the primary's index is the manifest, and the
+replica's records are placed where their keys begin in it. Keys that it does not have, and records
+beyond the place of their key, are compared without the tree.
+
 The offsets come from the archive's index: prefix sums over ranges of the key, so no task sees more
 than one range.
 
 Defined cases: a null target or payload counts as empty; records with the same key follow each other
-by hash; a record that only one replica has is missing or extra; an empty archive has no root, and
-two empty archives are equal.
+by hash, and equal ones are matched first; a record that only one replica has is missing or extra; an
+empty archive has no root, and two empty archives are equal.
 """
 
 from __future__ import annotations
@@ -80,18 +85,61 @@ def depth(size: int) -> int:
     return levels
 
 
+def _starts(index: DataFrame) -> DataFrame:
+    """Where the records of every key begin, and the first byte behind them."""
+    return index.groupBy("key").agg(
+        F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("end")
+    )
+
+
+def _placed(primary: DataFrame, replica: DataFrame) -> DataFrame:
+    """The replica's records with their place by the primary's offsets, null where it has none.
+
+    The records of a key are placed from where that key begins in the primary, whatever was lost, added
+    or has another length before it.
+    """
+    theirs = _starts(replica).select("key", F.col("start").alias("own"))
+    ours = _starts(primary).select(F.col("key").alias("known"), "start", "end")
+    starts = theirs.join(ours, F.col("key").eqNullSafe(F.col("known"))).select("known", "own", "start", "end")
+    rows = replica.join(broadcast_if_small(starts), F.col("key").eqNullSafe(F.col("known")), "left")
+    place = F.col("offset") - F.col("own") + F.col("start")
+    return rows.select("key", "offset", "length", "digest", F.when(place < F.col("end"), place).alias("place"))
+
+
+def _hashed(placed: DataFrame) -> DataFrame:
+    """What the tree is over: places, and hashes of the keys with the digests."""
+    name = F.coalesce(F.concat(F.lit("="), F.col("key").cast("string")), F.lit(""))
+    return placed.select(F.col("place").alias("offset"), F.sha2(F.concat(name, F.lit("\n"), "digest"), 256).alias("digest"))
+
+
+def _same(left: DataFrame, right: DataFrame, number: str, *names: str) -> DataFrame:
+    """Full outer join of records as structs a and b, by equal names and numbers; nulls are equal."""
+    on = (F.col("a.key").eqNullSafe(F.col("b.key"))) & (F.col("a_n") == F.col("b_n"))
+    for name in names:
+        on &= F.col(f"a.{name}") == F.col(f"b.{name}")
+    rank = F.row_number().over(W.partitionBy("key", *names).orderBy(number))
+    record = F.struct("key", "offset", "length", "digest")
+    a = left.select(record.alias("a"), rank.alias("a_n"))
+    b = right.select(record.alias("b"), rank.alias("b_n"))
+    return a.join(b, on, "full_outer")
+
+
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """Every record of two stored indexes (key, offset, length, digest) with its status.
 
-    Status is ok, corrupt (other hash), missing (not in the replica) or extra (only there).
+    Status is ok, corrupt (the key has another hash), missing (not in the replica) or extra (only
+    there); offset, length and digest are the primary's, those of extra records the replica's. Of
+    several records with one key, equal ones are matched first, the rest in their order.
     """
-    ends = [i.agg(F.max(F.col("offset") + 1)).first()[0] or 0 for i in (primary, replica)]
-    levels = depth(max(ends))
-    mine, other = stored(tree(primary, levels), "tree"), stored(tree(replica, levels), "tree")
+    mine = primary.withColumn("place", F.col("offset"))
+    other = stored(_placed(primary, replica), "placed")
+    levels = depth(primary.agg(F.max(F.col("offset") + 1)).first()[0] or 0)
+    a_tree = stored(tree(_hashed(mine), levels), "tree")
+    b_tree = stored(tree(_hashed(other.filter("place is not null")), levels), "tree")
     bad = None
     for level in range(levels - 1, -1, -1):
-        a = mine.filter(F.col("level") == level).select("node", F.col("digest").alias("a"))
-        b = other.filter(F.col("level") == level).select("node", F.col("digest").alias("b"))
+        a = a_tree.filter(F.col("level") == level).select("node", F.col("digest").alias("a"))
+        b = b_tree.filter(F.col("level") == level).select("node", F.col("digest").alias("b"))
         if bad is not None:
             above = broadcast_if_small(bad.select(F.col("node").alias("parent")))
             parent = F.floor(F.col("node") / FANOUT) == F.col("parent")
@@ -99,18 +147,17 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
         differ = a.join(b, "node", "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
         bad = stored(differ.select("node"), "differing")
         if bad.isEmpty():
-            return primary.withColumn("status", F.lit("ok"))
+            break
     ranges = broadcast_if_small(bad.select(F.col("node").alias("range")))
-    inside = F.floor(F.col("offset") / RANGE) == F.col("range")
-    good = primary.join(ranges, inside, "left_anti").withColumn("status", F.lit("ok"))
-    a = primary.join(ranges, inside, "left_semi").select("offset", F.struct("key", "length", "digest").alias("a"))
-    b = replica.join(ranges, inside, "left_semi").select("offset", F.struct("key", "length", "digest").alias("b"))
-    status = (
-        F.when(F.col("b").isNull(), "missing")
-        .when(F.col("a").isNull(), "extra")
-        .when(F.col("a").eqNullSafe(F.col("b")), "ok")
-        .otherwise("corrupt")
-    )
-    seen = a.join(b, "offset", "full_outer").withColumn("one", F.coalesce("a", "b"))
-    seen = seen.select("one.key", "offset", "one.length", "one.digest", status.alias("status"))
-    return good.unionByName(seen)
+    inside = F.floor(F.col("place") / RANGE) == F.col("range")
+    good = mine.join(ranges, inside, "left_anti").drop("place").withColumn("status", F.lit("ok"))
+    # Records without a place are compared as they are.
+    a = mine.join(ranges, inside, "left_semi")
+    b = other.join(ranges, inside, "left_semi").unionByName(other.filter("place is null"))
+    first = stored(_same(a, b, "offset", "digest"), "compared")
+    equal = first.filter("a is not null and b is not null").select("a.*", F.lit("ok").alias("status"))
+    left = first.filter("b is null").select("a.*")
+    right = first.filter("a is null").select("b.*")
+    status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("corrupt")
+    rest = _same(left, right, "offset").select(F.coalesce("a", "b").alias("one"), status.alias("status"))
+    return good.unionByName(equal).unionByName(rest.select("one.*", "status"))

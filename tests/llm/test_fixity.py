@@ -72,6 +72,41 @@ def test_audit_finds_exactly_the_damage(table, monkeypatch):
     assert {r.status for r in fixity.audit(primary, primary).collect()} == {"ok"}
 
 
+def test_replica_with_an_archive_of_its_own(table, monkeypatch):
+    """Lost, inserted, shorter and longer records shift all later offsets of the replica."""
+    monkeypatch.setattr(fixity, "RANGE", 5000)
+    monkeypatch.setattr(fixity, "FANOUT", 3)
+    rows = pages(random.Random(5), 150)
+    rows += [(r[0] * 2 + 1000, *r[1:]) for r in rows[:40]] + [(60, "u60", "second", None, None), (None, "n2", "x", None, None)]
+    # One of two equal records, one of two unlike ones with the same key, and others.
+    other = [r for i, r in enumerate(rows) if i != 5 and r[0] not in (0, 40, 41) and r[2] != "second"]
+    other = [(*r[:2], (r[2] + "longer") if r[0] in (7, 149) else "" if r[0] == 8 else r[2], *r[3:]) for r in other]
+    other += [(-5, "new", "x" * 9000, None, None), (1003, "new", "", None, None), (9999, "new", "y", None, None)]
+    other += [(90, "u90", "also", None, None), (None, "n3", "z" * 99, None, None)]
+    primary, replica = index(table, rows), index(table, other)
+    seen = []
+    taken = fixity._same
+    monkeypatch.setattr(fixity, "_same", lambda a, *rest: seen.append(a.count()) or taken(a, *rest))
+    got = fixity.audit(primary, replica).collect()
+    bad = sorted((r.status, r.key is None, r.key or 0) for r in got if r.status != "ok")
+    assert bad == sorted(
+        [("corrupt", False, k) for k in (7, 8, 149)]
+        + [("missing", False, k) for k in (0, 5, 40, 41, 60)]
+        + [("extra", False, k) for k in (-5, 90, 1003, 9999)] + [("extra", True, 0)]
+    )
+    own = sorted((r.key is not None, r.key or 0, r.offset) for r in got if r.status != "extra")
+    assert own == sorted((k is not None, k or 0, at) for k, at, *_ in expected_index(rows))
+    # Sound ranges are not descended.
+    assert seen[0] < len(rows) / 2
+
+
+def test_content_under_another_key(table):
+    rows = [(1, "u", "same", None, None), (2, "u", "other", None, None)]
+    moved = [(1, "u", "same", None, None), (3, "u", "other", None, None)]
+    got = fixity.audit(index(table, rows), index(table, moved)).collect()
+    assert sorted((r.status, r.key) for r in got) == [("extra", 3), ("missing", 2), ("ok", 1)]
+
+
 def test_empty_archives(table, spark):
     empty = fixity.archive_index(spark.createDataFrame([], SCHEMA), "page_id", "url", "html")
     full = index(table, pages(random.Random(4), 6))
