@@ -233,27 +233,50 @@ def remove_spans(
 ) -> DataFrame:
     """All documents, their hit words cut out of the text; other columns unchanged.
 
-    One pass per slice; with several slices, a later pass sees the text that the earlier ones left.
+    Every slice is scanned in the whole text, in one narrow pass each. A column of bits, one for each
+    word, takes the hits from pass to pass; after the last one they are cut out together.
     """
-    kept = docs
+    marks = "__hits"
+    while marks in docs.columns:
+        marks += "_"
+    kept = docs.withColumn(marks, F.lit(None).cast("binary"))
+    marked = kept.schema
     for part in _slices(benchmark, item_col, item_text_col, width, max_words):
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
-        def cut(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def mark(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for block in blocks(batches, text_col):
-                texts = block.column(text_col).to_pylist()
-                counts, mask, items = _scan_block(texts, shared.value)
+                counts, mask, items = _scan_block(block.column(text_col).to_pylist(), shared.value)
                 ends = np.concatenate(([0], np.cumsum(counts)))
+                place = block.schema.get_field_index(marks)
+                bits = block.column(place).to_pylist()
                 for i in items:
-                    raw, low = texts[i].encode(), texts[i].encode().lower()
-                    out, at = [], 0
-                    for hit, m in zip(mask[ends[i] : ends[i + 1]], _WORD.finditer(low), strict=True):
-                        if hit:
-                            out.append(raw[at : m.start()])
-                            at = m.end()
-                    texts[i] = b"".join([*out, raw[at:]]).decode()
-                place = block.schema.get_field_index(text_col)
-                yield block.set_column(place, block.schema.field(place), pa.array(texts, block.schema.field(place).type))
-
-        kept = kept.mapInArrow(cut, docs.schema)
-    return kept
+                    hit = np.packbits(mask[ends[i] : ends[i + 1]])
+                    if bits[i] is not None:
+                        hit |= np.frombuffer(bits[i], dtype=np.uint8)
+                    bits[i] = hit.tobytes()
+                field = block.schema.field(place)
+                yield block.set_column(place, field, pa.array(bits, field.type))
+
+        kept = kept.mapInArrow(mark, marked)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, text_col):
+            texts, bits = (block.column(c).to_pylist() for c in (text_col, marks))
+            for i, hits in enumerate(bits):
+                if hits is None:
+                    continue
+                raw, low = texts[i].encode(), texts[i].encode().lower()
+                mask = np.unpackbits(np.frombuffer(hits, dtype=np.uint8))
+                out, at = [], 0
+                for hit, m in zip(mask.tolist(), _WORD.finditer(low), strict=False):
+                    if hit:
+                        out.append(raw[at : m.start()])
+                        at = m.end()
+                texts[i] = b"".join([*out, raw[at:]]).decode()
+            place = block.schema.get_field_index(text_col)
+            field = block.schema.field(place)
+            block = block.set_column(place, field, pa.array(texts, field.type))
+            yield block.select([n for n in block.schema.names if n != marks])
+
+    return kept.mapInArrow(cut, docs.schema)

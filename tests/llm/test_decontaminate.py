@@ -74,6 +74,37 @@ def test_spans_are_removed(table):
     assert re.fullmatch("Before é: +\\. After", texts[1])
 
 
+def test_spans_do_not_depend_on_slices(table):
+    """Overlapping hits of several slices, and words that only a cut makes neighbours."""
+    rng = random.Random(7)
+    passage = [f"{w}{i}" for i, w in enumerate(prose(rng, 30).split())]
+    between = passage[:5] + passage[16:21]
+    items = [(0, " ".join(passage[:15])), (1, " ".join(passage[9:20])), (2, " ".join(passage[14:26]))]
+    seam = [f"left{i}" for i in range(5)] + passage[:15] + [f"right{i}" for i in range(5)]
+    items += [(3, " ".join(seam[:5] + seam[20:])), (4, " ".join(between))]
+    docs = [
+        (1, " ".join(passage)), (2, f"Ahead, {' '.join(passage[:20])}; behind"), (3, " ".join(seam)), (4, None),
+        (5, "clean"), (5, " ".join(passage[3:])), (5, " ".join(passage[3:])),
+    ]
+    expected = []
+    for key, text in docs:
+        hit = {
+            at + k
+            for _, item in items
+            for w in [item.split()]
+            for start in range(len(w) - 9)
+            for at in range(len(words(text)) - 9)
+            if words(text)[at : at + 10] == w[start : start + 10]
+            for k in range(10)
+        }
+        left = [w for i, w in enumerate(words(text)) if i not in hit]
+        expected.append((key, None if text is None else left))
+    for slice_words in (10**6, 100, 40):
+        out = decontaminate.remove_spans(table(docs, REPORT), table(items, ITEMS), max_words=slice_words)
+        got = [(r.doc_id, None if r.text is None else words(r.text)) for r in out.collect()]
+        assert out.columns == ["doc_id", "text"] and sorted(got, key=repr) == sorted(expected, key=repr)
+
+
 def test_long_texts_and_empty_tables(table, spark):
     text = "a b c d e f g h i j " * 20_000
     items = [(1, "a b c d e f g h i j"), (2, "j a")]
