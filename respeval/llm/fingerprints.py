@@ -193,11 +193,10 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = rows.groupBy("part").agg(F.max(F.struct("key", "tie")).alias("head")).orderBy("part").collect()
     parts = [r["part"] for r in heads]
     before = {p: parts[i + 1] if i + 1 < len(parts) else parts[0] for i, p in enumerate(parts)}
-    to = F.lit(None).cast("int")
-    for r in heads:
-        here = (F.col("part") == r["part"]) & (F.col("key") == r["head"]["key"]) & (F.col("tie") == r["head"]["tie"])
-        to = F.when(here, F.lit(before[r["part"]])).otherwise(to)
-    rows = rows.withColumn("to", to)
+    # Joined, as an expression with a branch for each range would be too deep for the planner.
+    ends = [(r["part"], r["head"]["key"], r["head"]["tie"], before[r["part"]]) for r in heads]
+    ends = docs.sparkSession.createDataFrame(ends, "part int, key long, tie long, to int")
+    rows = rows.join(F.broadcast(ends), ["part", "key", "tie"], "left")
     rows = rows.select(
         "doc_id", "text", "key", "tie",
         F.explode(

@@ -33,6 +33,14 @@ def test_neighbours(table, monkeypatch, size):
     check(fp.edit_likeness(table(rows, "doc_id long, text string").repartition(5)).collect(), rows)
 
 
+def test_a_thousand_ranges(table, monkeypatch):
+    """As many ranges as about 16 GB of text have."""
+    monkeypatch.setattr(fp, "RANGE_BYTES", 16)
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 4)[:16].ljust(16, "z")) for i in range(1100)]
+    check(fp.edit_likeness(table(rows, "doc_id long, text string")).collect(), rows)
+
+
 def test_one_document_and_none(table, spark):
     rows = [(7, "only one document of its own")]
     check(fp.edit_likeness(table(rows, "doc_id long, text string")).collect(), rows)
