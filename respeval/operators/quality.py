@@ -172,11 +172,42 @@ def validate_table(df: DataFrame, kind: str = "raw_results") -> DataFrame:
     return issues.select("issue", "column", "rows", share.alias("percentage"))
 
 
+def _exact(c: Column, kind: T.DataType) -> Column:
+    """The value with its timestamps, also nested ones, in full; JSON would cut them to milliseconds."""
+    if not _has_timestamp(kind):
+        return c
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _exact(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform(
+            F.map_entries(c),
+            lambda e: F.struct(
+                _exact(e["key"], kind.keyType).alias("key"), _exact(e["value"], kind.valueType).alias("value")
+            ),
+        )
+    if isinstance(kind, T.StructType):
+        fields = [_exact(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    return c.cast("string")
+
+
+def _has_timestamp(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_timestamp(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _has_timestamp(kind.keyType) or _has_timestamp(kind.valueType)
+    if isinstance(kind, T.StructType):
+        return any(_has_timestamp(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.TimestampType, T.TimestampNTZType))
+
+
 def _drop_duplicate_rows(df: DataFrame) -> DataFrame:
     def plain(f: T.StructField) -> Column:
         # Negative zero equals zero, as in grouping.
         is_float = isinstance(f.dataType, (T.FloatType, T.DoubleType))
-        return (F.col(f.name) + F.lit(0.0) if is_float else F.col(f.name)).alias(f.name)
+        return (F.col(f.name) + F.lit(0.0) if is_float else _exact(F.col(f.name), f.dataType)).alias(f.name)
 
     if not df.columns:
         return df
@@ -254,7 +285,7 @@ def _cell(df: DataFrame, name: str) -> tuple[Column, Column]:
     if isinstance(kind, T.NumericType):
         return c.cast("double"), no_key
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return no_number, F.when(c.isNotNull(), F.sha2(F.to_json(F.struct(c)), 256))
+        return no_number, F.when(c.isNotNull(), F.sha2(F.to_json(F.struct(_exact(c, kind).alias("c"))), 256))
     return no_number, c.cast("string")
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import random
 import statistics
 
@@ -104,6 +105,28 @@ def test_clean(table):
     )
 
 
+@pytest.mark.parametrize(
+    "kind, nest",
+    [
+        ("timestamp", lambda at: at),
+        ("timestamp_ntz", lambda at: at),
+        ("array<timestamp>", lambda at: [at, None]),
+        ("struct<t: timestamp_ntz, n: int>", lambda at: (at, None)),
+        ("map<string, array<timestamp>>", lambda at: {"k": [at]}),
+        ("map<timestamp, int>", lambda at: {at: 1}),
+    ],
+)
+def test_microseconds_tell_rows_apart(table, kind, nest):
+    def value(micro):
+        return nest(dt.datetime(2024, 5, 1, 12, 0, 0, micro))
+
+    rows = [("P", value(123456)), ("P", value(123457)), (" P", value(123457)), ("P", None), ("P", None)]
+    df = table(rows, f"prompt_id string, at {kind}")
+    assert clean_results(df).count() == 3
+    report = quality_report_columns(df.select("at")).collect()
+    assert [r.unique_values for r in report] == [2]
+
+
 def test_table_report(table, one):
     rows = [("x" * 100, 1.0)] * 3 + [("x" * 99, 1.0), (None, 0.0), (None, -0.0), ("=", None)]
     report = quality_report_table(table(rows, "a string, b double"))
