@@ -9,13 +9,16 @@ from respeval.llm import (
     decontaminate,
     fingerprints,
     fixity,
+    language_id,
     line_templates,
     mixture,
     ngram_join,
     secrets,
     sharding,
+    token_alignment,
     token_counts,
     toxicity,
+    whitening,
 )
 from respeval.llm.common import stored, table
 
@@ -105,6 +108,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(table(spark, sf_dir, "documents"))
+    held_out = toxicity.held_out(F.col("doc_id")).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", "n_words")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.alignment(
+        table(spark, sf_dir, "documents"),
+        token_alignment.read_byte_level(public_tokenizers.path("byte_bpe_50k.json")),
+        token_alignment.read_sentencepiece(public_tokenizers.path("piece_bpe_32k.model")),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -118,6 +142,9 @@ QUERIES = {
         op8_fingerprints,
         op9_toxicity,
         op10_decontamination,
+        op11_language_id,
+        op12_whitening,
+        op13_token_alignment,
     )
 }
 ORACLES: dict[str, str] = {

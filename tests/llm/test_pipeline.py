@@ -16,7 +16,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_registered():
     found = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in found if q.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in found if q.startswith("op")}
     assert "pipeline" in found and [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity"
 
 
