@@ -52,8 +52,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL needs five texts for lines of any length.
-    found = line_templates.dropped_lines(table(spark, sf_dir, "documents"), few_texts=None)
+    found = line_templates.dropped_lines(table(spark, sf_dir, "documents"))
     return found.withColumn("dropped", F.array_join("dropped", ","))
 
 
@@ -159,30 +158,36 @@ with t as (
     select text, line, string_split_regex(
         regexp_replace(value, '[^ \t]*[0-9][^ \t]*', '*', 'g'), '[ \t]+') as tokens
     from l where trim(translate(value, chr(9), ' ')) <> ''
+), kinds(enough, least) as (
+    -- Texts that must share a template, and constants that it needs.
+    values (5, 0), (2, 10)
 ), leaves as (
-    select *, len(tokens) as n, tokens[1:3] as lead, count(*) over (partition by len(tokens), tokens[1:3]) as m
-    from k
+    select n, lead, count(distinct text) as texts
+    from (select text, len(tokens) as n, tokens[1:3] as lead from k) group by n, lead having count(*) > 1
 ), held as (
-    select * from leaves where (n, lead) in (
-        select (n, lead) from leaves where m >= 5 group by n, lead having count(distinct text) >= 5)
+    select k.*, len(tokens) as n, tokens[1:3] as lead from k
+    where (len(tokens), tokens[1:3]) in (select (n, lead) from leaves where texts >= 5 or texts >= 2 and n >= 10)
 ), each as (
     select text, line, n, lead, unnest(tokens) as token, generate_subscripts(tokens, 1) as place from held
-), constant as (
-    select n, lead, place, token from each where token <> '*'
-    group by n, lead, place, token having count(distinct text) >= 5
+), seen as (
+    select n, lead, place, token, count(distinct text) as texts from each where token <> '*'
+    group by n, lead, place, token
 ), whole as (
-    select e.text, e.line, e.n, e.lead, count(c.token) as constants,
+    select e.text, e.line, e.n, e.lead, enough, least, count(c.token) as constants,
         list(coalesce(c.token, '*') order by e.place) as template
-    from each e left join constant c
-        on e.n = c.n and e.lead = c.lead and e.place = c.place and e.token = c.token
-    group by e.text, e.line, e.n, e.lead
+    from each e cross join kinds left join seen c
+        on e.n = c.n and e.lead = c.lead and e.place = c.place and e.token = c.token and c.texts >= enough
+    group by e.text, e.line, e.n, e.lead, enough, least
+), fit as (
+    select * from whole where 2 * constants >= n and constants >= least
 ), common as (
-    select n, lead, template from whole where 2 * constants >= n
-    group by n, lead, template having count(distinct text) >= 5
+    select n, lead, enough, template from fit
+    group by n, lead, enough, template having count(distinct text) >= enough
 ), dropped as (
-    select w.text, list(w.line order by w.line) as lines
-    from whole w join common c on w.n = c.n and w.lead = c.lead and w.template = c.template
-    group by w.text
+    select text, list(distinct line order by line) as lines
+    from fit w join common c
+        on w.n = c.n and w.lead = c.lead and w.enough = c.enough and w.template = c.template
+    group by text
 )
 select doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::bigint as n_lines,
     coalesce(len(lines), 0)::bigint as n_dropped, coalesce(array_to_string(lines, ','), '') as dropped

@@ -8,13 +8,14 @@ of such templates are dropped, in all documents.
 
 How many texts are enough depends on the constants. Five are needed for any template; two for one
 with ten or more constant tokens, which texts do not share by chance, so that passages copied between
-a few documents go too. Lines of ten or more tokens go down the tree a second time with the lower
-number; what either pass finds is dropped.
+a few documents go too. What either number
+finds is dropped; each makes its own constants and templates.
 
-All of it is DataFrame operations. Equal texts are parsed once and count once, so groups of copies
-do not turn their own lines into templates. Only lines in leaves that enough texts reach are split
-into tokens, which leaves out nearly all running text. Counts of leaves, tokens and templates are
-combined before each shuffle, and no leaf or template is gathered.
+All of it is DataFrame operations. Equal texts count once, by their key, so groups of copies do not turn
+their own lines into templates, and whole texts are never moved. Only lines in leaves that enough
+texts reach are split into tokens for good, which leaves out nearly all running text; both numbers
+share these lines and the counts of their tokens. Counts of leaves, tokens and templates are combined
+before each shuffle, and no leaf or template is gathered.
 
 Defined cases: a null text has no lines; an empty text has one empty line; lines without any token
 are never dropped; texts are named by 64-bit hashes; repeated rows each get a row; an empty table
@@ -44,49 +45,61 @@ def _tokens(line: Column) -> Column:
     return F.split(F.when(line.rlike("[0-9]"), masked).otherwise(line), r"[ \t]+")
 
 
-def template_lines(texts: DataFrame, min_texts: int = TEXTS, depth: int = DEPTH, least: int = 0) -> DataFrame:
-    """text_key and line (its number from 0) of all boilerplate lines with ``least`` or more constants.
+def template_lines(
+    rows: DataFrame, min_texts: int = TEXTS, depth: int = DEPTH, few_texts: int | None = FEW_TEXTS
+) -> DataFrame:
+    """text_key and line (its number from 0) of all boilerplate lines.
 
-    ``texts`` has text_key and text, one row per different text.
+    ``rows`` has text_key and text; copies of a text may occur.
     """
-    lines = texts.select("text_key", F.posexplode(F.split("text", "\n")).alias("line", "value"))
+    low = min_texts if few_texts is None else min(few_texts, min_texts)
+    lines = rows.select("text_key", F.posexplode(F.split("text", "\n")).alias("line", "value"))
     lines = lines.filter(F.trim(F.translate("value", "\t", " ")) != "")
     lines = lines.select("text_key", "line", _tokens(F.col("value")).alias("tokens"))
-    if least:
-        lines = lines.filter(F.size("tokens") >= least)
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
     lines = lines.withColumn("leaf", leaf)
-    leaves = lines.groupBy("leaf", "text_key").agg(F.count(F.lit(1)).alias("n"))
-    leaves = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_texts)
-    held = stored(lines.join(broadcast_if_small(leaves.select("leaf")), "leaf", "left_semi"), "lines")
+    leaves = lines.select("leaf", "text_key", (F.size("tokens") >= LONG).alias("long"))
+    leaves = leaves.groupBy("leaf", "text_key", "long").agg(F.count(F.lit(1)).alias("n"))
+    leaves = leaves.groupBy("leaf", "long").agg(F.count(F.lit(1)).alias("texts"))
+    leaves = leaves.filter((F.col("texts") >= min_texts) | (F.col("long") & (F.col("texts") >= low)))
+    held = lines.join(broadcast_if_small(leaves.select("leaf")), "leaf", "left_semi")
+    held = stored(held.dropDuplicates(["text_key", "line"]), "lines")
 
     each = held.select("leaf", "text_key", "line", F.posexplode("tokens").alias("place", "token"))
     seen = each.groupBy("leaf", "place", "token", "text_key").agg(F.count(F.lit(1)).alias("n"))
     seen = seen.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("texts"))
-    constant = seen.filter((F.col("texts") >= min_texts) & (F.col("token") != "*")).select("leaf", "place", "token")
-    constant = broadcast_if_small(constant).withColumn("constant", F.lit(1))
+    constant = broadcast_if_small(seen.filter((F.col("texts") >= low) & (F.col("token") != "*")))
     each = each.join(constant, ["leaf", "place", "token"], "left")
-    part = F.struct("place", F.when(F.col("constant") == 1, F.col("token")).otherwise("*").alias("token"))
+    # For either number of texts: what is constant, the template, and whether it has enough constants.
+    kinds = [(min_texts, 0)] + ([(low, LONG)] if low < min_texts else [])
+
+    def part(texts: int) -> Column:
+        return F.struct("place", F.when(F.col("texts") >= texts, F.col("token")).otherwise("*").alias("token"))
+
     whole = each.groupBy("leaf", "text_key", "line").agg(
-        F.array_sort(F.collect_list(part)).alias("template"),
         F.count(F.lit(1)).alias("n"),
-        F.count("constant").alias("constants"),
+        *[F.array_sort(F.collect_list(part(t))).alias(f"template_{i}") for i, (t, _) in enumerate(kinds)],
+        *[F.count_if(F.col("texts") >= t).alias(f"constants_{i}") for i, (t, _) in enumerate(kinds)],
     )
-    whole = whole.filter((2 * F.col("constants") >= F.col("n")) & (F.col("constants") >= least))
-    whole = stored(whole.select("text_key", "line", F.xxhash64("leaf", "template").alias("template")), "templates")
-    common = whole.groupBy("template", "text_key").agg(F.count(F.lit(1)).alias("n"))
-    common = common.groupBy("template").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_texts)
-    return whole.join(broadcast_if_small(common.select("template")), "template", "left_semi").select("text_key", "line")
+    found = []
+    for i, (texts, least) in enumerate(kinds):
+        constants = F.col(f"constants_{i}")
+        fits = (2 * constants >= F.col("n")) & (constants >= least)
+        name = F.xxhash64("leaf", f"template_{i}", F.lit(i))
+        found.append(F.when(fits, F.struct(name.alias("template"), F.lit(texts).alias("enough"))))
+    whole = whole.select("text_key", "line", F.inline(F.array_compact(F.array(*found))))
+    whole = stored(whole, "templates")
+    common = whole.groupBy("template", "enough", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    common = common.groupBy("template", "enough").agg(F.count(F.lit(1)).alias("texts"))
+    common = broadcast_if_small(common.filter(F.col("texts") >= F.col("enough")).select("template"))
+    return whole.join(common, "template", "left_semi").select("text_key", "line").distinct()
 
 
 def _dropped(docs: DataFrame, text_col: str, min_texts: int, depth: int, few_texts: int | None) -> DataFrame:
     """text_key and the sorted numbers of the dropped lines; only texts with such lines."""
     rows = docs.select(F.col(f"`{text_col}`").alias("text")).filter("text is not null")
-    # One row per text: the first of its copies in each task, then across tasks by key only.
-    texts = rows.select(F.xxhash64("text").alias("text_key"), "text").dropDuplicates(["text_key"])
-    lines = template_lines(texts, min_texts, depth)
-    if few_texts is not None and few_texts < min_texts:
-        lines = lines.unionByName(template_lines(texts, few_texts, depth, LONG)).distinct()
+    rows = rows.select(F.xxhash64("text").alias("text_key"), "text")
+    lines = template_lines(rows, min_texts, depth, few_texts)
     return lines.groupBy("text_key").agg(F.array_sort(F.collect_list("line")).alias("dropped"))
 
 

@@ -8,8 +8,13 @@ from respeval.llm import line_templates
 from tests.llm.data import SCHEMA, awkward, prose
 
 
-def brute_force(texts: list[str], least: int = 5, depth: int = 3) -> dict[str, list[int]]:
-    """Numbers of the boilerplate lines of each text."""
+def brute_force(texts: list[str]) -> dict[str, list[int]]:
+    """Numbers of the boilerplate lines of each text: of five texts, or of two with ten constants."""
+    five, two = one_number(texts, 5, 0), one_number(texts, 2, 10)
+    return defaultdict(list, {t: sorted({*five[t], *two[t]}) for t in {*five, *two}})
+
+
+def one_number(texts: list[str], least: int, few: int, depth: int = 3) -> dict[str, list[int]]:
     lines = []
     for text in set(texts):
         for i, line in enumerate(text.split("\n")):
@@ -29,7 +34,7 @@ def brute_force(texts: list[str], least: int = 5, depth: int = 3) -> dict[str, l
             t if t != "*" and len(seen[leaf, p, t]) >= least else "*" for p, t in enumerate(tokens)
         )
         constants = sum(t != "*" for t in template)
-        if 2 * constants >= len(template):
+        if 2 * constants >= len(template) and constants >= few:
             whole.append((text, i, leaf, template))
             common[leaf, template].add(text)
     out = defaultdict(list)
@@ -47,6 +52,9 @@ def documents(rng):
             lines.insert(0, f"Page {rng.randrange(500)} of the site printed by user{rng.randrange(90)} today")
         if rng.random() < 0.4:
             lines.append(f"All rights reserved \t by {rng.choice('ABCDEFGHIJKLMNOP')} and partners")
+        if rng.random() < 0.2:
+            word = rng.choice(["sent", "read"])
+            lines.append(f"This mail with all of its parts was {word} on 7 of may by {prose(rng, 2)} from here")
         if rng.random() < 0.3:
             lines.append(rng.choice(["", " ", "\t", "Menu", "The The The"]))
         out.append("\n".join(lines))
