@@ -69,7 +69,7 @@ def running_sum(
     return running_sum_of_slices(sliced, order_by, sums, partition_by)
 
 
-def _plus(a: Column, b: Column) -> Column:
+def plus(a: Column, b: Column) -> Column:
     """The sum of two totals; null, as no value was seen, only if both are."""
     return F.when(a.isNotNull() & b.isNotNull(), a + b).otherwise(F.coalesce(a, b))
 
@@ -115,7 +115,7 @@ def running_sum_of_slices(
     joined = local.join(F.broadcast(shifts), same_slice, "left")
     return joined.select(
         *[c for c in sliced.columns if c not in sums and c != SLICE],
-        *[_plus(F.col(f"__l_{out}"), F.col(f"__shift_{out}")).alias(out) for out in sums],
+        *[plus(F.col(f"__l_{out}"), F.col(f"__shift_{out}")).alias(out) for out in sums],
     )
 
 

@@ -36,7 +36,7 @@ from respeval.plans import workflows
 from respeval.sources import prompts as prompt_files
 from respeval.sources import results as io
 from respeval.sources.storage import work_path
-from respeval.streaming import streams
+from respeval.streaming import budget, streams
 
 BUDGET = 50.0
 CALLS_PER_MINUTE = 60
@@ -742,17 +742,23 @@ def stream_usage_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_budget_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The usage arrives in four parts, in order; the stream goes on from its checkpoint each time."""
+    """The usage arrives in four parts, in order; the stream goes on from its checkpoint each time.
+
+    Parts begin with requests whose cost is not known. State and alerts follow after two parts each.
+    """
     path = work_path(spark, "stream-budget")
-    parts = running.slice_table(rel.usage(spark, sf_dir), USAGE_ORDER, 4)
+    parts = running.slice_table(rel.usage(spark, sf_dir), USAGE_ORDER, 4).persist()
     schema = parts.drop(running.SLICE).schema
-    sink = streams.budget_sink(f"{path}/out", BUDGET, USAGE_ORDER)
     for i in range(4):
         part = parts.filter(F.col(running.SLICE) == i).drop(running.SLICE)
         part.write.mode("append").parquet(f"{path}/in")
         usage = price_requests(spark.readStream.schema(schema).parquet(f"{path}/in"))
-        streams.run_available(usage, sink, f"{path}/checkpoint")
-    alerts = spark.read.parquet(f"{path}/out/alerts")
+        usage = usage.withColumn("cost", F.expr(rel.KNOWN_COST))
+        if i % 2:
+            alerts = budget.follow_budget(usage, f"{path}/out", BUDGET, USAGE_ORDER, f"{path}/checkpoint")
+        else:
+            streams.run_available(usage, budget.usage_sink(f"{path}/out", USAGE_ORDER), f"{path}/checkpoint")
+    parts.unpersist()
     remaining = F.round(F.lit(BUDGET) - F.col("cumulative_cost"), 8).alias("remaining")
     return alerts.select("run", "event_id", "alert", remaining)
 

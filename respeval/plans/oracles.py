@@ -232,18 +232,21 @@ priced AS (
 )"""
 
 
-def _running(partition: str) -> str:
+def _running(partition: str, cost: str = "cost") -> str:
     over = f"OVER ({partition} ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
     return f"""{WITH_USAGE},
 running AS (
-  SELECT *, sum(cost) {over} AS cumulative_cost,
+  SELECT *, sum({cost}) {over} AS cumulative_cost,
     (sum(input_tokens + output_tokens) {over})::BIGINT AS cumulative_tokens
   FROM priced
 )"""
 
 
 _BUDGET = f"{catalog.BUDGET}::DOUBLE"
-BUDGET_ALERTS = f"""{_running("PARTITION BY run")},
+
+
+def _budget_alerts(cost: str) -> str:
+    return f"""{_running("PARTITION BY run", cost)},
 status AS (
   SELECT *, {_BUDGET} - cumulative_cost AS remaining FROM running
 )
@@ -606,7 +609,7 @@ SELECT run, event_id, round(cumulative_cost, 8) AS cumulative_cost, cumulative_t
 FROM running""",
     "cumulative_cost_overall": f"""{_running("")}
 SELECT event_id, round(cumulative_cost, 8) AS cumulative_cost, cumulative_tokens FROM running""",
-    "budget_alerts": BUDGET_ALERTS,
+    "budget_alerts": _budget_alerts("cost"),
     "request_rate": f"""WITH calls AS (
   SELECT event_type, ts, count(*) OVER (
       PARTITION BY event_type ORDER BY epoch_us(ts)
@@ -838,5 +841,5 @@ GROUP BY event_type, window_start""",
 SELECT model, count(*) AS requests, sum(input_tokens + output_tokens)::BIGINT AS total_tokens,
   round(sum(cost6), 6) AS cost
 FROM (SELECT *, {_binary_round("cost", 6)} AS cost6 FROM priced) GROUP BY model""",
-    "stream_budget_alerts": BUDGET_ALERTS,
+    "stream_budget_alerts": _budget_alerts(rel.KNOWN_COST),
 }

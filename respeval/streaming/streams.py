@@ -14,9 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from respeval.functions.numbers import round_binary
-from respeval.operators.running import alert_columns, check_limit, cumulative_cost
 from respeval.operators.scoring import Rubric, score_responses
-from respeval.sources.storage import remove
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -101,8 +99,6 @@ def usage_stream(usage: DataFrame) -> DataFrame:
     )
 
 
-
-
 def run_totals(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Run an aggregated stream over all input there is; each batch stores all totals so far."""
     query = (
@@ -121,49 +117,3 @@ def read_latest(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     stored = spark.read.schema(_with_batch_id(like)).parquet(path)
     last = stored.agg(F.max("batch_id")).scalar()
     return stored.filter(F.col("batch_id") == last).select(*like.columns)
-
-
-def budget_sink(
-    path: str,
-    limit: float,
-    order_by: Sequence[str],
-    run: str = "run",
-) -> Sink:
-    """A ``foreachBatch`` function that follows the budget of each run over a usage stream.
-
-    Rows are ordered inside a micro-batch; a row that arrives in a later batch counts as later
-    spending. Per batch it stores the alerts under ``path/alerts`` and what each run has spent
-    under ``path/spent``, where the next batch picks it up. The running sum inside a batch is
-    spread over all tasks even if one run makes up most of it, which keyed state would not be. Nothing
-    else is stored, and only the last two states of the runs are kept.
-    """
-    check_limit(limit)
-
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        running = cumulative_cost(batch, order_by, [run])
-        if batch_id == 0:
-            before = batch.select(run).limit(0).withColumn("spent", F.lit(0.0))
-        else:
-            before = batch.sparkSession.read.parquet(f"{path}/spent/batch_id={batch_id - 1}")
-        carried = before.select(F.col(run).alias("__run"), F.col("spent").alias("__spent"))
-        same_run = F.col(run).eqNullSafe(F.col("__run"))
-        spent = running.join(carried, same_run, "left")
-        total = F.col("cumulative_cost") + F.coalesce("__spent", F.lit(0.0))
-        kind, message = alert_columns(F.col("cumulative_cost"), limit)
-        alerts = (
-            spent.withColumn("cumulative_cost", total)
-            .select(*batch.columns, "cumulative_cost")
-            .withColumn("alert", kind)
-            .withColumn("message", message)
-            .filter(F.col("alert").isNotNull())
-        )
-        alerts.write.mode("overwrite").parquet(f"{path}/alerts/batch_id={batch_id}")
-        in_batch = running.groupBy(run).agg(F.sum("cost").alias("spent"))
-        now = before.select(run, "spent").unionByName(in_batch)
-        now.groupBy(run).agg(F.sum("spent").alias("spent")).write.mode("overwrite").parquet(
-            f"{path}/spent/batch_id={batch_id}"
-        )
-        # The batch and the one before may be run again; what came before them is not read any more.
-        remove(batch.sparkSession, f"{path}/spent/batch_id={batch_id - 2}")
-
-    return on_batch

@@ -6,11 +6,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from respeval.operators import running
 from respeval.operators.costs import cost_by_model, price_requests
 from respeval.operators.running import budget_alerts
 from respeval.operators.scoring import score_responses
 from respeval.sources.results import save_responses, stream_results
-from respeval.streaming import streams
+from respeval.streaming import budget, streams
 from tests.test_text import random_texts
 
 USAGE = "run string, seq long, ts timestamp, model string, input_tokens long, output_tokens long"
@@ -98,7 +99,7 @@ def test_budget_stream_equals_the_table(spark, usage, tmp_path, files):
     path, out = str(tmp_path / "in"), str(tmp_path / "out")
     write_files(usage, path, "seq", files)
     stream = read_stream(spark, usage, path, maxFilesPerTrigger=1)
-    streams.run_available(stream, streams.budget_sink(out, 20.0, ["seq"]), str(tmp_path / "ck"))
+    streams.run_available(stream, budget.budget_sink(out, 20.0, ["seq"]), str(tmp_path / "ck"))
     got = spark.read.parquet(f"{out}/alerts").select("run", "seq", "alert", "message").collect()
     expected = budget_alerts(usage, 20.0, ["seq"], ["run"]).select("run", "seq", "alert", "message")
     assert sorted(map(str, got)) == sorted(map(str, expected.collect()))
@@ -107,7 +108,7 @@ def test_budget_stream_equals_the_table(spark, usage, tmp_path, files):
 
 def test_budget_batch_run_again_replaces_itself(spark, usage, tmp_path):
     out = str(tmp_path / "out")
-    sink = streams.budget_sink(out, 20.0, ["seq"])
+    sink = budget.budget_sink(out, 20.0, ["seq"])
     sink(usage.filter("seq < 300"), 0)
     sink(usage.filter("seq >= 300"), 1)
     first = sorted(map(str, spark.read.parquet(f"{out}/alerts").collect()))
@@ -115,9 +116,67 @@ def test_budget_batch_run_again_replaces_itself(spark, usage, tmp_path):
     assert sorted(map(str, spark.read.parquet(f"{out}/alerts").collect())) == first
 
 
+def test_null_costs_are_carried(spark, table, tmp_path):
+    """A batch that begins with null costs goes on from what was spent before."""
+    df = table(
+        [("r", 0, 60.0), ("r", 1, None), ("r", 2, 1.0), ("n", 0, None), ("n", 3, None), ("n", 4, 45.0), (None, 4, 90.0)],
+        "run string, seq long, cost double",
+    ).withColumns({"input_tokens": F.lit(1), "output_tokens": F.lit(1)})
+    out = str(tmp_path / "out")
+    sink = budget.budget_sink(out, 50.0, ["seq"])
+    for i, part in enumerate(("seq = 0", "seq in (1, 2)", "seq > 2")):
+        sink(df.filter(part), i)
+        sink(df.filter(part), i)
+    got = spark.read.parquet(f"{out}/alerts").select("run", "seq", "alert", "message", "cumulative_cost").collect()
+    expected = budget_alerts(df, 50.0, ["seq"], ["run"]).select("run", "seq", "alert", "message", "cumulative_cost")
+    assert sorted(map(str, got)) == sorted(map(str, expected.collect()))
+    assert {(r.run, r.seq) for r in got} == {("r", 0), ("r", 1), ("r", 2), ("n", 4), (None, 4)}
+
+
+def test_budget_in_two_queries(spark, usage, tmp_path):
+    """Usage of many batches first, with null costs, one of them lost after it was stored; then the state."""
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    usage = usage.withColumn("cost", F.when(F.col("seq") % 150 > 20, F.col("cost")))
+    write_files(usage, path, "seq", 4)
+    stored = budget.usage_sink(out, ["seq"])
+    attempts = []
+
+    def fail_once(batch, batch_id):
+        stored(batch, batch_id)
+        attempts.append(batch_id)
+        if attempts == [0, 1]:
+            raise RuntimeError("lost after writing")
+
+    stream = read_stream(spark, usage, path, maxFilesPerTrigger=1)
+    with pytest.raises(Exception, match="lost after writing"):
+        streams.run_available(stream, fail_once, str(tmp_path / "ck"))
+    budget.raise_alerts(spark, out, 20.0, usage.schema["run"].dataType)
+    stream = read_stream(spark, usage, path, maxFilesPerTrigger=1)
+    streams.run_available(stream, fail_once, str(tmp_path / "ck"))
+    assert attempts == [0, 1, 1, 2, 3]
+    for _ in range(2):
+        budget.raise_alerts(spark, out, 20.0, usage.schema["run"].dataType)
+    got = budget.read_alerts(usage, out).select("run", "seq", "alert", "message").collect()
+    expected = budget_alerts(usage, 20.0, ["seq"], ["run"]).select("run", "seq", "alert", "message")
+    assert sorted(map(str, got)) == sorted(map(str, expected.collect()))
+    assert {r.alert for r in got} == {"warning", "error"}
+
+
+def test_only_sums_reach_the_state(spark, usage, tmp_path):
+    """Whatever a run's share of the usage, its state gets one row per batch."""
+    out = str(tmp_path / "out")
+    hot = usage.withColumn("run", F.lit("hot"))
+    for i in range(3):
+        budget.usage_sink(out, ["seq"])(hot.filter(F.col("seq") % 3 == i), i)
+    sums = spark.read.parquet(f"{out}/sums")
+    assert [tuple(r) for r in sums.select("run", "batch_id").orderBy("batch_id").collect()] == [("hot", i) for i in range(3)]
+    # Rows of the one run are dealt over many slices.
+    assert len(running.slice_table(hot, ["run", "seq"]).groupBy("__slice").count().collect()) > 8
+
+
 def test_negative_budget():
     with pytest.raises(ValueError):
-        streams.budget_sink("x", -1.0, ["seq"])
+        budget.budget_sink("x", -1.0, ["seq"])
 
 
 def test_usage_totals(spark, usage, tmp_path):
