@@ -17,9 +17,8 @@ RESULT_SCHEMA = (
     "error string, error_type string"
 )
 
-# Without a given concurrency: prompts of one task, and the most tasks.
-PROMPTS_PER_TASK = 20
-MOST_TASKS = 10_000
+# Without a given concurrency: tasks for each core of the cluster, so that slow prompts even out.
+TASKS_PER_CORE = 4
 
 
 def filter_success(df: DataFrame) -> DataFrame:
@@ -40,6 +39,18 @@ def map_chunks(
     return df.mapInPandas(run, schema)
 
 
+def asked_prompts(prompts: DataFrame) -> DataFrame:
+    """prompt_id and prompt, as they are asked."""
+    if not {"prompt", "text"} & set(prompts.columns):
+        raise ValueError("prompts need a 'prompt' or a 'text' column")
+    names = [n for n in ("id", "prompt_id") if n in prompts.columns]
+    ids = [F.nullif(F.col(n).cast("string"), F.lit("")) for n in names]
+    return prompts.select(
+        F.coalesce(*ids, F.lit("unknown")).alias("prompt_id"),
+        prompt_text(prompts, ("prompt", "text")).alias("prompt"),
+    )
+
+
 def execute_prompts(
     prompts: DataFrame,
     fn: Callable[[str], str],
@@ -49,19 +60,18 @@ def execute_prompts(
     """Run ``fn`` on every prompt; an exception makes an error row, never a failed job.
 
     So does an answer that is not a string. ``fn`` runs once per task attempt, so a lost executor
-    repeats the calls of its tasks. ``concurrency`` spreads the prompts over that many tasks; without
-    it, a table is spread by the number of its prompts, which are counted when this is called.
+    repeats the calls of its tasks; ``streaming.answers`` keeps the answers of a long run. ``concurrency``
+    spreads the prompts over that many tasks; without it, a table is spread over a few tasks per core.
     """
-    if not {"prompt", "text"} & set(prompts.columns):
-        raise ValueError("prompts need a 'prompt' or a 'text' column")
-    names = [n for n in ("id", "prompt_id") if n in prompts.columns]
-    ids = [F.nullif(F.col(n).cast("string"), F.lit("")) for n in names]
-    asked = prompts.select(
-        F.coalesce(*ids, F.lit("unknown")).alias("prompt_id"),
-        prompt_text(prompts, ("prompt", "text")).alias("prompt"),
-    )
+    return ask_prompts(asked_prompts(prompts), fn, model, concurrency)
+
+
+def ask_prompts(
+    asked: DataFrame, fn: Callable[[str], str], model: str = DEFAULT_MODEL, concurrency: int | None = None
+) -> DataFrame:
+    """``execute_prompts`` of rows (prompt_id, prompt)."""
     if not concurrency and not asked.isStreaming:
-        concurrency = max(1, min(MOST_TASKS, -(-asked.count() // PROMPTS_PER_TASK)))
+        concurrency = TASKS_PER_CORE * asked.sparkSession.sparkContext.defaultParallelism
     if concurrency:
         asked = asked.repartition(concurrency)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ from respeval.plans import workflows
 from respeval.sources import prompts as prompt_files
 from respeval.sources import results as io
 from respeval.sources.storage import work_path
-from respeval.streaming import budget, streams
+from respeval.streaming import answers, budget, streams
 
 BUDGET = 50.0
 CALLS_PER_MINUTE = 60
@@ -561,6 +562,32 @@ def execute_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def execute_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that is lost after two of its batches, and started anew."""
+    path = work_path(spark, "calls")
+    asked = rel.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+    def stub_model(text: str) -> str:
+        if "license" in text.lower():
+            raise ValueError("licensed text")
+        return f"{len(text)} characters"
+
+    def lost(batch_id: int) -> None:
+        if batch_id == 1:
+            raise RuntimeError("lost")
+
+    answers.submit_prompts(asked, path, per_file=100)
+    try:
+        answers.answer_questions(spark, path, stub_model, files_per_batch=2, then=lost)
+    except StreamingQueryException:
+        pass
+    results = answers.execute_resumable(asked, stub_model, path)
+    chars = F.length("prompt").cast("bigint").alias("prompt_chars")
+    return results.select(
+        "prompt_id", chars, "response", "model", "status", "error", "error_type"
+    )
+
+
 def ragged_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = rel.load(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS key", "c_name AS name", "c_acctbal AS balance", "c_mktsegment AS segment"
@@ -828,6 +855,7 @@ QUERIES = {
     "run_verdict": run_verdict,
     "map_chunks": map_chunks,
     "execute_prompts": execute_prompts,
+    "execute_resumed": execute_resumed,
     "ragged_union": ragged_tables,
     "sanitize_string": sanitize_string,
     "sanitize_filename": sanitize_filename,

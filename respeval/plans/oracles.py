@@ -521,6 +521,16 @@ STORED_SCORES = """
     (seq % 6)::DOUBLE / 5 * 5 AS reasoning,
     (seq % 3)::DOUBLE + 1 AS tone"""
 
+EXECUTED = """SELECT doc_id::VARCHAR AS prompt_id, length(text) AS prompt_chars,
+  CASE WHEN contains(lower(text), 'license') THEN '' ELSE length(text) || ' characters' END
+    AS response,
+  'gpt-4' AS model,
+  CASE WHEN contains(lower(text), 'license') THEN 'error' ELSE 'success' END AS status,
+  CASE WHEN contains(lower(text), 'license') THEN 'licensed text' END AS error,
+  CASE WHEN contains(lower(text), 'license') THEN 'ValueError' END AS error_type
+FROM documents"""
+
+
 ORACLES = {
     "filter_success": f"""WITH {RESPONSES}
 SELECT prompt_id, model, status FROM responses WHERE status = 'success'""",
@@ -783,14 +793,8 @@ SELECT bool_or(status = 'regression') AS has_regression, max(reason) AS reason,
 FROM report""",
     "map_chunks": """SELECT l_orderkey, l_linenumber,
   round(l_extendedprice * (1 - l_discount), 6) AS net FROM lineitem""",
-    "execute_prompts": """SELECT doc_id::VARCHAR AS prompt_id, length(text) AS prompt_chars,
-  CASE WHEN contains(lower(text), 'license') THEN '' ELSE length(text) || ' characters' END
-    AS response,
-  'gpt-4' AS model,
-  CASE WHEN contains(lower(text), 'license') THEN 'error' ELSE 'success' END AS status,
-  CASE WHEN contains(lower(text), 'license') THEN 'licensed text' END AS error,
-  CASE WHEN contains(lower(text), 'license') THEN 'ValueError' END AS error_type
-FROM documents""",
+    "execute_prompts": EXECUTED,
+    "execute_resumed": EXECUTED,
     "ragged_union": """SELECT c_acctbal AS balance, c_custkey AS key, c_name AS name,
   NULL::INT AS nation, c_mktsegment AS segment FROM customer
 UNION ALL

@@ -12,7 +12,6 @@ from respeval.operators import reports
 from respeval.operators.costs import cost_by_model, cost_summary, row_cost
 from respeval.operators.execute import (
     error_stats,
-    execute_prompts,
     failed_requests,
     filter_success,
 )
@@ -20,6 +19,8 @@ from respeval.operators.regression import regression_report, run_verdict
 from respeval.operators.scoring import Rubric, score_responses
 from respeval.sources.prompts import load_prompts
 from respeval.sources.results import load_baseline, save_as_baseline, save_report
+from respeval.sources.storage import remove
+from respeval.streaming.answers import execute_resumable
 
 
 def score_results(results: DataFrame, rubric: Rubric | None = None) -> DataFrame:
@@ -77,11 +78,14 @@ def evaluate(
 ) -> DataFrame:
     """Prompts from files through ``fn`` to stored raw results, scored results and reports.
 
-    Raw results are stored before anything is read from them, so ``fn`` is not called again.
+    Answers are logged batch by batch under ``output/calls`` until the raw results are stored. A run
+    that was lost goes on from there when it is called again, and asks only what has no answer yet;
+    each different prompt is asked once.
     """
     prompts = load_prompts(spark, prompt_path)
-    raw = execute_prompts(prompts, fn, model, concurrency)
+    raw = execute_resumable(prompts, fn, f"{output}/calls", model, concurrency)
     raw.write.mode("overwrite").parquet(f"{output}/raw")
+    remove(spark, f"{output}/calls")
     scored = score_results(spark.read.parquet(f"{output}/raw"), rubric)
     scored.write.mode("overwrite").parquet(f"{output}/scored")
     stored = spark.read.parquet(f"{output}/scored")
