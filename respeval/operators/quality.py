@@ -12,8 +12,7 @@ from respeval.functions.numbers import round_binary
 from respeval.functions.scores import GRADES, expected_grade
 from respeval.functions.text import strip
 from respeval.operators.running import medians_of_slices, slice_table
-from respeval.sources.storage import write_and_read
-from respeval.sources.storage import broadcast_if_small
+from respeval.sources.storage import broadcast_if_small, write_and_read
 
 # The columns each kind of table must have, and the range of scores.
 REQUIRED_COLUMNS = {
@@ -58,7 +57,7 @@ def duplicate_ids(df: DataFrame, key: str = "prompt_id") -> DataFrame:
     return df.join(repeated, df[key].eqNullSafe(F.col("__key")), "left_semi")
 
 
-def _is_null(df: DataFrame, name: str) -> Column:
+def is_null(df: DataFrame, name: str) -> Column:
     null = df[name].isNull()
     return null | F.isnan(df[name]) if _is_float(df.schema[name].dataType) else null
 
@@ -132,7 +131,7 @@ def validate_table(df: DataFrame, kind: str = "raw_results") -> DataFrame:
                 checks.append(("inconsistent_grade", "grade", F.count_if(wrong)))
     for name in required:
         if name in df.columns:
-            checks.append(("null_values", name, F.count_if(_is_null(df, name))))
+            checks.append(("null_values", name, F.count_if(is_null(df, name))))
     if "timestamp" in df.columns:
         checks.append(("invalid_timestamp", "timestamp", F.count_if(bad_timestamp(df))))
 
@@ -267,7 +266,7 @@ def quality_report_table(df: DataFrame) -> DataFrame:
 _EXACT_WHOLE = 2**53
 
 
-def _cell(df: DataFrame, name: str) -> tuple[Column, Column]:
+def cell(df: DataFrame, name: str) -> tuple[Column, Column]:
     """A value as (number, short string) that is equal for equal values and null if missing.
 
     Numbers that a double holds exactly need no string.
@@ -308,7 +307,7 @@ def quality_report_columns(
 
     aggregates = [F.count(F.lit(1)).alias("__total")]
     for i, n in enumerate(names):
-        aggregates.append(F.count_if(_is_null(df, n)).alias(f"__nulls_{i}"))
+        aggregates.append(F.count_if(is_null(df, n)).alias(f"__nulls_{i}"))
         if n in numeric:
             for label, f in (
                 ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)
@@ -317,7 +316,7 @@ def quality_report_columns(
             if approximate:
                 aggregates.append(F.percentile_approx(known(n), 0.5).alias(f"__median_{i}"))
         if approximate:
-            either = F.coalesce(*[part.cast("string") for part in reversed(_cell(df, n))])
+            either = F.coalesce(*[part.cast("string") for part in reversed(cell(df, n))])
             aggregates.append(F.approx_count_distinct(either).alias(f"__unique_{i}"))
     wide = df.agg(*aggregates)
 
@@ -353,7 +352,7 @@ def quality_report_columns(
 
     cells = []
     for i, n in enumerate(names):
-        number, key = _cell(df, n)
+        number, key = cell(df, n)
         cells.append(
             F.struct(F.lit(i).alias("column"), number.alias("value"), key.alias("key"))
         )

@@ -21,6 +21,8 @@ INSIGHT_BANDS = (("excellent", 4.5), ("good", 3.5), ("acceptable", 2.5))
 LOWEST_BAND = "below_expectations"
 HIGH_VARIANCE = 1.0
 SAMPLE_ROWS = 100
+# So many different values are held by one task.
+FEW_VALUES = 100_000
 SAMPLE_PROMPT_CHARS = 100
 
 
@@ -59,12 +61,35 @@ def insight_band(average: Column) -> Column:
     return band.otherwise(LOWEST_BAND)
 
 
+def with_insights(stats: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """The summary of scores in column ``name`` from total_evaluations, mean, middle, std, good_on_one, good_on_five."""
+    on_one = {"aggregated_score": F.lit(True), "overall_score": F.lit(False)}.get(
+        name, F.coalesce(F.col("mean") <= 1.0, F.lit(False))
+    )
+    factor = F.when(on_one, 5.0).otherwise(1.0)
+    good = F.when(on_one, F.col("good_on_one")).otherwise(F.col("good_on_five"))
+    summary = stats.select(
+        *by,
+        F.col("total_evaluations").cast("bigint").alias("total_evaluations"),
+        (F.col("mean") * factor).alias("average_score"),
+        (F.col("middle") * factor).alias("median_score"),
+        (F.col("std") * factor).alias("std_dev"),
+        F.coalesce(F.try_divide(good, "total_evaluations") * 100, F.lit(0.0)).alias("success_rate"),
+    )
+    return summary.select(
+        "*",
+        insight_band(F.col("average_score")).alias("insight"),
+        F.coalesce(F.col("std_dev") > HIGH_VARIANCE, F.lit(False)).alias("high_variance"),
+    )
+
+
 def executive_summary(df: DataFrame, approximate_median: bool = False) -> DataFrame:
     """One row: count, mean, median, standard deviation, success rate, and what to make of them.
 
     The success rate is over all rows, also those without a score. Equal scores are counted
-    first and the counts stored, so the table is read once; all else comes from the counts.
-    ``approximate_median`` takes a sketch instead and stores nothing.
+    first and the counts stored, so the table is read once; all else comes from the counts. Up to
+    ``FEW_VALUES`` different scores one aggregate finds the median as well; beyond, the counts are cut into
+    slices. ``approximate_median`` takes a sketch instead and stores nothing.
     """
     name = _first_present(df, ("aggregated_score", "overall_score")) or df.columns[0]
     scores = df.select(_known(df, name).alias("score"))
@@ -76,14 +101,15 @@ def executive_summary(df: DataFrame, approximate_median: bool = False) -> DataFr
         counts = scores.groupBy(F.lit(name).alias("column"), F.col("score").alias("value")).agg(
             F.count(F.lit(1)).alias("n")
         )
-        scores = slice_table(write_and_read(counts, "counts"), ["column", "value"])
+        scores = write_and_read(counts, "counts")
         score, n = F.col("value"), F.col("n")
         known = F.sum(F.when(score.isNotNull(), n))
         mean = F.try_divide(F.sum(score * n), known)
         center = scores.agg(mean).scalar()
         squares = F.sum(n * (score - center) * (score - center))
         std = F.sqrt(F.try_divide(squares, F.nullif(known - 1, F.lit(0))))
-        middle = medians_of_slices(scores).select("median").scalar()
+        few = scores.count() <= FEW_VALUES
+        middle = F.percentile(score, 0.5, n) if few else F.lit(None).cast("double")
 
     def rows_where(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
@@ -91,30 +117,15 @@ def executive_summary(df: DataFrame, approximate_median: bool = False) -> DataFr
     stats = scores.agg(
         rows_where(F.lit(True)).alias("total_evaluations"),
         mean.alias("mean"),
-        (middle if approximate_median else F.lit(None).cast("double")).alias("middle"),
+        middle.alias("middle"),
         std.alias("std"),
         rows_where(score >= SUCCESS_ON_ONE).alias("good_on_one"),
         rows_where(score >= SUCCESS_ON_FIVE).alias("good_on_five"),
     )
-    if not approximate_median:
-        stats = stats.withColumn("middle", middle)
-    on_one = {"aggregated_score": F.lit(True), "overall_score": F.lit(False)}.get(
-        name, F.coalesce(F.col("mean") <= 1.0, F.lit(False))
-    )
-    factor = F.when(on_one, 5.0).otherwise(1.0)
-    good = F.when(on_one, F.col("good_on_one")).otherwise(F.col("good_on_five"))
-    summary = stats.select(
-        F.col("total_evaluations").cast("bigint").alias("total_evaluations"),
-        (F.col("mean") * factor).alias("average_score"),
-        (F.col("middle") * factor).alias("median_score"),
-        (F.col("std") * factor).alias("std_dev"),
-        F.coalesce(F.try_divide(good, "total_evaluations") * 100, F.lit(0.0)).alias("success_rate"),
-    )
-    return summary.select(
-        "*",
-        insight_band(F.col("average_score")).alias("insight"),
-        F.coalesce(F.col("std_dev") > HIGH_VARIANCE, F.lit(False)).alias("high_variance"),
-    )
+    if not approximate_median and not few:
+        sliced = medians_of_slices(slice_table(scores, ["column", "value"]))
+        stats = stats.withColumn("middle", sliced.select("median").scalar())
+    return with_insights(stats, name)
 
 
 def dimension_averages(df: DataFrame) -> DataFrame:

