@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from respeval.sources.storage import write_and_read
@@ -62,18 +64,81 @@ def map_blocks(
     return df.mapInArrow(run, schema)
 
 
-def key_bounds(df: DataFrame, key: Column, parts: int) -> list:
-    """At most ``parts - 1`` increasing values that cut a key into ranges of near equal counts."""
-    if parts < 2:
-        return []
-    shares = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile_approx(key, shares, 10 * parts).alias("b")).first().b
-    return sorted(set(found or []))
+# Ranges of keys: so many at most, each from so many sampled keys.
+MOST_RANGES = 100_000
+SAMPLED_PER_RANGE = 20
+
 
+def range_cuts(df: DataFrame, keys: Sequence[str], ranges: int) -> list[tuple]:
+    """Increasing keys that cut a table, ordered by ``keys``, into ranges of near equal counts.
 
-def range_of(key: Column, bounds: list) -> Column:
-    """Which range a key falls in: the number of bounds at or below it; null is in range 0."""
-    if not bounds:
-        return F.lit(0)
-    cuts = F.array(*[F.lit(b) for b in bounds])
-    return F.coalesce(F.size(F.filter(cuts, lambda b: b <= key)), F.lit(0))
+    At most ``ranges - 1`` and ``MOST_RANGES - 1``, from a sample of bounded size that comes to the driver. Keys may be
+    of any type that Spark orders; several of them keep a frequent first one from filling a range.
+    """
+    ranges = min(ranges, MOST_RANGES)
+    if ranges < 2:
+        return []
+    rows = df.select(*keys)
+    share = min(1.0, SAMPLED_PER_RANGE * ranges / max(1, rows.count()))
+    sample = [tuple(r) for r in rows.sample(share, seed=1).orderBy(*keys).collect()]
+    picked = [sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else []
+    return list(dict.fromkeys(picked))
+
+
+def _ranks(values: np.ndarray, cuts: list) -> tuple[np.ndarray, np.ndarray]:
+    """How many cuts are below each value, and how many at or below it."""
+    if not cuts:
+        nothing = np.zeros(len(values), np.int64)
+        return nothing, nothing
+    bounds = np.array(cuts, dtype=values.dtype if values.dtype != object else object)
+    return np.searchsorted(bounds, values, "left"), np.searchsorted(bounds, values, "right")
+
+
+def _numbers(columns: list[tuple[np.ndarray, np.ndarray]], cuts: list[tuple]) -> np.ndarray:
+    """The number of cuts at or below each row; a column is (is null, value), and nulls come first."""
+    null, values = columns[0]
+    if not columns[1:]:
+        known = [c[0] for c in cuts if c[0] is not None]
+        nulls = len(cuts) - len(known)
+        out = np.full(len(values), nulls, np.int64)
+        out[~null] += _ranks(values[~null], known)[1]
+        return out
+    heads = list(dict.fromkeys(c[0] for c in cuts))
+    first = np.cumsum([0, *(len(list(g)) for _, g in groupby(cuts, key=lambda c: c[0]))])
+    known = heads[1:] if heads and heads[0] is None else heads
+    skipped = len(heads) - len(known)
+    low, high = np.zeros(len(values), np.int64), np.full(len(values), skipped, np.int64)
+    below, upto = _ranks(values[~null], known)
+    low[~null], high[~null] = below + skipped, upto + skipped
+    out = first[low]
+    # Rows whose first key is that of some cuts: the other keys decide among these.
+    for head in np.unique(low[high > low]).tolist():
+        rows = np.flatnonzero((low == head) & (high > low))
+        rest = [(n[rows], v[rows]) for n, v in columns[1:]]
+        out[rows] += _numbers(rest, [c[1:] for c in cuts[first[head] : first[head + 1]]])
+    return out
+
+
+def with_range(df: DataFrame, keys: Sequence[str], cuts: list[tuple], name: str = "part") -> DataFrame:
+    """Add the number of the range that a row falls in: the number of cuts at or below it.
+
+    A binary search per row in a vectorised function; the cuts are broadcast, not written into the plan.
+    """
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
+    shared = df.sparkSession.sparkContext.broadcast(cuts)
+
+    @F.pandas_udf("int")
+    def number(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for parts in columns:
+            pairs = [(parts[i].to_numpy(bool), parts[i + 1].to_numpy()) for i in range(0, len(parts), 2)]
+            yield pd.Series(_numbers(pairs, shared.value).astype(np.int32))
+
+    filled = []
+    for k in keys:
+        # A null's value does not matter; without nulls whole numbers stay whole.
+        some = next((c[keys.index(k)] for c in cuts if c[keys.index(k)] is not None), None)
+        c = F.col(f"`{k}`")
+        fallback = F.lit(some).cast(df.schema[k].dataType) if some is not None else c
+        filled += [c.isNull(), F.coalesce(c, fallback)]
+    return df.withColumn(name, number(*filled))

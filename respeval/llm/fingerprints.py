@@ -28,9 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from respeval.llm.common import BLOCK_CHARS, blocks, id_and_text, key_bounds, range_of
+from respeval.llm.common import BLOCK_CHARS, blocks, id_and_text, range_cuts, with_range
 
 # Hashes in a fingerprint, of 32 bits each.
 SIZE = 32
@@ -178,39 +179,32 @@ EDITS = (
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """How alike every document is to its edited text and to the next document, descending by id.
 
-    Documents are dealt out once, in ranges of the id. The first document of each range is sent to the
-    range before it as well, so that every task has the neighbour of its last document; the first of
-    all goes to the last range.
+    Documents are dealt out once, in ranges of the id and a hash of the text, a range to a task. The first
+    document of each range is sent to the range before it as well, so that every task has the neighbour of its
+    last document; the first of all goes to the last range. Ids may be of any type that Spark orders.
     """
     rows = id_and_text(docs, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType
-    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")))
+    rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("tie", F.xxhash64("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bounds = key_bounds(rows, F.col("key"), int(size // RANGE_BYTES) + 8)
-    rows = rows.withColumn("part", range_of(F.col("key"), bounds)).withColumn("tie", F.xxhash64("text"))
-    # One row per range, at most as many as bounds: its first document and the range before it.
-    heads = rows.groupBy("part").agg(F.max(F.struct("key", "tie")).alias("head")).orderBy("part").collect()
+    order = ["doc_id", "tie"]
+    rows = with_range(rows, order, range_cuts(rows, order, int(size // RANGE_BYTES) + 8))
+    # One row per range: its first document and the range before it.
+    heads = rows.groupBy("part").agg(F.max(F.struct(*order)).alias("head")).orderBy("part").collect()
     parts = [r["part"] for r in heads]
-    before = {p: parts[i + 1] if i + 1 < len(parts) else parts[0] for i, p in enumerate(parts)}
-    # Joined, as an expression with a branch for each range would be too deep for the planner.
-    ends = [(r["part"], r["head"]["key"], r["head"]["tie"], before[r["part"]]) for r in heads]
-    ends = docs.sparkSession.createDataFrame(ends, "part int, key long, tie long, to int")
-    rows = rows.join(F.broadcast(ends), ["part", "key", "tie"], "left")
-    rows = rows.select(
-        "doc_id", "text", "key", "tie",
-        F.explode(
-            F.when(
-                F.col("to").isNotNull(),
-                F.array(
-                    F.struct(F.col("part").alias("part"), F.lit(0).alias("guest")),
-                    F.struct(F.col("to").alias("part"), F.lit(1).alias("guest")),
-                ),
-            ).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("guest"))))
-        ).alias("at"),
-    ).select("doc_id", "text", "key", "tie", "at.part", "at.guest")
-    dealt = rows.repartition(max(1, len(parts)), "part").sortWithinPartitions(
-        "part", "guest", F.desc("key"), F.desc("tie")
+    ends = [
+        (r["part"], r["head"]["doc_id"], r["head"]["tie"], parts[(i + 1) % len(parts)]) for i, r in enumerate(heads)
+    ]
+    kind = T.StructType.fromDDL("of int, head_tie long, to int")
+    kind = T.StructType([kind["of"], T.StructField("head_id", id_type), kind["head_tie"], kind["to"]])
+    ends = docs.sparkSession.createDataFrame(ends, kind)
+    is_head = (F.col("part") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))
+    rows = rows.join(F.broadcast(ends), is_head, "left")
+    own = F.struct(F.col("part").alias("part"), F.lit(0).alias("guest"))
+    guest = F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("part"), F.lit(1).alias("guest")))
+    rows = rows.select("doc_id", "text", "tie", F.inline(F.array_compact(F.array(own, guest))))
+    dealt = rows.repartitionById(max(parts, default=0) + 1, F.col("part")).sortWithinPartitions(
+        "part", "guest", F.desc("doc_id"), F.desc("tie")
     )
 
     def work(waiting: list[tuple], following: str | None) -> pa.RecordBatch:

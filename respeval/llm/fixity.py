@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from respeval.llm.common import key_bounds, range_of, stored
+from respeval.llm.common import range_cuts, stored, with_range
 from respeval.sources.storage import broadcast_if_small
 
 # Bytes of an archive in a range of the lowest level, and ranges under a range of the next.
@@ -48,8 +48,8 @@ def archive_index(pages: DataFrame, key: str, target: str, payload: str) -> Data
         F.sha2(F.concat(first, F.lit("\n"), body), 256).alias("digest"),
     )
     rows = stored(rows, "records")
-    bounds = key_bounds(rows, F.col("key"), 1 + rows.count() // KEYS)
-    rows = rows.withColumn("part", range_of(F.col("key"), bounds))
+    order = ["key", "digest"]
+    rows = with_range(rows, order, range_cuts(rows, order, 1 + rows.count() // KEYS))
     sums = rows.groupBy("part").agg(F.sum("length").alias("sum"))
     # As many rows as ranges of the key.
     before = F.sum("sum").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))

@@ -11,7 +11,7 @@ from tests.llm.data import SCHEMA, awkward, prose
 
 def in_order(rows):
     """Descending by id; repeated ids by a digest, which only their texts decide; null ids last."""
-    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or type(r[0])()) if r[0] is not None else (False,), reverse=True)
 
 
 def check(got, rows):
@@ -41,6 +41,89 @@ def test_a_thousand_ranges(table, monkeypatch):
     check(fp.edit_likeness(table(rows, "doc_id long, text string")).collect(), rows)
 
 
+def mix(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) % 2**64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) % 2**64
+    return x ^ (x >> 31)
+
+
+def parse(symbols):
+    """One level, symbol by symbol: runs joined, coins tossed, phrases from local maxima, their names."""
+    joined = []
+    for s in symbols:
+        if joined and joined[-1][0] == s:
+            joined[-1][1] += 1
+        else:
+            joined.append([s, 1])
+    symbols = [s if n == 1 else mix((s + 0x9E3779B97F4A7C15 * n) % 2**64) for s, n in joined]
+
+    def toss(label):
+        """Where a label differs from its left neighbour, and its bit there."""
+        out = [label[0] % 2]
+        for left, own in zip(label, label[1:]):
+            bit = ((left ^ own) & -(left ^ own)).bit_length() - 1
+            out.append(2 * bit + (own >> bit) % 2)
+        return out
+
+    label = toss(toss(toss(symbols)))
+    assert all(a != b for a, b in zip(label, label[1:])) and max(label) < 8
+    phrases = []
+    for i, s in enumerate(symbols):
+        top = 0 < i < len(symbols) - 1 and label[i - 1] < label[i] >= label[i + 1]
+        if i == 0 or top:
+            phrases.append([])
+        phrases[-1].append(s)
+    factors = [mix(k) | 1 for k in range(1, 65)]
+    return [mix(sum((s + 1) * factors[k % 64] for k, s in enumerate(p)) % 2**64) for p in phrases]
+
+
+def brute_names(text, levels=3, lowest=2):
+    symbols, names = [ord(c) for c in text], set()
+    for level in range(1, levels + 1) if symbols else ():
+        symbols = parse(symbols)
+        if level >= lowest:
+            names |= {(s + level) % 2**64 for s in symbols}
+    return names
+
+
+def test_names_by_brute_force(monkeypatch):
+    """The parse of many texts at once against one symbol after the other."""
+    rng = random.Random(11)
+    texts = ["", "a", "ab", "aa", "aba", "x" * 900, "ab" * 300, "\U0001f642\x00é" * 40]
+    texts += ["".join(rng.choice("ab\n é日") for _ in range(rng.randrange(200))) for _ in range(150)]
+    texts += [prose(rng, rng.randrange(300)) for _ in range(60)]
+    rng.shuffle(texts)
+    for chars in (1 << 17, 50):
+        monkeypatch.setattr(fp, "PARSED_CHARS", chars)
+        for text, names, mark in zip(texts, fp.phrase_names(texts), fp.fingerprints(texts), strict=True):
+            expected = brute_names(text)
+            assert set(names.tolist()) == expected, repr(text)
+            assert mark == "".join(f"{h:08x}" for h in sorted({n >> 32 for n in expected})[:32])
+
+
+def test_string_ids(table, monkeypatch):
+    monkeypatch.setattr(fp, "RANGE_BYTES", 3000)
+    rng = random.Random(6)
+    rows = [(f"http://{rng.random()}/é", prose(rng, rng.randrange(60))) for _ in range(120)] + [("", "a"), (None, "null id")]
+    check(fp.edit_likeness(table(rows, "doc_id string, text string")).collect(), rows)
+
+
+def test_one_id_on_most_rows(table, monkeypatch):
+    """A repeated id, or none, is cut into ranges by the texts."""
+    monkeypatch.setattr(fp, "RANGE_BYTES", 2000)
+    rng = random.Random(9)
+    for hot in (5, None):
+        rows = [(hot if i % 3 else i, prose(rng, 20)) for i in range(400)]
+        df = table(rows, "doc_id long, text string").withColumnRenamed("doc_id", "doc_id")
+        keyed = df.selectExpr("doc_id", "xxhash64(text) as tie")
+        cuts = fp.range_cuts(keyed, ["doc_id", "tie"], 30)
+        sizes = [r["count"] for r in fp.with_range(keyed, ["doc_id", "tie"], cuts).groupBy("part").count().collect()]
+        assert max(sizes) < 60
+        got = fp.edit_likeness(df).collect()
+        assert sorted(map(str, (r.doc_id for r in got))) == sorted(str(r[0]) for r in rows)
+        assert sorted(r.fingerprint for r in got) == sorted(fp.fingerprints([t for _, t in rows]))
+
+
 def test_one_document_and_none(table, spark):
     rows = [(7, "only one document of its own")]
     check(fp.edit_likeness(table(rows, "doc_id long, text string")).collect(), rows)

@@ -37,6 +37,20 @@ def test_index_over_ranges_of_keys(table, monkeypatch):
     assert sorted(map(tuple, index(table, rows).collect()), key=lambda r: r[1]) == expected_index(rows)
 
 
+def test_string_keys(table, monkeypatch):
+    monkeypatch.setattr(fixity, "KEYS", 20)
+    rng = random.Random(4)
+    rows = [(None if i % 40 == 7 else f"http://h{rng.randrange(90)}/é", f"u{i}", "x" * rng.randrange(900)) for i in range(200)]
+    df = table(rows, "page_id string, url string, html string")
+    got = fixity.archive_index(df, "page_id", "url", "html").collect()
+    at = 0
+    for r in sorted(got, key=lambda r: r.offset):
+        assert r.offset == at
+        at += r.length
+    order = [(r.key is not None, r.key or "", r.digest) for r in sorted(got, key=lambda r: r.offset)]
+    assert len(got) == len(rows) and order == sorted(order)
+
+
 def test_tree_by_its_definition(table, monkeypatch):
     monkeypatch.setattr(fixity, "RANGE", 4000)
     monkeypatch.setattr(fixity, "FANOUT", 4)
