@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,7 +88,11 @@ def _metric_rows(wide: DataFrame, metrics: list[str], graded: bool = False) -> D
     if graded:
         nothing = [F.lit(None).cast(kinds[f"{p}_{s}_0"]).alias(f"{p}_{s}") for p, s in parts]
         structs.append(F.struct(F.lit(GRADE_METRIC).alias("metric"), *nothing, *rest))
-    rows = wide.select(F.inline(F.array(*structs)))
+    return _tested(wide.select(F.inline(F.array(*structs))), ["grades"] if graded else [])
+
+
+def _tested(rows: DataFrame, others: Sequence[str] = ()) -> DataFrame:
+    """Rows (metric, n_b, n_c, mean_b, mean_c, var_b, var_c, rows_b, rows_c) with effect size and t statistic."""
     n_b, n_c = F.col("n_b"), F.col("n_c")
     var_b, var_c = F.col("var_b"), F.col("var_c")
     change = F.col("mean_c") - F.col("mean_b")
@@ -112,7 +118,7 @@ def _metric_rows(wide: DataFrame, metrics: list[str], graded: bool = False) -> D
         freedom.cast("double").alias("degrees_of_freedom"),
         "rows_b",
         "rows_c",
-        *(["grades"] if graded else []),
+        *others,
     )
 
 
@@ -256,6 +262,19 @@ def regression_report(
     wide = _together(baseline, current, names).agg(
         *_metric_aggregates(metrics), *(_grade_aggregates() if graded else [])
     )
+    return report_of_tests(_metric_rows(wide, metrics, graded), graded, confidence, min_sample, effect, rescale)
+
+
+def report_of_tests(
+    tests: DataFrame,
+    graded: bool,
+    confidence: float = CONFIDENCE,
+    min_sample: int = MIN_SAMPLE,
+    effect: float = LARGE_EFFECT,
+    rescale: bool = False,
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """The report of rows from ``_tested``; with ``graded`` they have the struct ``grades`` of both sides."""
     few = (F.col("rows_b") < min_sample) | (F.col("rows_c") < min_sample)
     reason = F.when(few, TOO_FEW % min_sample)
 
@@ -267,7 +286,7 @@ def regression_report(
             .otherwise("stable")
         )
 
-    judged = _verdicts(_metric_rows(wide, metrics, graded), confidence, effect)
+    judged = _verdicts(tests, confidence, effect)
     values = {
         "baseline_value": F.col("baseline_mean"),
         "current_value": F.col("current_mean"),
@@ -290,7 +309,7 @@ def regression_report(
         }
         is_grades = F.col("metric") == GRADE_METRIC
         values = {k: F.when(is_grades, of_grades[k]).otherwise(v) for k, v in values.items()}
-    return judged.select("metric", *[v.alias(k) for k, v in values.items()], reason.alias("reason"))
+    return judged.select(*by, "metric", *[v.alias(k) for k, v in values.items()], reason.alias("reason"))
 
 
 def run_verdict(report: DataFrame) -> DataFrame:

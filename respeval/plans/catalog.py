@@ -12,7 +12,7 @@ from respeval.functions import sanitize
 from respeval.functions import text as tx
 from respeval.functions.numbers import normalize_value
 from respeval.functions.scores import HEURISTICS, TextFeatures, expected_grade
-from respeval.operators import execute, prompts, quality, rates, regression, reports, running, summaries
+from respeval.operators import baselines, execute, prompts, quality, rates, regression, reports, running, summaries
 from respeval.operators.costs import (
     PRICE_LIST_SCHEMA,
     cost_by_model,
@@ -452,14 +452,14 @@ def quality_report_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summaries of the lines of each day, stored, and merged into one report on all columns.
+    """Summaries of the lines of each month, stored, and merged into one report on all columns.
 
     Median and distinct count are sketches; the report says whether they are within their stated errors,
     by counting once more.
     """
     items = rel.load(spark, sf_dir, "lineitem")
-    daily = summaries.summarize(items.withColumn("day", F.to_date("l_shipdate")), ["day"])
-    stored = write_and_read(daily, "summaries")
+    monthly = summaries.summarize(items.withColumn("month", F.date_trunc("month", "l_shipdate")), ["month"])
+    stored = write_and_read(monthly, "summaries")
     report = write_and_read(summaries.summary_report(summaries.merge_summaries(stored)), "report")
     exact = quality.quality_report_columns(items).select(
         F.col("column").alias("name"), F.col("unique_values").alias("exact")
@@ -566,11 +566,32 @@ def grade_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = regression.regression_report(*_runs(spark, sf_dir))
+    return _report_view(regression.regression_report(*_runs(spark, sf_dir)))
+
+
+def _report_view(report: DataFrame) -> DataFrame:
     numbers = ("baseline_value", "current_value", "change", "effect", "statistic", "p_value")
     return report.select("metric", *[r6(c) for c in numbers], "status", "reason")
 
 
+def statistics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report from kept statistics: those of each model's part of the baseline, merged."""
+    baseline, later = _runs(spark, sf_dir)
+    parts = write_and_read(baselines.run_statistics(baseline, ["model"]), "statistics")
+    whole = baselines.merge_statistics(parts)
+    return _report_view(baselines.compare_statistics(whole, baselines.run_statistics(later)))
+
+
+def baselines_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of the later run against each model's part of the baseline, from kept statistics."""
+    baseline, later = _runs(spark, sf_dir)
+    parts = write_and_read(baselines.run_statistics(baseline, ["model"]), "statistics")
+    report = baselines.compare_statistics(parts, baselines.run_statistics(later), ["model"])
+    report = report.filter(F.col("metric") != regression.GRADE_METRIC)
+    view = _report_view(report.withColumn("metric", F.concat_ws(": ", "model", "metric")))
+    return view.drop("reason")
+
+
 def run_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = regression.run_verdict(regression.regression_report(*_runs(spark, sf_dir)))
     lists = ("regressions", "improvements", "stable_metrics")
@@ -901,6 +922,8 @@ QUERIES = {
     "grade_regression_rescaled": grade_regression_rescaled,
     "grade_distribution": grade_distribution,
     "regression_report": regression_report,
+    "statistics_report": statistics_report,
+    "baselines_report": baselines_report,
     "run_verdict": run_verdict,
     "map_chunks": map_chunks,
     "execute_prompts": execute_prompts,

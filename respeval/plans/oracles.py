@@ -339,17 +339,19 @@ later AS (SELECT *, {_grade("overall_score")} AS grade FROM later_scores)"""
 _METRICS = {"overall_score": "Overall Score"} | {f"score_{d}": d.capitalize() for d in _DIMENSIONS}
 
 
-def _metric_stats(baseline: str, current: str) -> str:
+def _metric_stats(baseline: str, current: str, groups: dict[str, str] | None = None) -> str:
+    """``groups``: what to put before the name of a metric, and the condition on the baseline's rows."""
     parts = [
-        f"""SELECT '{name}' AS metric, b.n AS baseline_n, c.n AS current_n,
+        f"""SELECT '{label}{name}' AS metric, b.n AS baseline_n, c.n AS current_n,
   b.m AS baseline_mean, c.m AS current_mean,
   coalesce((c.m - b.m) / nullif(b.m, 0) * 100, 0e0) AS percent_change,
   CASE WHEN sqrt((b.v + c.v) / 2) > 0 THEN (c.m - b.m) / sqrt((b.v + c.v) / 2) ELSE 0e0 END
     AS cohens_d,
   (b.n + c.n - 2)::DOUBLE AS degrees_of_freedom,
   sqrt(((b.n - 1) * b.v + (c.n - 1) * c.v) / (b.n + c.n - 2) * (1e0 / b.n + 1e0 / c.n)) AS err
-FROM (SELECT count({m}) AS n, avg({m}) AS m, var_samp({m}) AS v FROM {baseline}) AS b,
+FROM (SELECT count({m}) AS n, avg({m}) AS m, var_samp({m}) AS v FROM {baseline} WHERE {which}) AS b,
   (SELECT count({m}) AS n, avg({m}) AS m, var_samp({m}) AS v FROM {current}) AS c"""
+        for label, which in (groups or {"": "true"}).items()
         for m, name in _METRICS.items()
     ]
     return f"""metric_stats AS ({" UNION ALL ".join(parts)}),
@@ -363,7 +365,14 @@ tests AS (
 
 # The two-sided tail of Student's t by Simpson's rule over the density from 0 to |t|.
 _STEPS = 20_000
-_VERDICTS = f"""{_RUNS}, {_metric_stats("baseline", "later")},
+_MODELS = (
+    "gpt-4", "gpt-4-turbo", "gpt-3.5-turbo-0125", "claude-3-sonnet", "Claude-3-OPUS", "claude-3-haiku",
+    "mystery-model",
+)
+
+
+def _verdicts(stats: str) -> str:
+    return f"""{_RUNS}, {stats},
 tails AS (
   SELECT metric,
     greatest(0e0, 1 - 2 * exp(lgamma((any_value(degrees_of_freedom) + 1) / 2)
@@ -388,6 +397,9 @@ verdicts AS (
 )"""
 
 
+_VERDICTS = _verdicts(_metric_stats("baseline", "later"))
+
+
 def _grade_test(baseline: str, current: str, rescale: bool = False) -> str:
     chi2 = " + ".join(
         f"pow((1 + c.g{g}) - (1 + b.g{g}) * f, 2) / ((1 + b.g{g}) * f)" for g in GRADES
@@ -797,6 +809,17 @@ FROM per_run, (VALUES {", ".join(f"('{g}')" for g in GRADES)}) AS g(grade)""",
 SELECT metric, {_rounded("baseline_value", "current_value", "change", "effect", "statistic",
                          "p_value")}, status, reason
 FROM report""",
+    "statistics_report": f"""{REGRESSION_REPORT}
+SELECT metric, {_rounded("baseline_value", "current_value", "change", "effect", "statistic",
+                         "p_value")}, status, reason
+FROM report""",
+    "baselines_report": f"""{_verdicts(_metric_stats(
+        "baseline", "later", {f"{m}: ": f"model = '{m}'" for m in _MODELS}))}
+SELECT metric, {", ".join(f"round({c}, 6) AS {name}" for c, name in (
+    ("baseline_mean", "baseline_value"), ("current_mean", "current_value"), ("percent_change", "change"),
+    ("cohens_d", "effect"), ("t_statistic", "statistic"), ("p_value", "p_value")))},
+  CASE WHEN is_regression THEN 'regression' WHEN is_improvement THEN 'improvement' ELSE 'stable' END AS status
+FROM verdicts""",
     "run_verdict": f"""{REGRESSION_REPORT}
 SELECT bool_or(status = 'regression') AS has_regression, max(reason) AS reason,
   coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (WHERE status = 'regression'), '')

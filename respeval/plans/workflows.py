@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-from respeval.operators import reports
+from respeval.operators import baselines, reports
 from respeval.operators.costs import cost_by_model, cost_summary, row_cost
 from respeval.operators.execute import (
     error_stats,
@@ -105,3 +105,21 @@ def check_run(
     if update_baseline:
         save_as_baseline(current, baseline_path)
     return report, run_verdict(report)
+
+
+def check_against_baselines(spark: SparkSession, current: DataFrame, path: str, keep_as: str | None = None) -> DataFrame:
+    """Regression report of a run against every baseline whose statistics are kept under ``path``.
+
+    The run is read once, the baselines' rows not at all. ``keep_as`` keeps the run's statistics as one more baseline, after
+    the report is made.
+    """
+    own = baselines.run_statistics(current)
+    own = spark.createDataFrame(own.collect(), baselines.STATISTICS_SCHEMA)  # a row per metric
+    kept = baselines.load_statistics(spark, path)
+    if kept is None:
+        kept = spark.createDataFrame([], f"baseline string, {baselines.STATISTICS_SCHEMA}")
+    report = baselines.compare_statistics(kept, own, ["baseline"])
+    report = spark.createDataFrame(report.collect(), report.schema)  # a row per baseline and metric
+    if keep_as is not None:
+        own.coalesce(1).write.mode("overwrite").parquet(f"{path}/baseline={keep_as}")
+    return report
