@@ -29,6 +29,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,22 +51,35 @@ FREQUENT_WORDS = 400_000
 FREQUENT_SCORES = 2_000_000
 # Names of languages are kept on the driver.
 MOST_LANGUAGES = 10_000
-# Distinct entries that a task counts before it passes them on.
+# Distinct words that a task counts, and words whose n-grams it counts, before it passes them on.
 COUNTED_AT_ONCE = 400_000
+WORDS_AT_ONCE = 200_000
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]{0,%d}" % (LONGEST_WORD - 1))
+_MARK = regex.compile(r"\p{M}")
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+class _Letters(dict):
+    """What a character is replaced by so that words stand between spaces; filled when first asked."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code if regex.match(r"\p{L}", chr(code)) else 32
+        return self[code]
+
 
+_LETTERS = _Letters()
 
-def grams_of(word: str, n: int) -> list[str]:
-    """The n-grams of a word between two spaces; a space alone is none."""
-    if n == 1:
-        return list(word)
-    whole = f" {word} "
-    return [whole[i : i + n] for i in range(len(whole) - n + 1)]
+
+def words_of(text: str | None) -> list[str]:
+    if not text:
+        return []
+    lower = text.lower()
+    if lower.isascii() or not _MARK.search(lower):
+        # The same and faster, but for words to be cut.
+        found = lower.translate(_LETTERS).split()
+        if max(map(len, found), default=0) <= LONGEST_WORD:
+            return found
+    return _WORD.findall(lower)
 
 
 @dataclass(frozen=True)
@@ -162,21 +176,66 @@ def _pairs(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray,
     return lengths, flat.field("lang").to_numpy(), flat.field("n").to_numpy()
 
 
+def _grams(n: int, whole: str, codes: np.ndarray, n_codes: int) -> tuple[np.ndarray, ...]:
+    """Places, words and keys of the n-grams of words that stand between spaces; a space alone is none."""
+    size = len(whole) - n + 1
+    if size < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    space = codes == 0
+    ok = ~space[:size] if n == 1 else np.ones(size, bool)
+    for i in range(1, n - 1):
+        ok &= ~space[i : i + size]
+    place = np.flatnonzero(ok)
+    key = codes[place]
+    for i in range(1, n):
+        if n_codes * (int(key.max(initial=0)) + 1) >= 1 << 62:
+            key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        key = key * n_codes + codes[place + i]
+    return place, np.cumsum(space)[place] - 1, key
+
+
+def _count_grams_of(words: list[str], lengths: np.ndarray, langs: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts per n-gram and language of words with (language, n) pairs."""
+    whole = f" {' '.join(words)} "
+    points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    chars, codes = np.unique(points, return_inverse=True)
+    at = int(np.searchsorted(chars, 32))  # words have no character below a space, so it is the first
+    codes = (codes - at).astype(np.int64)
+    first = np.cumsum(lengths) - lengths
+    n_langs = int(langs.max(initial=0)) + 1
+    for n in range(1, LONGEST_GRAM + 1):
+        place, word, key = _grams(n, whole, codes, len(chars))
+        _, example, which = np.unique(key, return_index=True, return_inverse=True)
+        size = lengths[word]
+        pair = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first[word], size)
+        cell, where = np.unique(np.repeat(which, size) * n_langs + langs[pair], return_inverse=True)
+        total = np.bincount(where, counts[pair], len(cell)).astype(np.int64)  # exact below 2^53
+        starts = place[example].tolist()
+        names = pa.array([whole[i : i + n] for i in starts], pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [names.take(pa.array(cell // n_langs)), pa.array((cell % n_langs).astype(np.int32)), pa.array(total)],
+            names=["gram", "lang", "n"],
+        )
+
+
 def _count_grams(words: DataFrame) -> DataFrame:
     """gram and counts, from the learned words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters: dict[int, Counter] = {}
+        waiting: list[pa.RecordBatch] = []
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            if sum(b.num_rows for b in waiting):
+                table = pa.Table.from_batches(waiting).combine_chunks()
+                pairs = _pairs(table.column("counts").combine_chunks())
+                yield from _count_grams_of(table.column("word").to_pylist(), *pairs)
+            waiting.clear()
+
         for batch in batches:
-            for word, counts in zip(batch.column("word").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                grams = [g for n in range(1, LONGEST_GRAM + 1) for g in grams_of(word, n)]
-                for c in counts:
-                    found, k = counters.setdefault(c["lang"], Counter()), c["n"]
-                    for g in grams:
-                        found[g] += k
-                if sum(map(len, counters.values())) > COUNTED_AT_ONCE:
-                    yield from _emit(counters, "gram")
-        yield from _emit(counters, "gram")
+            waiting.append(batch)
+            if sum(b.num_rows for b in waiting) >= WORDS_AT_ONCE:
+                yield from counted()
+        yield from counted()
 
     learned = words.filter(F.size("counts") > 0).select("word", "counts")
     return _sums(learned.mapInArrow(run, "gram string, lang int, n long"), "gram")
@@ -302,23 +361,20 @@ def _partial_sums(rows: DataFrame, shared, n_languages: int) -> DataFrame:
         row = TaskContext.get().partitionId() << 33
         for block in blocks(batches):
             n = block.num_rows
-            number, words, times, hits, of = [], [], [], [], []
-            for i, text in enumerate(block.column("text").to_pylist()):
-                found = words_of(text)
-                number.append(len(found))
-                at = [index.get(w, -1) for w in found]
-                here = np.array(at, np.int64)
-                hits.append(here[here >= 0])
-                of.append(np.full(len(hits[-1]), i))
-                rare = Counter(w for w, k in zip(found, at, strict=True) if k < 0) if len(hits[-1]) < len(at) else {}
-                words.append(list(rare.keys()))
-                times.append(list(rare.values()))
-            hit, doc = np.concatenate(hits), np.concatenate(of)
+            found = [words_of(text) for text in block.column("text").to_pylist()]
+            number = np.array([len(f) for f in found], np.int64)
+            doc = np.repeat(np.arange(n), number)
+            flat = list(chain.from_iterable(found))
+            hit = np.fromiter((index.get(w, -1) for w in flat), np.int64, len(flat))
+            rare: list[Counter] = [Counter() for _ in range(n)]
+            for i in np.flatnonzero(hit < 0).tolist():
+                rare[doc[i]][flat[i]] += 1
+            words, times = [list(r) for r in rare], [list(r.values()) for r in rare]
+            hit, doc = hit[hit >= 0], doc[hit >= 0]
             size = ends[hit + 1] - ends[hit]
             first = np.repeat(ends[hit] - (np.cumsum(size) - size), size) + np.arange(size.sum())
             cell = np.repeat(doc, size) * n_languages + langs[first]
-            total = np.zeros(n * n_languages, np.int64)
-            np.add.at(total, cell, values[first])
+            total = np.bincount(cell, values[first], n * n_languages).astype(np.int64)  # exact below 2^53
             full = np.flatnonzero(total)
             cuts = np.searchsorted(full, np.arange(n + 1) * n_languages).astype(np.int32)
             yield pa.RecordBatch.from_arrays(

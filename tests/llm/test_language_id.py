@@ -106,12 +106,45 @@ def test_brute_force(table, monkeypatch, frequent):
     """The same with all, few or no words broadcast."""
     monkeypatch.setattr(language_id, "FREQUENT_WORDS", frequent)
     monkeypatch.setattr(language_id, "COUNTED_AT_ONCE", 100)
+    monkeypatch.setattr(language_id, "WORDS_AT_ONCE", 50)
     rows = made_up(random.Random(4), 160)
     rows += [(900, "Ω日本 ж", "aa"), (901, "Ω zzzz qqqqq", None), (902, "1234 .,! ²", "bb"), (902, rows[5][1], None)]
     got = language_id.identify(table(rows, "doc_id long, text string, lang string")).collect()
     same(got, brute_force(rows))
 
 
+def test_words():
+    """Words as the rule has them, whichever way they are found."""
+    rng = random.Random(7)
+    alphabet = "aBcé\u0301\u0930\u093f\u4e2d1²Ⅷ_ -'\n\x1c\u00a0ſİ"
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(30)))
+        assert language_id.words_of(text) == words(text), repr(text)
+    for text in ("x" * 100, "x" * 40 + " y", "é" * 81, "e\u0301" * 30):
+        assert language_id.words_of(text) == words(text)
+
+
+def test_many_letters():
+    """N-grams of so many letters that five of them do not fit a number."""
+    rng = random.Random(1)
+    some = sorted({"".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(rng.randrange(1, 8))) for _ in range(4000)})
+    counts = [{0: rng.randrange(1, 9), 3: 2} if i % 2 else {1: 5} for i in range(len(some))]
+    expected = Counter()
+    for w, c in zip(some, counts, strict=True):
+        for n in range(1, 6):
+            whole = w if n == 1 else f" {w} "
+            for i in range(len(whole) - n + 1):
+                for g, k in c.items():
+                    expected[whole[i : i + n], g] += k
+    lengths = np.array([len(c) for c in counts])
+    langs, values = (np.array([x[i] for c in counts for x in c.items()]) for i in (0, 1))
+    got = Counter()
+    for batch in language_id._count_grams_of(some, lengths, langs, values):
+        for r in batch.to_pylist():
+            got[r["gram"], r["lang"]] += r["n"]
+    assert got == expected
+
+
 def test_held_out_documents(spark):
     """Documents of languages that the operator learned are told apart, held out or not."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
