@@ -25,6 +25,7 @@ gives an empty table.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from respeval.llm.common import id_and_text, stored
@@ -40,9 +41,83 @@ LONG = 10
 
 
 def _tokens(line: Column) -> Column:
-    # Most lines have no digit, which is found out faster than by the replacement.
+    # Most lines have no digits and single spaces, which is found out faster than a pattern splits.
     masked = F.regexp_replace(line, r"[^ \t]*[0-9][^ \t]*", "*")
-    return F.split(F.when(line.rlike("[0-9]"), masked).otherwise(line), r"[ \t]+")
+    wide = line.contains("\t") | line.contains("  ")
+    return (
+        F.when(line.rlike("[0-9]"), F.split(masked, r"[ \t]+"))
+        .when(wide, F.split(line, r"[ \t]+"))
+        .otherwise(F.split(line, " "))
+    )
+
+
+def _texts_of(each: DataFrame, enough: list[int]) -> DataFrame:
+    """name and texts, for names in as many different texts as the least number of ``enough``.
+
+    ``texts`` is exact or at least where it falls between the numbers. Smallest and largest text, and a set of 64 bits,
+    settle nearly all names in one aggregate; names that these leave open are counted.
+    """
+    low = min(enough)
+    bit = F.expr("shiftleft(1L, cast(pmod(text_key, 64) as int))")
+    stats = each.groupBy("name").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_or(bit).alias("bits"), (F.min("text_key") != F.max("text_key")).alias("two")
+    )
+    stats = stats.filter((F.col("n") >= low) & (F.col("two") | F.lit(low < 2)))
+    least = F.greatest(F.bit_count("bits"), F.when(F.col("two"), 2).otherwise(1))
+    # Open is what could still reach a number that it is not known to reach.
+    is_open = F.lit(False)
+    for number in enough:
+        is_open |= (least < number) & (F.col("n") >= number)
+    stats = stored(stats.select("name", least.cast("long").alias("least"), is_open.alias("open")), "seen")
+    counted = each.join(broadcast_if_small(stats.filter("open").select("name")), "name", "left_semi")
+    counted = counted.groupBy("name", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.groupBy("name").agg(F.count(F.lit(1)).alias("texts"))
+    sure = stats.filter(~F.col("open")).select("name", F.col("least").alias("texts"))
+    return sure.unionByName(counted).filter(F.col("texts") >= low)
+
+
+def _templates(each: DataFrame, kinds: list[tuple[int, int, int]]) -> DataFrame:
+    """text_key, line, and the template with the texts that it needs, for the lines of ``each`` that have one.
+
+    ``each`` has the constant tokens (leaf, text_key, line, n, place, token, texts). What is not constant is variable, so
+    the constants and their places make a template. A kind is its number, texts and constants needed.
+    """
+    part = F.struct("place", "token")
+    whole = each.groupBy("leaf", "text_key", "line", "n").agg(
+        *[
+            F.array_sort(F.collect_list(F.when(F.col("texts") >= texts, part))).alias(f"template_{i}")
+            for i, texts, _ in kinds
+        ]
+    )
+    found = []
+    for i, texts, least in kinds:
+        constants = F.size(f"template_{i}")
+        fits = (2 * constants >= F.col("n")) & (constants >= least) & (constants > 0)
+        name = F.xxhash64("leaf", f"template_{i}", F.lit(i))
+        found.append(F.when(fits, F.struct(name.alias("template"), F.lit(texts).alias("enough"))))
+    return whole.select("text_key", "line", F.inline(F.array_compact(F.array(*found))))
+
+
+def _each(held: DataFrame) -> DataFrame:
+    each = held.select("leaf", "text_key", "line", "n", F.posexplode("tokens").alias("place", "token"))
+    return each.filter(F.col("token") != "*")
+
+
+def _of_small_leaves(held: DataFrame, low: int) -> DataFrame:
+    """Templates of lines in leaves that fewer texts reach than any template needs.
+
+    Such a leaf holds lines of a few texts only, so it is dealt out whole, line by line, and all the rest is
+    done where it lies.
+    """
+    each = _each(held.repartition("leaf"))
+    token = W.partitionBy("leaf", "place", "token")
+    if low <= 2:
+        several = F.min("text_key").over(token) != F.max("text_key").over(token)
+        each = each.withColumn("texts", F.when(several, 2).otherwise(1))
+    else:
+        first = F.dense_rank().over(token.orderBy("text_key"))
+        each = each.withColumn("rank", first).withColumn("texts", F.max("rank").over(token))
+    return _templates(each.filter(F.col("texts") >= low), [(1, low, LONG)])
 
 
 def template_lines(
@@ -53,41 +128,24 @@ def template_lines(
     ``rows`` has text_key and text; copies of a text may occur.
     """
     low = min_texts if few_texts is None else min(few_texts, min_texts)
+    kinds = [(0, min_texts, 0)] + ([(1, low, LONG)] if low < min_texts else [])
     lines = rows.select("text_key", F.posexplode(F.split("text", "\n")).alias("line", "value"))
-    lines = lines.filter(F.trim(F.translate("value", "\t", " ")) != "")
+    lines = lines.filter(F.trim("value", F.lit(" \t")) != "")
     lines = lines.select("text_key", "line", _tokens(F.col("value")).alias("tokens"))
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
-    lines = lines.withColumn("leaf", leaf)
-    leaves = lines.select("leaf", "text_key", (F.size("tokens") >= LONG).alias("long"))
+    lines = lines.select("*", F.size("tokens").alias("n"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"))
+    leaves = lines.select("leaf", "text_key", (F.col("n") >= LONG).alias("long"))
     leaves = leaves.groupBy("leaf", "text_key", "long").agg(F.count(F.lit(1)).alias("n"))
     leaves = leaves.groupBy("leaf", "long").agg(F.count(F.lit(1)).alias("texts"))
     leaves = leaves.filter((F.col("texts") >= min_texts) | (F.col("long") & (F.col("texts") >= low)))
-    held = lines.join(broadcast_if_small(leaves.select("leaf")), "leaf", "left_semi")
-    held = stored(held.dropDuplicates(["text_key", "line"]), "lines")
-
-    each = held.select("leaf", "text_key", "line", F.posexplode("tokens").alias("place", "token"))
-    seen = each.groupBy("leaf", "place", "token", "text_key").agg(F.count(F.lit(1)).alias("n"))
-    seen = seen.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("texts"))
-    constant = broadcast_if_small(seen.filter((F.col("texts") >= low) & (F.col("token") != "*")))
-    each = each.join(constant, ["leaf", "place", "token"], "left")
-    # For either number of texts: what is constant, the template, and whether it has enough constants.
-    kinds = [(min_texts, 0)] + ([(low, LONG)] if low < min_texts else [])
-
-    def part(texts: int) -> Column:
-        return F.struct("place", F.when(F.col("texts") >= texts, F.col("token")).otherwise("*").alias("token"))
-
-    whole = each.groupBy("leaf", "text_key", "line").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.array_sort(F.collect_list(part(t))).alias(f"template_{i}") for i, (t, _) in enumerate(kinds)],
-        *[F.count_if(F.col("texts") >= t).alias(f"constants_{i}") for i, (t, _) in enumerate(kinds)],
-    )
-    found = []
-    for i, (texts, least) in enumerate(kinds):
-        constants = F.col(f"constants_{i}")
-        fits = (2 * constants >= F.col("n")) & (constants >= least)
-        name = F.xxhash64("leaf", f"template_{i}", F.lit(i))
-        found.append(F.when(fits, F.struct(name.alias("template"), F.lit(texts).alias("enough"))))
-    whole = whole.select("text_key", "line", F.inline(F.array_compact(F.array(*found))))
+    leaves = broadcast_if_small(leaves.select("leaf", (F.col("texts") >= min_texts).alias("large")))
+    held = lines.join(leaves, "leaf").dropDuplicates(["text_key", "line"])
+    held = stored(held.select("large", "leaf", "text_key", "line", "n", "tokens"), "lines")
+
+    each = _each(held.filter("large")).withColumn("name", F.xxhash64("leaf", "place", "token"))
+    constant = _texts_of(each.select("name", "text_key"), [texts for _, texts, _ in kinds])
+    whole = _templates(each.join(broadcast_if_small(constant), "name"), kinds)
+    if low < min_texts:
+        whole = whole.unionByName(_of_small_leaves(held.filter("not large"), low))
     whole = stored(whole, "templates")
     common = whole.groupBy("template", "enough", "text_key").agg(F.count(F.lit(1)).alias("n"))
     common = common.groupBy("template", "enough").agg(F.count(F.lit(1)).alias("texts"))

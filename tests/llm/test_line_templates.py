@@ -77,6 +77,15 @@ def test_brute_force(table):
         assert clean[i] == "\n".join(kept)
 
 
+def test_three_texts_for_long_lines(table):
+    """Another number of texts for long lines, and lines of one leaf with and without enough of them."""
+    texts = documents(random.Random(5))
+    five, three = one_number(texts, 5, 0), one_number(texts, 3, 10)
+    docs = table(list(enumerate(texts)), "doc_id long, text string")
+    for r in line_templates.dropped_lines(docs, few_texts=3).collect():
+        assert r.dropped == sorted({*five[texts[r.doc_id]], *three[texts[r.doc_id]]})
+
+
 def test_long_lines_of_a_few_texts(table):
     rng = random.Random(9)
     passage, shorter, short = prose(rng, 60), prose(rng, 10), prose(rng, 6)
