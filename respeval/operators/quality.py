@@ -202,16 +202,22 @@ def _has_timestamp(kind: T.DataType) -> bool:
     return isinstance(kind, (T.TimestampType, T.TimestampNTZType))
 
 
-def _drop_duplicate_rows(df: DataFrame) -> DataFrame:
+def row_digest(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """SHA-256 of a row's values, the same for equal rows and for no others."""
+
     def plain(f: T.StructField) -> Column:
         # Negative zero equals zero, as in grouping.
         is_float = isinstance(f.dataType, (T.FloatType, T.DoubleType))
         return (F.col(f.name) + F.lit(0.0) if is_float else _exact(F.col(f.name), f.dataType)).alias(f.name)
 
+    fields = [df.schema[c] for c in (df.columns if columns is None else columns)]
+    return F.sha2(F.to_json(F.struct(*[plain(f) for f in fields])), 256)
+
+
+def _drop_duplicate_rows(df: DataFrame) -> DataFrame:
     if not df.columns:
         return df
-    digest = F.sha2(F.to_json(F.struct(*[plain(f) for f in df.schema.fields])), 256)
-    marked = df.withColumn("__digest", digest)
+    marked = df.withColumn("__digest", row_digest(df))
     repeated = marked.groupBy("__digest").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
     repeated = broadcast_if_small(repeated.select("__digest"))
     single = marked.join(repeated, "__digest", "left_anti")
@@ -219,20 +225,17 @@ def _drop_duplicate_rows(df: DataFrame) -> DataFrame:
     return single.unionByName(again).drop("__digest")
 
 
-def clean_results(df: DataFrame) -> DataFrame:
-    """Trim strings, drop duplicate rows, clip scores, repair grades, in this order.
-
-    Clipping and repair come after the duplicates are dropped, so rows that differ only in an
-    out-of-range score or a bad grade both stay. Only digests are shuffled, and the rows whose digest
-    occurs more than once; these digests are counted and stored when this is called.
-    """
-    trimmed = df.select(
+def trimmed_strings(df: DataFrame) -> DataFrame:
+    return df.select(
         *[
             strip(df[f.name]).alias(f.name) if _is_string(f.dataType) else df[f.name]
             for f in df.schema.fields
         ]
     )
-    trimmed = _drop_duplicate_rows(trimmed)
+
+
+def repaired_scores(df: DataFrame) -> DataFrame:
+    """Scores clipped to their range, and grades that are not allowed replaced by the lowest."""
 
     def repaired(f: T.StructField) -> Column:
         c = F.col(f.name)
@@ -247,7 +250,17 @@ def clean_results(df: DataFrame) -> DataFrame:
             return F.when(known, clipped.cast(f.dataType)).otherwise(c).alias(f.name)
         return c
 
-    return trimmed.select(*[repaired(f) for f in df.schema.fields])
+    return df.select(*[repaired(f) for f in df.schema.fields])
+
+
+def clean_results(df: DataFrame) -> DataFrame:
+    """Trim strings, drop duplicate rows, clip scores, repair grades, in this order.
+
+    Clipping and repair come after the duplicates are dropped, so rows that differ only in an
+    out-of-range score or a bad grade both stay. Only digests are shuffled, and the rows whose digest
+    occurs more than once; these digests are counted and stored when this is called.
+    """
+    return repaired_scores(_drop_duplicate_rows(trimmed_strings(df)))
 
 
 def quality_report_table(df: DataFrame) -> DataFrame:

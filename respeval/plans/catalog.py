@@ -37,7 +37,7 @@ from respeval.plans import workflows
 from respeval.sources import prompts as prompt_files
 from respeval.sources import results as io
 from respeval.sources.storage import work_path, write_and_read
-from respeval.streaming import answers, budget, streams
+from respeval.streaming import answers, budget, streams, trailing
 
 BUDGET = 50.0
 CALLS_PER_MINUTE = 60
@@ -827,6 +827,52 @@ def stream_request_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_trailing_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact rate at every instant of the minutes that the stream has closed."""
+    events = rel.load_stream(spark, sf_dir, "events")
+    rate = trailing.trailing_minute_stream(events, "ts", ["event_type"], CALLS_PER_MINUTE)
+    stored = _persist(spark, rate, "stream-trailing")
+    return stored.select(
+        "event_type",
+        F.col("ts").cast("timestamp_ntz").alias("ts"),
+        "requests",
+        "calls_last_minute",
+        r6("utilization_percent"),
+    )
+
+
+def _arrivals(spark: SparkSession, path: str, table: DataFrame) -> DataFrame:
+    """The rows as a stream in three batches, with the time at which each arrived."""
+    timed = table.withColumn("at", F.timestamp_seconds(F.col("doc_id")))
+    for i in range(3):
+        timed.filter(F.pmod(F.col("doc_id"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results that arrive in three batches, copies among them in any, cleaned as they come."""
+    docs = rel.load(spark, sf_dir, "documents")
+    results = rel.derive(docs, rel.DIRTY_SCORES | {"doc_id": "doc_id"})
+    arrived = _arrivals(spark, work_path(spark, "stream-clean"), results)
+    cleaned = streams.clean_stream(arrived, "at", "1000 days", ignore=["at", "doc_id"])
+    return _persist(spark, cleaned, "stream-cleaned").select(
+        "prompt_id",
+        "response",
+        *[r6(c) for c in ("overall_score", "score_accuracy", "score_tone")],
+        "grade",
+    )
+
+
+def stream_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that recur in a stream of raw results, with their last counts."""
+    arrived = _arrivals(spark, work_path(spark, "stream-ids"), _raw_results(spark, sf_dir).select("doc_id", "prompt_id"))
+    repeated = streams.repeated_id_stream(arrived, "at", "prompt_id", "3650 days")
+    path = work_path(spark, "stream-repeated")
+    streams.run_updates(repeated, f"{path}/out", f"{path}/checkpoint")
+    stored = streams.read_persisted(spark, f"{path}/out", repeated)
+    return stored.groupBy("prompt_id").agg(F.max("n").alias("n"))
+
+
 def stream_usage_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     usage = price_requests(rel.derive(rel.load_stream(spark, sf_dir, "events"), rel.USAGE))
     totals = streams.usage_stream(usage)
@@ -941,6 +987,9 @@ QUERIES = {
     "stream_score": stream_score,
     "stream_persist": stream_persist,
     "stream_request_rate": stream_request_rate,
+    "stream_trailing_minute": stream_trailing_minute,
+    "stream_clean": stream_clean,
+    "stream_repeated_ids": stream_repeated_ids,
     "stream_usage_by_model": stream_usage_by_model,
     "stream_budget_alerts": stream_budget_alerts,
 }

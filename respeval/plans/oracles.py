@@ -533,6 +533,31 @@ STORED_SCORES = """
     (seq % 6)::DOUBLE / 5 * 5 AS reasoning,
     (seq % 3)::DOUBLE + 1 AS tone"""
 
+REQUEST_RATE = f"""WITH calls AS (
+  SELECT event_type, ts, count(*) OVER (
+      PARTITION BY event_type ORDER BY epoch_us(ts)
+      RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS calls_last_minute
+  FROM events
+)
+SELECT event_type, ts, count(*) AS requests, any_value(calls_last_minute) AS calls_last_minute,
+  round(any_value(calls_last_minute) / {catalog.CALLS_PER_MINUTE}e0 * 100, 6)
+    AS utilization_percent
+FROM calls GROUP BY event_type, ts"""
+
+CLEANED = f"""{_DIRTY},
+trimmed AS (
+  SELECT DISTINCT trim(prompt_id) AS prompt_id,
+    regexp_replace(regexp_replace(response, '^{_SPACES}', ''), '{_SPACES}$', '') AS response,
+    overall_score, score_accuracy, score_tone, score_flat, trim(grade) AS grade
+  FROM t
+)
+SELECT prompt_id, response,
+  {", ".join(
+      f"round(CASE WHEN {c} IS NOT NULL THEN greatest(0e0, least(5e0, {c})) END, 6) AS {c}"
+      for c in ("overall_score", "score_accuracy", "score_tone"))},
+  CASE WHEN upper(grade) IN ('A', 'B', 'C', 'D', 'F') THEN upper(grade) ELSE 'F' END AS grade
+FROM trimmed"""
+
 EXECUTED = """SELECT doc_id::VARCHAR AS prompt_id, length(text) AS prompt_chars,
   CASE WHEN contains(lower(text), 'license') THEN '' ELSE length(text) || ' characters' END
     AS response,
@@ -632,16 +657,7 @@ FROM running""",
     "cumulative_cost_overall": f"""{_running("")}
 SELECT event_id, round(cumulative_cost, 8) AS cumulative_cost, cumulative_tokens FROM running""",
     "budget_alerts": _budget_alerts("cost"),
-    "request_rate": f"""WITH calls AS (
-  SELECT event_type, ts, count(*) OVER (
-      PARTITION BY event_type ORDER BY epoch_us(ts)
-      RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS calls_last_minute
-  FROM events
-)
-SELECT event_type, ts, count(*) AS requests, any_value(calls_last_minute) AS calls_last_minute,
-  round(any_value(calls_last_minute) / {catalog.CALLS_PER_MINUTE}e0 * 100, 6)
-    AS utilization_percent
-FROM calls GROUP BY event_type, ts""",
+    "request_rate": REQUEST_RATE,
     "request_rate_per_request": f"""SELECT event_id, calls_last_minute,
   round(calls_last_minute / {catalog.CALLS_PER_MINUTE}e0 * 100, 6) AS utilization_percent
 FROM (SELECT event_id, count(*) OVER (
@@ -747,19 +763,8 @@ FROM t WHERE grade IS DISTINCT FROM {_grade("overall_score")}""",
     "duplicate_ids": f"""{_RAW}
 SELECT doc_id, prompt_id FROM (SELECT *, count(*) OVER (PARTITION BY prompt_id) AS n FROM t)
 WHERE n > 1""",
-    "clean_results": f"""{_DIRTY},
-trimmed AS (
-  SELECT DISTINCT trim(prompt_id) AS prompt_id,
-    regexp_replace(regexp_replace(response, '^{_SPACES}', ''), '{_SPACES}$', '') AS response,
-    overall_score, score_accuracy, score_tone, score_flat, trim(grade) AS grade
-  FROM t
-)
-SELECT prompt_id, response,
-  {", ".join(
-      f"round(CASE WHEN {c} IS NOT NULL THEN greatest(0e0, least(5e0, {c})) END, 6) AS {c}"
-      for c in ("overall_score", "score_accuracy", "score_tone"))},
-  CASE WHEN upper(grade) IN ('A', 'B', 'C', 'D', 'F') THEN upper(grade) ELSE 'F' END AS grade
-FROM trimmed""",
+    "clean_results": CLEANED,
+    "stream_clean": CLEANED,
     "quality_report_table": """SELECT count(*) AS total_rows, 5::BIGINT AS total_columns,
   count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM documents)) AS duplicate_rows
 FROM documents""",
@@ -879,6 +884,11 @@ SELECT event_type, window_start, count(*) AS calls,
   round(count(*) / {catalog.CALLS_PER_MINUTE}e0 * 100, 6) AS utilization_percent
 FROM placed, last WHERE window_start + INTERVAL 1 MINUTE <= mark
 GROUP BY event_type, window_start""",
+    "stream_trailing_minute": f"""WITH rate AS ({REQUEST_RATE})
+SELECT * FROM rate
+WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 2 MINUTE FROM events)""",
+    "stream_repeated_ids": f"""SELECT prompt_id, count(*) AS n
+FROM ({_select(rel.RAW_RESULTS, "documents")}) GROUP BY prompt_id HAVING count(*) > 1""",
     "stream_usage_by_model": f"""{WITH_USAGE}
 SELECT model, count(*) AS requests, sum(input_tokens + output_tokens)::BIGINT AS total_tokens,
   round(sum(cost6), 6) AS cost

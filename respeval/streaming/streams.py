@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from respeval.functions.numbers import round_binary
+from respeval.operators.quality import repaired_scores, row_digest, trimmed_strings
 from respeval.operators.scoring import Rubric, score_responses
 
 Sink = Callable[[DataFrame, int], None]
@@ -90,6 +91,54 @@ def rate_stream(
     )
 
 
+def clean_stream(
+    results: DataFrame, time: str, late: str = "1 day", ignore: Sequence[str] | None = None
+) -> DataFrame:
+    """``clean_results`` of a stream: copies that arrive within ``late`` of the first are dropped, in any batch.
+
+    State holds one digest per row of that time, spread by digest, and no row. ``time`` is when a row arrived:
+    it and what else is in ``ignore`` (by default only ``time``) does not tell rows apart, and the first row's stays.
+    """
+    left_out = set([time] if ignore is None else ignore)
+    rows = trimmed_strings(results)
+    digest = row_digest(rows, [c for c in rows.columns if c not in left_out])
+    # The watermark is on a column of its own, so that a time given as text is cleaned like any other.
+    marked = rows.withColumns({"__digest": digest, "__ts": F.col(time).cast("timestamp")})
+    first = marked.withWatermark("__ts", late).dropDuplicatesWithinWatermark(["__digest"])
+    return repaired_scores(first.drop("__digest", "__ts"))
+
+
+def repeated_id_stream(
+    results: DataFrame, time: str, key: str = "prompt_id", period: str = "1 day", late: str = "1 hour"
+) -> DataFrame:
+    """Ids that occur more than once in a period, with their count so far, for update mode.
+
+    State holds one row per id of the periods that are not closed yet, combined before it is reached.
+    """
+    window = F.window("__ts", period)
+    return (
+        results.withColumn("__ts", F.col(time).cast("timestamp"))
+        .withWatermark("__ts", late)
+        .groupBy(window, F.col(key))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter("n > 1")
+        .select(key, F.col("window.start").alias("period_start"), "n")
+    )
+
+
+def run_updates(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Run an aggregated stream in update mode; each batch stores the rows that it changed."""
+    query = (
+        updates.writeStream.outputMode("update")
+        .foreachBatch(persist_batches(path))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return query
+
+
 def usage_stream(usage: DataFrame) -> DataFrame:
     """Totals per model so far, for update or complete mode; the state is one row per model."""
     return usage.groupBy("model").agg(

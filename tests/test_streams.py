@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from respeval.operators import running
 from respeval.operators.costs import cost_by_model, price_requests
+from respeval.operators.quality import clean_results, duplicated_keys
+from respeval.operators.rates import request_rate
 from respeval.operators.running import budget_alerts
 from respeval.operators.scoring import score_responses
 from respeval.sources.results import save_responses, stream_results
-from respeval.streaming import budget, streams
+from respeval.streaming import budget, streams, trailing
 from tests.test_text import random_texts
 
 USAGE = "run string, seq long, ts timestamp, model string, input_tokens long, output_tokens long"
@@ -207,3 +209,74 @@ def test_closed_windows_equal_counts(spark, usage, tmp_path):
             if start + minute <= mark:
                 expected[(r.run, start)] = expected.get((r.run, start), 0) + 1
     assert got == expected
+
+
+@pytest.mark.parametrize(("files", "span"), [(1, 60), (5, 60), (4, 1), (5, 7)])
+def test_trailing_minutes_equal_the_table(spark, table, tmp_path, monkeypatch, files, span):
+    """Exact rates of all instants of closed minutes; requests of one instant, null keys and times, late rows."""
+    monkeypatch.setattr(trailing, "SPAN", span)
+    rng = random.Random(21)
+    rows, at = [], START
+    for i in range(900):
+        at += datetime.timedelta(microseconds=rng.choice([0, 1, 250_000, 999_999, 3_000_000, 20_000_000]))
+        shown = at - datetime.timedelta(seconds=rng.choice([0, 0, 0, 50]))  # up to 50 seconds late
+        rows.append((rng.choice(["hot", "hot", "b", None]), i, None if i % 97 == 0 else shown))
+    df = table(rows, "run string, seq long, ts timestamp")
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_files(df, path, "seq", files)
+    stream = read_stream(spark, df, path, maxFilesPerTrigger=1)
+    rate = trailing.trailing_minute_stream(stream, "ts", ["run"], 30, "60 seconds")
+    streams.run_available(rate, streams.persist_batches(out), str(tmp_path / "ck"))
+    got = streams.read_persisted(spark, out, rate)
+    mark = max(r[2] for r in rows if r[2]) - datetime.timedelta(minutes=1)
+    closed = F.date_trunc("minute", "ts") + F.expr("INTERVAL 1 MINUTE") <= F.lit(mark)
+    expected = request_rate(df, "ts", ["run"], 30).filter(closed)
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.select(*got.columns).collect()))
+    assert got.count() > 300
+
+
+def dirty(table):
+    rng = random.Random(31)
+    rows = []
+    for i in range(400):
+        k = rng.randrange(150)
+        rows.append((rng.choice(["", " "]) + f"p{k}", f"text {k}", float(k % 9) - 1, rng.choice(["a", "x", None]), i))
+    schema = "prompt_id string, response string, overall_score double, grade string, i int"
+    return table(rows, schema).withColumn("at", F.timestamp_seconds(F.col("i")))
+
+
+def test_copies_in_later_batches_are_dropped(spark, table, tmp_path):
+    df = dirty(table)
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_files(df, path, "i", 5)
+    stream = read_stream(spark, df, path, maxFilesPerTrigger=1)
+    clean = streams.clean_stream(stream, "at", "1 hour", ignore=["at", "i"])
+    streams.run_available(clean, streams.persist_batches(out), str(tmp_path / "ck"))
+    got = streams.read_persisted(spark, out, clean)
+    expected = clean_results(df.drop("at", "i"))
+    assert got.columns == df.columns and got.count() < 400
+    assert sorted(map(str, got.drop("at", "i").collect())) == sorted(map(str, expected.collect()))
+
+
+def test_state_of_copies_is_bounded(spark, table, tmp_path):
+    """Digests older than the watermark are dropped from the state; copies of such rows stay."""
+    rows = [(f"p{i % 60}", float(i % 60), i) for i in range(600)]
+    df = table(rows, "prompt_id string, overall_score double, i int").withColumn("at", F.timestamp_seconds(F.col("i") * 10))
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_files(df, path, "i", 6)
+    stream = read_stream(spark, df, path, maxFilesPerTrigger=1)
+    clean = streams.clean_stream(stream, "at", "100 seconds", ignore=["at", "i"])
+    query = streams.run_available(clean, streams.persist_batches(out), str(tmp_path / "ck"))
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 120
+    assert streams.read_persisted(spark, out, clean).count() > 60
+
+
+def test_repeated_ids_over_batches(spark, table, tmp_path):
+    df = dirty(table)
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_files(df, path, "i", 4)
+    stream = read_stream(spark, df, path, maxFilesPerTrigger=1)
+    repeated = streams.repeated_id_stream(stream, "at", "prompt_id", "1 day")
+    streams.run_updates(repeated, out, str(tmp_path / "ck"))
+    last = streams.read_persisted(spark, out, repeated).groupBy("prompt_id").agg(F.max("n").alias("n"))
+    assert sorted(map(str, last.collect())) == sorted(map(str, duplicated_keys(df).collect()))
