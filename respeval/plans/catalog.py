@@ -34,6 +34,7 @@ from respeval.operators.scoring import (
 from respeval.operators.tables import ragged_union
 from respeval.plans import relations as rel
 from respeval.plans import workflows
+from respeval.sources import bucketed, checked
 from respeval.sources import prompts as prompt_files
 from respeval.sources import results as io
 from respeval.sources.storage import work_path, write_and_read
@@ -727,6 +728,84 @@ def load_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.load_results(spark, path)
 
 
+def _broken_lines(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The documents as CSV lines without a header: some numbers are no numbers, some lines end early or late."""
+    docs = rel.load(spark, sf_dir, "documents").selectExpr(
+        "doc_id",
+        "CAST(doc_id AS STRING) AS id",
+        "lang",
+        "CASE WHEN doc_id % 20 = 7 THEN 'many' ELSE CAST(n_chars AS STRING) END AS n_chars",
+        "text",
+    )
+    line = F.to_csv(F.struct("id", "lang", "n_chars", "text"), {**io.CSV_OPTIONS, "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "header": "false"})
+    cut = F.concat_ws(",", "id", "lang")
+    late = F.concat(line, F.lit(",more"))
+    kind = F.col("doc_id") % 20
+    docs.select(F.when(kind == 8, cut).when(kind == 9, late).otherwise(line).alias("value")).write.text(path)
+
+
+CHECKED_SCHEMA = "id bigint, lang string, n_chars bigint, text string"
+
+
+def _checked_view(good: DataFrame, bad: DataFrame) -> DataFrame:
+    """Good rows, and the id at the start of a reject's text with the reason."""
+    found = good.select(F.col("id").alias("doc_id"), "lang", "n_chars", "text", F.lit(None).cast("string").alias("reason"))
+    number = F.regexp_extract("text", "^([0-9]+)", 1).cast("bigint").alias("doc_id")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("n_chars", "bigint"), ("text", "string"))]
+    return found.unionByName(bad.select(number, *nothing, "reason"))
+
+
+def rejected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with broken records: all others as rows, and what is wrong with those."""
+    path = work_path(spark, "broken")
+    _broken_lines(spark, sf_dir, path)
+    read = checked.read_checked(spark, path, CHECKED_SCHEMA, header=False)
+    return _checked_view(checked.good_rows(read), checked.rejects(read))
+
+
+def stream_rejected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream of files."""
+    path = work_path(spark, "broken")
+    _broken_lines(spark, sf_dir, f"{path}/in")
+    stream = checked.stream_checked(spark, f"{path}/in", CHECKED_SCHEMA, header=False, files_per_batch=4)
+    streams.run_available(stream, checked.checked_sink(f"{path}/out"), f"{path}/checkpoint")
+    good = spark.read.schema(f"{CHECKED_SCHEMA}, batch_id bigint").parquet(f"{path}/out/good")
+    bad = spark.read.schema("file string, text string, reason string, batch_id bigint").parquet(f"{path}/out/rejects")
+    return _checked_view(good, bad)
+
+
+def _streamed_csv(table: str, columns: dict[str, str], multi_line: bool):
+    """A table as CSV files, and back as a stream of them."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = work_path(spark, "stream-csv")
+        rows = rel.load(spark, sf_dir, table).select(*columns)
+        io.save_responses(rows.repartition(4), f"{path}/in", "csv")
+        schema = ", ".join(f"{c} {t}" for c, t in sorted(columns.items()))
+        stream = io.stream_results(spark, f"{path}/in", schema, files_per_batch=2, multi_line=multi_line)
+        return _persist(spark, stream, "streamed")
+
+    return query
+
+
+def _in_buckets(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
+    path = work_path(spark, "buckets")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    bucketed.save_bucketed(df, name, path, key, 8)
+    return bucketed.load_bucketed(spark, name)
+
+
+def pending_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = rel.load(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    done = rel.load(spark, sf_dir, "labels").select("doc_id")
+    return bucketed.pending_in_buckets(_in_buckets(spark, asked, "doc_id"), _in_buckets(spark, done, "doc_id"), "doc_id")
+
+
+def repeated_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _in_buckets(spark, _raw_results(spark, sf_dir).select("doc_id", "prompt_id"), "prompt_id")
+    return bucketed.repeated_in_buckets(raw).select("doc_id", "prompt_id")
+
+
 def load_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt files of up to 200 parts each, written and loaded."""
     path = work_path(spark, "prompts")
@@ -920,6 +999,16 @@ QUERIES = {
     "rule_length_within": _rule("length_within", max_len=RULE_MAX_WORDS),
     "rule_of_the_caller": rule_of_the_caller,
     "load_results": load_results,
+    "rejected_records": rejected_records,
+    "stream_rejected_records": stream_rejected_records,
+    "stream_csv": _streamed_csv(
+        "documents", {"doc_id": "bigint", "lang": "string", "n_chars": "bigint", "source": "string", "text": "string"}, True
+    ),
+    "stream_csv_lines": _streamed_csv(
+        "customer", {"c_custkey": "bigint", "c_name": "string", "c_acctbal": "double"}, False
+    ),
+    "pending_in_buckets": pending_in_buckets,
+    "repeated_in_buckets": repeated_in_buckets,
     "load_prompts": load_prompts,
     "result_callback": result_callback,
     "report_files": report_files,

@@ -544,6 +544,16 @@ SELECT event_type, ts, count(*) AS requests, any_value(calls_last_minute) AS cal
     AS utilization_percent
 FROM calls GROUP BY event_type, ts"""
 
+_REJECTED = {
+    7: "n_chars is no bigint: many",
+    8: "2 of 4 fields",
+    9: "more than 4 fields",
+}
+REJECTED = f"""SELECT doc_id, {", ".join(
+    f"CASE WHEN doc_id % 20 NOT IN (7, 8, 9) THEN {c} END AS {c}" for c in ("lang", "n_chars", "text"))},
+  CASE doc_id % 20 {" ".join(f"WHEN {k} THEN '{v}'" for k, v in _REJECTED.items())} END AS reason
+FROM documents"""
+
 CLEANED = f"""{_DIRTY},
 trimmed AS (
   SELECT DISTINCT trim(prompt_id) AS prompt_id,
@@ -715,6 +725,11 @@ FROM responses""",
     "overall_histogram": _histogram("overall_score", 10),
     "lint_prompts": LINT,
     "pending_prompts": """SELECT doc_id, lang, source FROM documents
+WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
+    "rejected_records": REJECTED,
+    "stream_rejected_records": REJECTED,
+    "stream_csv_lines": "SELECT c_custkey, c_name, c_acctbal FROM customer",
+    "pending_in_buckets": """SELECT doc_id, lang, source FROM documents
 WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "error_stats": f"""WITH t AS (
   {_select(rel.FAILURES, "events", "WHERE event_type = 'error'")}
@@ -762,6 +777,9 @@ SELECT prompt_id, round(overall_score, 6) AS overall_score, grade,
 FROM t WHERE grade IS DISTINCT FROM {_grade("overall_score")}""",
     "duplicate_ids": f"""{_RAW}
 SELECT doc_id, prompt_id FROM (SELECT *, count(*) OVER (PARTITION BY prompt_id) AS n FROM t)
+WHERE n > 1""",
+    "repeated_in_buckets": f"""{_RAW}
+SELECT doc_id, prompt_id FROM (SELECT *, count(*) OVER (PARTITION BY prompt_id) AS n FROM t)
 WHERE n > 1""",
     "clean_results": CLEANED,
     "stream_clean": CLEANED,
@@ -865,6 +883,7 @@ FROM documents""",
 FROM part""",
     "result_callback": "SELECT event_type, count(*) AS rows FROM events GROUP BY event_type",
     "csv_round_trip": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "stream_csv": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "json_round_trip": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "export_usage_log": f"""{WITH_USAGE}
 SELECT 'evt_' || event_id AS prompt_id, model, input_tokens, output_tokens,

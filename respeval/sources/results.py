@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from respeval.operators.costs import cost_summary, usage_log
 
-_CSV = {"header": True, "escape": '"', "quote": '"'}
+CSV_OPTIONS = {"header": True, "escape": '"', "quote": '"'}
 
 
 def load_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -20,7 +20,7 @@ def load_results(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
     files are read in parallel, and ``multi_line=False`` lets a file without line breaks in its
     values be split.
     """
-    return spark.read.options(**_CSV).option("multiLine", multi_line).csv(path)
+    return spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line).csv(path)
 
 
 def load_typed_results(
@@ -28,7 +28,7 @@ def load_typed_results(
 ) -> DataFrame:
     """The same with declared types; empty cells are null."""
     return (
-        spark.read.schema(schema).options(**_CSV).option("multiLine", multi_line).csv(path)
+        spark.read.schema(schema).options(**CSV_OPTIONS).option("multiLine", multi_line).csv(path)
     )
 
 
@@ -46,7 +46,7 @@ def stream_results(
     """
     reader = spark.readStream.schema(schema)
     if fmt == "csv":
-        reader = reader.options(**_CSV).option("multiLine", multi_line)
+        reader = reader.options(**CSV_OPTIONS).option("multiLine", multi_line)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.format(fmt).load(path)
@@ -69,7 +69,7 @@ def _flat(df: DataFrame) -> DataFrame:
 def save_responses(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
     """Write a table with its columns in name order as ``csv``, ``json`` or ``parquet``."""
     if fmt == "csv":
-        _flat(df).write.mode(mode).options(**_CSV).csv(path)
+        _flat(df).write.mode(mode).options(**CSV_OPTIONS).csv(path)
     elif fmt == "json":
         df.select(*sorted(df.columns)).write.mode(mode).json(path)
     elif fmt == "parquet":
