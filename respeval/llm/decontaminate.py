@@ -7,7 +7,8 @@ rolling hash of the rest is looked up, and every hit is verified word by word.
 
 The hash set is sent to all executors only up to ``max_words`` words of benchmark text. A larger
 benchmark is cut into slices of that size by item, each scanned in a pass of its own, and the hit
-ranges of all passes are united per document; the result is the same.
+words of all passes are united per text; the result is the same. One slice at a time is held, and what it
+hit is stored before the next one.
 
 Defined cases: a null or wordless text has no words and no hits; a null or wordless item has no
 windows; an item without id hits words but is not counted as an item; repeated
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from respeval.llm.common import blocks, id_and_text
+from respeval.llm.common import blocks, id_and_text, stored
+from respeval.sources.storage import broadcast_if_small
 
 WIDTH = 10
 # Words of benchmark text in one broadcast; about 100 bytes each in a worker.
@@ -106,16 +108,23 @@ def _digest(items) -> str:
     return hashlib.sha256(",".join(sorted(str(i) for i in items)).encode()).hexdigest()
 
 
-def _slices(benchmark: DataFrame, item_col: str, text_col: str, width: int, max_words: int):
-    """Window sets that each hold at most ``max_words`` words (or a single longer item)."""
+def _slices(
+    benchmark: DataFrame, item_col: str, text_col: str, width: int, max_words: int
+) -> tuple[int, Iterator[WindowSet]]:
+    """How many window sets there are, and the sets one by one: each of at most ``max_words`` words (or a
+    single longer item). Only the one that is asked for is held."""
     items = id_and_text(benchmark, item_col, text_col)
     size = F.coalesce(F.octet_length("text"), F.lit(0)) / 2 + 1
     total = items.agg(F.sum(size)).first()[0] or 0
     n = int(total // max_words) + 1
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))
-    for i in range(n):
-        rows = (items if n == 1 else items.filter(part == i)).collect()
-        yield WindowSet([(r.doc_id, r.text) for r in rows], width)
+
+    def sets() -> Iterator[WindowSet]:
+        for i in range(n):
+            rows = (items if n == 1 else items.filter(part == i)).collect()
+            yield WindowSet([(r.doc_id, r.text) for r in rows], width)
+
+    return n, sets()
 
 
 REPORT = (
@@ -135,14 +144,15 @@ def contamination(
 ) -> DataFrame:
     """Words, hit words and occurring items of every document.
 
-    Benchmarks beyond one slice need one pass each; rows are then united by (id, text digest).
+    A benchmark of one slice needs a single narrow pass. Otherwise the hits of every slice are stored by the digest
+    of the text before the next slice is built, and united where they meet the documents.
     """
     rows = id_and_text(docs, id_col, text_col)
     spark = docs.sparkSession
-    sets = list(_slices(benchmark, item_col, item_text_col, width, max_words))
+    n, slices = _slices(benchmark, item_col, item_text_col, width, max_words)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    if len(sets) == 1:
-        shared = spark.sparkContext.broadcast(sets[0])
+    if n == 1:
+        shared = spark.sparkContext.broadcast(next(slices))
 
         def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block in blocks(batches):
@@ -165,66 +175,95 @@ def contamination(
 
         return rows.mapInArrow(report, REPORT.format(id=id_type))
 
-    # Several slices: hit word numbers and items per pass, united per document.
-    passes = None
-    for part in sets:
-        shared = spark.sparkContext.broadcast(part)
+    found = _hits_of_slices(rows, slices)
+    joined = rows.withColumn("key", _text_key("text")).join(found, "key", "left").select("doc_id", "text", "marks", "items")
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            texts, marks, items = (block.column(c).to_pylist() for c in ("text", "marks", "items"))
+            counts = [len(_WORD.findall((t or "").encode().lower())) for t in texts]
+            hits = np.array([0 if m is None else int(_united(m).sum()) for m in marks], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    block.column("doc_id"),
+                    pa.array(counts, pa.int64()),
+                    pa.array(hits),
+                    pa.array([len(i or ()) for i in items], pa.int64()),
+                    pa.array([_digest(i or ()) for i in items], pa.string()),
+                    pa.array(hits > 0),
+                ],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+            )
+
+    return joined.mapInArrow(united, REPORT.format(id=id_type))
+
+
+def _text_key(name: str) -> Column:
+    return F.sha2(F.col(f"`{name}`"), 256)
+
+
+def _united(marks: list[bytes]) -> np.ndarray:
+    """One bit per word, set if any of the marks has it."""
+    bits = np.bitwise_or.reduce([np.frombuffer(m, dtype=np.uint8) for m in marks])
+    return np.unpackbits(bits)
+
+
+def _hits_of_slices(rows: DataFrame, slices: Iterator[WindowSet]) -> DataFrame:
+    """key, marks (bits of the hit words, one entry per slice) and items of all texts with hits.
+
+    One slice at a time is built, broadcast and scanned; its hits are stored, a row per text, before the next one.
+    """
+    texts = rows.select("text", _text_key("text").alias("key"))
+    all_hits = None
+    for part in slices:
+        shared = rows.sparkSession.sparkContext.broadcast(part)
 
         def hits(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for block in blocks(batches):
                 counts, mask, items = _scan_block(block.column("text").to_pylist(), shared.value)
                 ends = np.concatenate(([0], np.cumsum(counts)))
-                at = [np.flatnonzero(mask[a:b]).tolist() for a, b in zip(ends, ends[1:], strict=False)]
-                found = [[str(x) for x in items.get(i, set()) - {None}] for i in range(block.num_rows)]
+                at = sorted(items)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        block.column("doc_id"),
-                        block.column("text_key"),
-                        pa.array(counts),
-                        pa.array(at, pa.list_(pa.int64())),
-                        pa.array(found, pa.list_(pa.string())),
+                        block.column("key").take(pa.array(at, pa.int64())),
+                        pa.array([np.packbits(mask[ends[i] : ends[i + 1]]).tobytes() for i in at], pa.binary()),
+                        pa.array([[str(x) for x in items[i] - {None}] for i in at], pa.list_(pa.string())),
                     ],
-                    names=["doc_id", "text_key", "n_words", "at", "items"],
+                    names=["key", "mark", "items"],
                 )
 
-        one = rows.select("doc_id", "text", F.sha2("text", 256).alias("text_key")).mapInArrow(
-            hits, f"doc_id {id_type}, text_key string, n_words long, at array<long>, items array<string>"
-        )
-        one = one.withColumn("copies", F.lit(int(passes is None)))
-        passes = one if passes is None else passes.unionByName(one)
-    united = passes.groupBy("doc_id", "text_key").agg(
-        F.max("n_words").alias("n_words"),
-        F.sum("copies").alias("copies"),
-        F.array_distinct(F.flatten(F.collect_set("at"))).alias("at"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        one = texts.mapInArrow(hits, "key string, mark binary, items array<string>").dropDuplicates(["key"])
+        one = stored(one, "hits")
+        shared.destroy()
+        all_hits = one if all_hits is None else all_hits.unionByName(one)
+    united = all_hits.groupBy("key").agg(
+        F.collect_list("mark").alias("marks"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    return united.select(
-        "doc_id",
-        "n_words",
-        F.size("at").cast("long").alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.size("at") > 0).alias("contaminated"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-    ).drop("copy")
+    return broadcast_if_small(united)
 
 
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = WIDTH,
     max_words: int = MAX_WORDS, item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """The documents without any hit, with all their columns; one narrow pass per slice."""
-    kept = docs
-    for part in _slices(benchmark, item_col, item_text_col, width, max_words):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
+    """The documents without any hit, with all their columns.
 
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for block in blocks(batches, text_col):
-                _, _, items = _scan_block(block.column(text_col).to_pylist(), shared.value)
-                yield block.filter(pa.array([i not in items for i in range(block.num_rows)]))
+    One narrow pass for a benchmark of one slice; else the texts with hits are found slice by slice, and left out.
+    """
+    n, slices = _slices(benchmark, item_col, item_text_col, width, max_words)
+    if n > 1:
+        rows = docs.select(F.col(f"`{text_col}`").alias("text"))
+        found = _hits_of_slices(rows, slices).select(F.col("key").alias("__key"))
+        return docs.join(found, _text_key(text_col) == F.col("__key"), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(next(slices))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, text_col):
+            _, _, items = _scan_block(block.column(text_col).to_pylist(), shared.value)
+            yield block.filter(pa.array([i not in items for i in range(block.num_rows)]))
 
-        kept = kept.mapInArrow(clean, docs.schema)
-    return kept
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def remove_spans(
@@ -233,32 +272,15 @@ def remove_spans(
 ) -> DataFrame:
     """All documents, their hit words cut out of the text; other columns unchanged.
 
-    Every slice is scanned in the whole text, in one narrow pass each. A column of bits, one for each
-    word, takes the hits from pass to pass; after the last one they are cut out together.
+    Every slice is scanned in the whole text, one after the other; the hits of all are cut out together.
     """
     marks = "__hits"
     while marks in docs.columns:
         marks += "_"
-    kept = docs.withColumn(marks, F.lit(None).cast("binary"))
-    marked = kept.schema
-    for part in _slices(benchmark, item_col, item_text_col, width, max_words):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
-
-        def mark(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for block in blocks(batches, text_col):
-                counts, mask, items = _scan_block(block.column(text_col).to_pylist(), shared.value)
-                ends = np.concatenate(([0], np.cumsum(counts)))
-                place = block.schema.get_field_index(marks)
-                bits = block.column(place).to_pylist()
-                for i in items:
-                    hit = np.packbits(mask[ends[i] : ends[i + 1]])
-                    if bits[i] is not None:
-                        hit |= np.frombuffer(bits[i], dtype=np.uint8)
-                    bits[i] = hit.tobytes()
-                field = block.schema.field(place)
-                yield block.set_column(place, field, pa.array(bits, field.type))
-
-        kept = kept.mapInArrow(mark, marked)
+    _, slices = _slices(benchmark, item_col, item_text_col, width, max_words)
+    found = _hits_of_slices(docs.select(F.col(f"`{text_col}`").alias("text")), slices)
+    found = found.select(F.col("key").alias(f"{marks}_key"), F.col("marks").alias(marks))
+    kept = docs.join(found, _text_key(text_col) == F.col(f"{marks}_key"), "left").drop(f"{marks}_key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text_col):
@@ -267,7 +289,7 @@ def remove_spans(
                 if hits is None:
                     continue
                 raw, low = texts[i].encode(), texts[i].encode().lower()
-                mask = np.unpackbits(np.frombuffer(hits, dtype=np.uint8))
+                mask = _united(hits)
                 out, at = [], 0
                 for hit, m in zip(mask.tolist(), _WORD.finditer(low), strict=False):
                     if hit:

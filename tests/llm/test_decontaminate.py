@@ -115,3 +115,32 @@ def test_long_texts_and_empty_tables(table, spark):
     assert (row.n_hit, row.n_items, row.contaminated) == (0, 0, False)
     empty = spark.createDataFrame([], SCHEMA)
     assert decontaminate.contamination(empty, table(items, ITEMS)).count() == 0
+
+
+def test_one_slice_at_a_time(table, monkeypatch):
+    """Fifty slices: never more than one built set is held, and the result is that of one slice."""
+    import weakref
+
+    rng = random.Random(12)
+    items = [(i, prose(rng, 15)) for i in range(50)]
+    docs = [(i, f"{prose(rng, 20)} {items[i][1] if i % 2 else ''} {items[-1 - i][1]}") for i in range(24)]
+    alive, most = weakref.WeakSet(), []
+
+    build = decontaminate.WindowSet.__init__
+
+    def counted(self, *args):
+        build(self, *args)
+        alive.add(self)
+        most.append(len(alive))
+
+    one = decontaminate.contamination(table(docs, "doc_id long, text string"), table(items, "item_id long, text string")).collect()
+    size = sum(len(t.encode()) / 2 + 1 for _, t in items)
+    monkeypatch.setattr(decontaminate.WindowSet, "__init__", counted)
+    for use in (decontaminate.contamination, decontaminate.drop_contaminated, decontaminate.remove_spans):
+        most.clear()
+        df = use(
+            table(docs, "doc_id long, text string"), table(items, "item_id long, text string"), max_words=int(size // 50) + 1
+        )
+        assert len(most) >= 45 and max(most) <= 2  # the one before goes when the next is there
+        if use is decontaminate.contamination:
+            assert sorted(map(tuple, df.collect())) == sorted(map(tuple, one))
