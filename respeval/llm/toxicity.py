@@ -32,11 +32,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from respeval.llm.common import blocks
 
 # Labelled documents the model is fitted on: the first of them in the order of a hash of the id.
 SAMPLE_ROWS = 4000
+# Bytes of text in the sample; a text that does not fit any more is left out whole.
+SAMPLE_BYTES = 64 << 20
 THRESHOLD = 0.3
 WINDOW = 32
 
@@ -259,9 +262,11 @@ def train(
     docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
     text_col: str = "text", label_col: str = "toxic",
 ) -> Field:
-    """Fit on the labelled documents that are not held out, at most ``sample_rows`` ids of them.
+    """Fit on the labelled documents that are not held out: at most ``sample_rows`` ids, as many texts, and
+    ``SAMPLE_BYTES`` of text.
 
-    Only the sample is brought to the driver; which ids it holds depends on the ids alone.
+    Only the sample is brought to the driver; what it holds depends on ids and texts alone. A text of an id counts once,
+    however often it is repeated. Of every document, all windows with a candidate word and one other are learned from.
     """
     key = F.col(f"`{id_col}`")
     known = labels.select(key.alias("id"), F.col(f"`{label_col}`").alias("label"))
@@ -269,8 +274,18 @@ def train(
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     rows = docs.select(key.alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.join(F.broadcast(chosen), "id").select("text", "label").collect()
-    return fit([(r.text, int(r.label > 0)) for r in rows])
+    rows = rows.join(F.broadcast(chosen), "id").withColumn("digest", F.xxhash64("text"))
+    sizes = rows.groupBy("id", "digest").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
+    sizes = sizes.orderBy(F.xxhash64("id"), "id", "digest").limit(sample_rows).collect()
+    picked, left = [], SAMPLE_BYTES
+    for r in sizes:
+        if r["size"] <= left:
+            picked.append((r["id"], r["digest"]))
+            left -= r["size"]
+    kind = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("digest", T.LongType())])
+    wanted = docs.sparkSession.createDataFrame(picked, kind)
+    rows = rows.join(F.broadcast(wanted), ["id", "digest"]).dropDuplicates(["id", "digest"])
+    return fit([(r.text, int(r.label > 0)) for r in rows.select("text", "label").collect()])
 
 
 SPANS = "array<struct<start:int,end:int,p:double>>"

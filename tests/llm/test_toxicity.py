@@ -113,3 +113,19 @@ def test_held_out_accuracy_on_given_documents(spark):
     # A tenth of the labels is noise.
     assert sum(r.toxic for r in hit) >= 0.95 * len(hit)
     assert sum(r.toxic for r in hit) >= 0.85 * sum(r.toxic for r in rows)
+
+
+def test_sample_is_bounded(spark, table, monkeypatch):
+    """One id on a third of all rows, with many texts and copies; texts beyond the bytes are left out whole."""
+    rng = random.Random(3)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda sample: seen.append(sample))
+    rows = [(i if i % 3 else 1, prose(rng, 12) if i % 2 else "the same text") for i in range(900)]
+    rows.append((5, "x" * 100_000))
+    docs = table(rows, "doc_id long, text string")
+    labels = table([(i, i % 2) for i in range(900)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 40_000)
+    toxicity.train(docs, labels, sample_rows=50)
+    (sample,) = seen
+    assert len(sample) <= 50 and sum(len(t) for t, _ in sample) <= 40_000
+    assert len({t for t, _ in sample}) > 1 and ("x" * 100_000, 1) not in sample
