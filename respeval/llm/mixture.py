@@ -9,9 +9,10 @@ of its documents whose words come nearest to the rest: a document is taken if at
 lies within the rest.
 
 All steps are DataFrame operations. The prefix sums never gather a source: documents are counted into
-a fixed number of ranges of the key, the sums of the ranges give the one range in which the rest of a
-source ends, and only that range is sorted. The outcome is one cut key per source, so choosing
-documents is a comparison, joined to the documents by source; texts are not moved.
+a fixed number of ranges of the key, and the sums of the ranges give the one range in which the rest of a
+source ends. If many documents are in that range, as in a source of low quality, whose keys lie close together, it is
+cut into ranges again, and so on; only the last, short one is sorted. The outcome is one cut key per source, so
+choosing documents is a comparison, joined to the documents by source; texts are not moved.
 
 Defined cases: a null or empty text has no words and can be taken without using up anything; a null
 source is a source of its own, last in order; documents with equal key, id and digest are taken
@@ -31,6 +32,9 @@ from respeval.sources.storage import broadcast_if_small
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 RANGES = 1024
+# A range of up to so many documents is sorted by one task; a longer one is cut again, so often at most.
+SORTED = 20_000
+CUTS = 8
 SEED = 17
 
 
@@ -91,6 +95,51 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def _narrowed(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows (source, size, key, id, tie, part, before, rest) of the short ranges in which the rest ends, and per
+    source the last row of the ranges before these.
+
+    A range with more than ``SORTED`` rows is cut between its smallest and its largest key, and the sums of
+    its ranges are added to ``before``. Rows with one and the same key are not cut.
+    """
+    grain = ["source", "part", "before"]
+    passed = None
+    for _ in range(CUTS):
+        rows = stored(rows, "range")
+        edges = rows.groupBy(*grain).agg(
+            F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")
+        )
+        edges = edges.filter((F.col("n") > SORTED) & (F.col("high") > F.col("low")))
+        edges = stored(edges.select(*[F.col(g).alias(f"of_{g}") for g in grain], "low", "high"), "edges")
+        if edges.isEmpty():
+            break
+        # As many as there are sources, and edges without words beside them.
+        same = _same(F.col("source"), F.col("of_source")) & (F.col("part") == F.col("of_part"))
+        same &= F.col("before") == F.col("of_before")
+        placed = rows.join(broadcast_if_small(edges), same, "left")
+        share = (F.col("key") - F.col("low")) / (F.col("high") - F.col("low"))
+        number = F.least(F.lit(RANGES - 1), F.floor(share * RANGES)).cast("int")
+        placed = placed.withColumn("number", F.coalesce(number, F.lit(-1)))
+        sums = placed.groupBy(*grain, "rest", "number").agg(
+            F.sum("size").alias("sum"), F.max(F.struct("key", "id", "tie")).alias("last")
+        )
+        over = W.partitionBy(*grain).orderBy("number").rowsBetween(W.unboundedPreceding, -1)
+        sums = stored(sums.withColumn("inner", F.col("before") + F.coalesce(F.sum("sum").over(over), F.lit(0))), "sums")
+        here = (F.col("inner") <= F.col("rest")) & (F.col("inner") + F.col("sum") >= F.col("rest"))
+        ends = sums.filter(here | (F.col("number") == -1))
+        ends = ends.select(*[F.col(g).alias(f"in_{g}") for g in grain], F.col("number").alias("in_number"), "inner")
+        # What ends within the rest before these ranges is taken.
+        done = sums.filter((F.col("number") >= 0) & (F.col("inner") + F.col("sum") < F.col("rest")))
+        done = done.groupBy("source").agg(F.max("last").alias("cut"))
+        passed = done if passed is None else passed.unionByName(done)
+        inside = _same(F.col("source"), F.col("in_source")) & (F.col("number") == F.col("in_number"))
+        for g in grain[1:]:
+            inside &= F.col(g) == F.col(f"in_{g}")
+        rows = placed.join(broadcast_if_small(ends), inside)
+        rows = rows.select("source", "size", "key", "id", "tie", "part", F.col("inner").alias("before"), "rest")
+    return rows, passed
+
+
 def cuts(keyed: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """Per source: its size, target, complete epochs, and the cut (key, id, tie) of the last part.
 
@@ -115,12 +164,15 @@ def cuts(keyed: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     ends = ends.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("sum") >= F.col("rest")))
     ends = ends.select(F.col("source").alias("s"), F.col("part").alias("p"), "before", "rest")
     rows = ranged.join(broadcast_if_small(ends), _same(F.col("source"), F.col("s")) & (F.col("part") == F.col("p")))
-    by_key = W.partitionBy("source", "part").orderBy("key", "id", "tie").rowsBetween(W.unboundedPreceding, -1)
+    rows, passed = _narrowed(rows.select("source", "size", "key", "id", "tie", "part", "before", "rest"))
+    by_key = W.partitionBy("source", "part", "before").orderBy("key", "id", "tie").rowsBetween(W.unboundedPreceding, -1)
     ahead = F.col("before") + F.coalesce(F.sum("size").over(by_key), F.lit(0))
     rows = rows.withColumn("ahead", ahead)
     # Half of the document at least lies within the rest.
     rows = rows.filter(2 * F.col("ahead") + F.col("size") <= 2 * F.col("rest"))
     last = rows.groupBy("source").agg(F.max(F.struct("key", "id", "tie")).alias("cut"))
+    if passed is not None:
+        last = last.unionByName(passed).groupBy("source").agg(F.max("cut").alias("cut"))
     # If nothing of that range is taken, the cut is the end of the ranges before it.
     first = ends.groupBy("s").agg(F.min("p").alias("p")).withColumn(
         "edge", -F.log(1 - F.col("p").cast("double") / RANGES)

@@ -67,6 +67,42 @@ def test_selection_is_a_prefix_in_key_order(table):
         assert times == sorted(times, reverse=True) and max(times) - min(times) <= 1
 
 
+@pytest.mark.parametrize("quality", ["word ", "0123 ", "mixed"])
+def test_long_ranges_are_cut_again(table, monkeypatch, quality):
+    """The same choice however short the ranges are that are sorted; keys of low quality lie close together."""
+    rng = random.Random(14)
+    words = {"word ": ["word "], "0123 ": ["0123 "], "mixed": ["word ", "0123 ", "a1 "]}[quality]
+    rows = [(i, rng.choice(words) * rng.choice([0, 1, 3, 50]), rng.choice("aaab")) for i in range(2500)]
+    rows += [(None, "copy " * 3, "a")] * 40 + [(7000, "w " * 3000, "c")]
+    docs = table(rows, "doc_id long, text string, source string")
+    expected = sorted(map(str, mixture.mix(docs).collect()))
+    sorted_rows = []
+    real = mixture._narrowed
+
+    def narrowed(rows):
+        out = real(rows)
+        sorted_rows.append(max((r["count"] for r in out[0].groupBy("source", "part", "before").count().collect()), default=0))
+        return out
+
+    monkeypatch.setattr(mixture, "_narrowed", narrowed)
+    monkeypatch.setattr(mixture, "SORTED", 5)
+    for ranges, most in ((1024, 45), (3, 700)):
+        monkeypatch.setattr(mixture, "RANGES", ranges)
+        assert sorted(map(str, mixture.mix(docs).collect())) == expected
+        assert sorted_rows[-1] <= most
+
+
+def test_a_source_of_digits(table, monkeypatch):
+    """No range of a hundredth of the source or more is sorted."""
+    monkeypatch.setattr(mixture, "SORTED", 200)
+    docs = table([(i, "12345 678", "low") for i in range(20_000)] + [(-1, "a " * 90_000, "z")], "doc_id long, text string, source string")
+    keyed = mixture._keyed(docs, "doc_id", "text", "source", 17)
+    real, seen = mixture._narrowed, []
+    monkeypatch.setattr(mixture, "_narrowed", lambda rows: seen.append((rows.count(), real(rows))) or seen[-1][1])
+    mixture.cuts(keyed, weights=(1, 9)).collect()
+    assert seen[0][1][0].count() <= 200
+
+
 def test_better_texts_come_earlier(table):
     rows = [(i, "word " * 10 if i % 2 else "#1; " * 10, "a") for i in range(2000)] + [(5000, "x " * 40_000, "b")]
     got = mixture.mix(table(rows, "doc_id long, text string, source string"), weights=(1, 39)).collect()
