@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from respeval.llm.common import blocks, stored
+from respeval.llm.common import blocks, most_frequent, stored
 from respeval.llm.toxicity import held_out
 
 UNKNOWN = "und"
@@ -330,8 +330,8 @@ def score_words(words: DataFrame, model: Model) -> DataFrame:
 
 def _frequent(scored: DataFrame, n_languages: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """The most frequent words with the ends, languages and scores of their entries."""
-    most = max(1, min(FREQUENT_WORDS, FREQUENT_SCORES // max(n_languages, 1)))
-    top = scored.orderBy(F.desc("total"), "word").limit(most).select("word", "langs", "scores").toArrow()
+    most = min(FREQUENT_WORDS, FREQUENT_SCORES // max(n_languages, 1))
+    top = most_frequent(scored, "total", most).select("word", "langs", "scores").toArrow()
     langs, values = top.column("langs").combine_chunks(), top.column("scores").combine_chunks()
     ends = np.concatenate([[0], np.cumsum(langs.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
     return top.column("word").to_pylist(), ends, langs.flatten().to_numpy(), values.flatten().to_numpy()

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respeval.llm.common import blocks, stored
+from respeval.llm.common import blocks, most_frequent, stored
 
 # Fixed value: how a byte-level vocabulary cuts texts into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -424,7 +424,7 @@ def pair_counts(documents: DataFrame, n_ids: int) -> DataFrame:
 
 def _top(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The most frequent pairs in order, with their counts and whether they are best."""
-    top = counts.orderBy(F.desc("count"), "pair").limit(FREQUENT_PAIRS).toArrow()
+    top = most_frequent(counts, "count", FREQUENT_PAIRS).toArrow()
     pair, count, best = (top.column(c).to_numpy() for c in ("pair", "count", "best"))
     order = np.argsort(pair)
     return pair[order], count[order], best[order].astype(bool)

@@ -57,6 +57,14 @@ def test_few_rows(table):
     assert common.range_cuts(table([(None,), (None,)], "k long"), ["k"], 9) == [(None,)]
 
 
+def test_most_frequent(table):
+    counts = [1] * 50 + [2] * 20 + [9] * 5 + [1000, 2**40]
+    df = table([(i, c) for i, c in enumerate(counts)], "i int, n long")
+    for most, expected in ((0, 0), (1, 1), (6, 2), (7, 7), (26, 7), (27, 27), (76, 27), (77, 77)):
+        assert common.most_frequent(df, "n", most).count() == expected
+    assert common.most_frequent(df.limit(0), "n", 5).count() == 0
+
+
 def test_time_grows_with_the_logarithm(spark):
     """8,000 cuts take less than twice as long as 40."""
     rows = np.random.default_rng(1).permutation(300_000)
