@@ -277,6 +277,8 @@ def quality_report_table(df: DataFrame) -> DataFrame:
 
 # Whole numbers up to this size are exact as doubles.
 _EXACT_WHOLE = 2**53
+# So many different values, of all columns together, are held by one task.
+FEW_VALUES = 200_000
 
 
 def cell(df: DataFrame, name: str) -> tuple[Column, Column]:
@@ -301,14 +303,46 @@ def cell(df: DataFrame, name: str) -> tuple[Column, Column]:
     return no_number, c.cast("string")
 
 
+def _with_few_values(
+    df: DataFrame, report: DataFrame, names: list[str], few: list[int], numeric: list[str]
+) -> DataFrame:
+    """The report with exact distinct values and medians of the columns ``few``, from one aggregate."""
+    if not few:
+        return report
+    found = []
+    for i in few:
+        number, key = cell(df, names[i])
+        there = F.when(number.isNotNull() | key.isNotNull(), F.struct(number.alias("n"), key.alias("k")))
+        median = F.lit(None).cast("double")
+        if names[i] in numeric:
+            c = df[names[i]].cast("double")
+            median = F.percentile(F.when(~F.isnan(c), c), F.lit(0.5))
+        found += [F.size(F.collect_set(there)).alias(f"__size_{i}"), median.alias(f"__middle_{i}")]
+    rows = [
+        F.struct(
+            F.lit(i).alias("__place"),
+            F.col(f"__size_{i}").cast("bigint").alias("__size"),
+            F.col(f"__middle_{i}").cast("double").alias("__middle"),
+        )
+        for i in few
+    ]
+    exact = df.agg(*found).select(F.inline(F.array(*rows)))
+    joined = report.join(F.broadcast(exact), F.col("place") == F.col("__place"), "left")
+    return joined.withColumns(
+        {"unique_values": F.coalesce("__size", "unique_values"), "median": F.coalesce("__middle", "median")}
+    ).drop("__place", "__size", "__middle")
+
+
 def quality_report_columns(
     df: DataFrame, approximate: bool = False, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Per column: type, nulls, distinct values, and for numbers mean, median, std, min, max.
 
-    Counts and moments come from one aggregate over the table. Distinct values and medians need
-    the values themselves: they are counted per (column, value) before they move, once for both.
-    ``approximate=True`` takes sketches for both instead, which leaves a single pass.
+    Counts and moments come from one aggregate over the table, which runs when this is called and estimates the
+    distinct values as well. For columns with few of them, a second aggregate finds distinct values and median.
+    Only the values of the other columns are moved: they are counted per (column, value) before, once for both.
+    ``approximate=True`` takes sketches for both instead, which leaves a single pass; ``operators.summaries`` keeps
+    such sketches and merges them.
     """
     names = list(columns or df.columns)
     kinds = {n: df.schema[n].dataType for n in names}
@@ -328,10 +362,12 @@ def quality_report_columns(
                 aggregates.append(f(known(n)).alias(f"__{label}_{i}"))
             if approximate:
                 aggregates.append(F.percentile_approx(known(n), 0.5).alias(f"__median_{i}"))
-        if approximate:
-            either = F.coalesce(*[part.cast("string") for part in reversed(cell(df, n))])
-            aggregates.append(F.approx_count_distinct(either).alias(f"__unique_{i}"))
+        either = F.coalesce(*[part.cast("string") for part in reversed(cell(df, n))])
+        aggregates.append(F.approx_count_distinct(either).alias(f"__unique_{i}"))
     wide = df.agg(*aggregates)
+    if not approximate:
+        estimates = wide.first()  # one row, as wide as the table
+        wide = df.sparkSession.createDataFrame([estimates], wide.schema)
 
     def stat(i: int, label: str, available: bool) -> Column:
         return (F.col(f"__{label}_{i}") if available else F.lit(None)).cast("double").alias(label)
@@ -347,9 +383,7 @@ def quality_report_columns(
                 F.lit(kinds[n].simpleString()).alias("dtype"),
                 nulls.cast("bigint").alias("null_count"),
                 (F.try_divide(nulls, F.col("__total")) * 100).alias("null_percentage"),
-                (F.col(f"__unique_{i}") if approximate else F.lit(None))
-                .cast("bigint")
-                .alias("unique_values"),
+                (F.col(f"__unique_{i}") if approximate else F.lit(None)).cast("bigint").alias("unique_values"),
                 stat(i, "mean", is_number),
                 stat(i, "median", is_number and approximate),
                 stat(i, "std", is_number),
@@ -363,9 +397,18 @@ def quality_report_columns(
     if approximate:
         return report.drop("place")
 
+    few, room = [], FEW_VALUES
+    for i in sorted(range(len(names)), key=lambda i: estimates[f"__unique_{i}"]):
+        room -= estimates[f"__unique_{i}"]
+        if room >= 0:
+            few.append(i)
+    report = _with_few_values(df, report, names, few, numeric)
+    many = [i for i in range(len(names)) if i not in few]
+    if not many:
+        return report.drop("place")
     cells = []
-    for i, n in enumerate(names):
-        number, key = cell(df, n)
+    for i in many:
+        number, key = cell(df, names[i])
         cells.append(
             F.struct(F.lit(i).alias("column"), number.alias("value"), key.alias("key"))
         )
@@ -387,8 +430,8 @@ def quality_report_columns(
     report = (
         report.join(F.broadcast(distinct), "place", "left")
         .join(F.broadcast(medians), "place", "left")
-        .withColumn("unique_values", F.coalesce("__unique", F.lit(0)).cast("bigint"))
-        .withColumn("median", F.col("__median"))
+        .withColumn("unique_values", F.coalesce("__unique", "unique_values", F.lit(0)).cast("bigint"))
+        .withColumn("median", F.coalesce("__median", "median"))
     )
     return report.select(
         "column", "dtype", "null_count", "null_percentage", "unique_values",
