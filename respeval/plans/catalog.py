@@ -922,7 +922,8 @@ def stream_trailing_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _arrivals(spark: SparkSession, path: str, table: DataFrame) -> DataFrame:
     """The rows as a stream in three batches, with the time at which each arrived."""
-    timed = table.withColumn("at", F.timestamp_seconds(F.col("doc_id")))
+    # A stream's watermark begins at 1970, so arrivals lie well after it.
+    timed = table.withColumn("at", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id")))
     for i in range(3):
         timed.filter(F.pmod(F.col("doc_id"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(path)

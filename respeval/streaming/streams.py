@@ -98,6 +98,7 @@ def clean_stream(
 
     State holds one digest per row of that time, spread by digest, and no row. ``time`` is when a row arrived:
     it and what else is in ``ignore`` (by default only ``time``) does not tell rows apart, and the first row's stays.
+    Rows that arrive behind the watermark, which begins at 1970, are dropped.
     """
     left_out = set([time] if ignore is None else ignore)
     rows = trimmed_strings(results)
