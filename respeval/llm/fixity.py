@@ -7,10 +7,11 @@ below. Two replicas are compared from their roots down: only children of ranges
 looked at, so damage is found with as many comparisons as the tree is deep, and only records in
 differing ranges of the lowest level are compared themselves.
 
-Both trees are over the primary's offsets. A replica has its own: after a record that was lost, added
-or has another length, all others lie elsewhere. So the primary's index is the manifest, and the
-replica's records are placed where their keys begin in it. Keys that it does not have, and records
-beyond the place of their key, are compared without the tree.
+Both trees are over the primary's ranges. A replica has offsets of its own: after a record that was lost, added or
+has another length, all others lie elsewhere. So the primary's index is the manifest: the first keys of its
+ranges cut the keys, and every record of either replica belongs to the range that its key falls in. Each
+replica is hashed by itself; a lost, added or longer record changes the range of its key and no other, and
+keys of both replicas meet only in ranges that differ.
 
 The offsets come from the archive's index: prefix sums over ranges of the key, so no task sees more
 than one range.
@@ -36,6 +37,8 @@ FANOUT = 16
 HEADER = 128
 # Records in a range of the key for the prefix sums.
 KEYS = 50_000
+# Ranges of the lowest level, at most; their first keys are broadcast.
+MOST_CUTS = 100_000
 
 
 def archive_index(pages: DataFrame, key: str, target: str, payload: str) -> DataFrame:
@@ -85,31 +88,31 @@ def depth(size: int) -> int:
     return levels
 
 
-def _starts(index: DataFrame) -> DataFrame:
-    """Where the records of every key begin, and the first byte behind them."""
-    return index.groupBy("key").agg(
-        F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("end")
-    )
-
-
-def _placed(primary: DataFrame, replica: DataFrame) -> DataFrame:
-    """The replica's records with their place by the primary's offsets, null where it has none.
+def manifest(primary: DataFrame) -> tuple[list[tuple], int]:
+    """The keys that cut the primary into ranges of ``RANGE`` bytes, and the parts in which a range is hashed.
 
-    The records of a key are placed from where that key begins in the primary, whatever was lost, added
-    or has another length before it.
+    Above ``MOST_CUTS`` ranges they are as many times as long, and hashed in as many parts; so is a range whose only key
+    has many records.
     """
-    theirs = _starts(replica).select("key", F.col("start").alias("own"))
-    ours = _starts(primary).select(F.col("key").alias("known"), "start", "end")
-    starts = theirs.join(ours, F.col("key").eqNullSafe(F.col("known"))).select("known", "own", "start", "end")
-    rows = replica.join(broadcast_if_small(starts), F.col("key").eqNullSafe(F.col("known")), "left")
-    place = F.col("offset") - F.col("own") + F.col("start")
-    return rows.select("key", "offset", "length", "digest", F.when(place < F.col("end"), place).alias("place"))
+    size = primary.agg(F.max(F.col("offset") + 1)).first()[0] or 0
+    wide = max(1, -(-size // (RANGE * MOST_CUTS)))
+    node = F.floor(F.col("offset") / (RANGE * wide))
+    firsts = primary.groupBy(node.alias("node")).agg(F.min("key").alias("key"))
+    cuts = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).orderBy("key").collect()
+    longest = max((r["n"] for r in cuts), default=1)
+    return [(r["key"],) for r in cuts if r["key"] is not None], min(RANGE, wide * longest)
 
 
-def _hashed(placed: DataFrame) -> DataFrame:
-    """What the tree is over: places, and hashes of the keys with the digests."""
+def _hashed(placed: DataFrame, parts: int) -> DataFrame:
+    """What the tree is over: hashes of the records' keys with their digests, or of the parts of a range."""
     name = F.coalesce(F.concat(F.lit("="), F.col("key").cast("string")), F.lit(""))
-    return placed.select(F.col("place").alias("offset"), F.sha2(F.concat(name, F.lit("\n"), "digest"), 256).alias("digest"))
+    start = F.col("range").cast("long") * RANGE
+    rows = placed.select(start.alias("offset"), F.sha2(F.concat(name, F.lit("\n"), "digest"), 256).alias("digest"))
+    if parts == 1:
+        return rows
+    dealt = rows.groupBy("offset", F.pmod(F.crc32("digest"), F.lit(parts)).alias("part"))
+    whole = dealt.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256).alias("digest"))
+    return whole.select((F.col("offset") + F.col("part")).alias("offset"), "digest")
 
 
 def _same(left: DataFrame, right: DataFrame, number: str, *names: str) -> DataFrame:
@@ -131,11 +134,12 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     there); offset, length and digest are the primary's, those of extra records the replica's. Of
     several records with one key, equal ones are matched first, the rest in their order.
     """
-    mine = primary.withColumn("place", F.col("offset"))
-    other = stored(_placed(primary, replica), "placed")
-    levels = depth(primary.agg(F.max(F.col("offset") + 1)).first()[0] or 0)
-    a_tree = stored(tree(_hashed(mine), levels), "tree")
-    b_tree = stored(tree(_hashed(other.filter("place is not null")), levels), "tree")
+    cuts, parts = manifest(primary)
+    mine = with_range(primary, ["key"], cuts, "range")
+    other = with_range(replica, ["key"], cuts, "range")
+    levels = depth((len(cuts) + 1) * RANGE)
+    a_tree = stored(tree(_hashed(mine, parts), levels), "tree")
+    b_tree = stored(tree(_hashed(other, parts), levels), "tree")
     bad = None
     for level in range(levels - 1, -1, -1):
         a = a_tree.filter(F.col("level") == level).select("node", F.col("digest").alias("a"))
@@ -148,12 +152,10 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
         bad = stored(differ.select("node"), "differing")
         if bad.isEmpty():
             break
-    ranges = broadcast_if_small(bad.select(F.col("node").alias("range")))
-    inside = F.floor(F.col("place") / RANGE) == F.col("range")
-    good = mine.join(ranges, inside, "left_anti").drop("place").withColumn("status", F.lit("ok"))
-    # Records without a place are compared as they are.
-    a = mine.join(ranges, inside, "left_semi")
-    b = other.join(ranges, inside, "left_semi").unionByName(other.filter("place is null"))
+    ranges = broadcast_if_small(bad.select(F.col("node").alias("bad")))
+    inside = F.col("range") == F.col("bad")
+    good = mine.join(ranges, inside, "left_anti").drop("range").withColumn("status", F.lit("ok"))
+    a, b = (side.join(ranges, inside, "left_semi") for side in (mine, other))
     first = stored(_same(a, b, "offset", "digest"), "compared")
     equal = first.filter("a is not null and b is not null").select("a.*", F.lit("ok").alias("status"))
     left = first.filter("b is null").select("a.*")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from respeval.llm import fixity
@@ -86,6 +87,37 @@ def test_audit_finds_exactly_the_damage(table, monkeypatch):
     assert {r.status for r in fixity.audit(primary, primary).collect()} == {"ok"}
 
 
+@pytest.mark.parametrize("cuts", [100_000, 7, 1])
+def test_one_key_on_most_records(table, monkeypatch, cuts):
+    """Ranges that one key fills, or that are long, are hashed in parts; damage is found as ever."""
+    monkeypatch.setattr(fixity, "RANGE", 2000)
+    monkeypatch.setattr(fixity, "MOST_CUTS", cuts)
+    rng = random.Random(8)
+    rows = [(5 if i % 3 else i, f"u{i}", "x" * rng.randrange(300), None, None) for i in range(240)]
+    other = [r for r in rows if r[1] not in ("u7", "u33")] + [(5, "new", "y", None, None)]
+    other = [(*r[:2], "changed", None, None) if r[1] == "u60" else r for r in other]
+    found, parts = fixity.manifest(index(table, rows))
+    assert len(found) <= cuts and parts > 1
+    got = fixity.audit(index(table, rows), index(table, other)).collect()
+    bad = sorted((r.status, r.key) for r in got if r.status != "ok")
+    assert bad == [("corrupt", 5), ("corrupt", 60), ("missing", 33)] and len(got) == len(rows)
+
+
+def test_keys_meet_only_where_ranges_differ(table, monkeypatch):
+    """No join of all keys: the records that are joined are those of differing ranges."""
+    monkeypatch.setattr(fixity, "RANGE", 3000)
+    rows = [(f"http://{i:04}", f"u{i}", "x" * (i % 700), None, None) for i in range(400)]
+    other = [r for r in rows if r[0] != "http://0200"] + [("http://0300/a", "more", "z" * 5000, None, None)]
+    seen = []
+    taken = fixity._same
+    monkeypatch.setattr(fixity, "_same", lambda a, b, *rest: seen.append(a.count() + b.count()) or taken(a, b, *rest))
+    schema = "page_id string, url string, html string, offset string, digest int"
+    one, two = (fixity.archive_index(table(r, schema), "page_id", "url", "html") for r in (rows, other))
+    bad = sorted((r.status, r.key) for r in fixity.audit(one, two).collect() if r.status != "ok")
+    assert bad == [("extra", "http://0300/a"), ("missing", "http://0200")]
+    assert seen[0] < 60
+
+
 def test_replica_with_an_archive_of_its_own(table, monkeypatch):
     """Lost, inserted, shorter and longer records shift all later offsets of the replica."""
     monkeypatch.setattr(fixity, "RANGE", 5000)
