@@ -42,16 +42,6 @@ RAW_RESULTS = _table(
     prompt_tokens=_long,
     response_tokens=_long,
 )
-SCORED_RESULTS = _table(
-    prompt_id=_string,
-    response=_string,
-    overall_score=_double,
-    score_accuracy=_double,
-    score_reasoning=_double,
-    score_tone=_double,
-    score_completeness=_double,
-    grade=_string,
-)
 USAGE = _table(
     run=_string,
     timestamp=T.TimestampType(),
@@ -61,11 +51,3 @@ USAGE = _table(
     output_tokens=_long,
     cost=_double,
 )
-FAILURES = _table(
-    prompt_id=_string,
-    error_type=_string,
-    error_message=_string,
-    timestamp=T.TimestampType(),
-    retry_count=T.IntegerType(),
-    severity=_string,
-)
