@@ -965,7 +965,7 @@ def stream_usage_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_budget_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The usage arrives in four parts, in order; the stream goes on from its checkpoint each time.
 
-    Parts begin with requests whose cost is not known. State and alerts follow after two parts each.
+    Parts begin with requests whose cost is not known. State and alerts follow at the end, batch by batch.
     """
     path = work_path(spark, "stream-budget")
     parts = running.slice_table(rel.usage(spark, sf_dir), USAGE_ORDER, 4).persist()
@@ -975,7 +975,7 @@ def stream_budget_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         part.write.mode("append").parquet(f"{path}/in")
         usage = price_requests(spark.readStream.schema(schema).parquet(f"{path}/in"))
         usage = usage.withColumn("cost", F.expr(rel.KNOWN_COST))
-        if i % 2:
+        if i == 3:
             alerts = budget.follow_budget(usage, f"{path}/out", BUDGET, USAGE_ORDER, f"{path}/checkpoint")
         else:
             streams.run_available(usage, budget.usage_sink(f"{path}/out", USAGE_ORDER), f"{path}/checkpoint")

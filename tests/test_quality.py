@@ -6,7 +6,6 @@ import statistics
 
 import pytest
 
-from respeval.operators import quality
 from respeval.operators.quality import (
     clean_results,
     duplicate_ids,
@@ -164,26 +163,3 @@ def test_column_report(table, approximate):
 def test_column_report_of_empty_table(table, one):
     row = one(quality_report_columns(table([], "x double")))
     assert (row["null_count"], row["null_percentage"], row["unique_values"]) == (0, None, 0)
-
-
-@pytest.mark.parametrize("few", [0, 30, 200_000])
-def test_column_report_with_few_or_many_values(table, monkeypatch, few):
-    """The same report whichever columns are held by one task."""
-    monkeypatch.setattr(quality, "FEW_VALUES", few)
-    rng = random.Random(5)
-    rows = [
-        (rng.choice([None, 1.5, -0.0, 0.0, float("nan")]), rng.choice([2**60 + i, 7, None]), rng.choice("abc"), i, None, [i % 4])
-        for i in range(500)
-    ]
-    df = table(rows, "few double, large long, s string, i int, none double, l array<int>")
-    got = {r.column: r for r in quality.quality_report_columns(df).collect()}
-    assert list(got) == df.columns or set(got) == set(df.columns)
-    for name in df.columns:
-        values = [r[name] for r in df.collect() if r[name] is not None and r[name] == r[name]]
-        assert got[name].unique_values == len({str(v) if isinstance(v, list) else v for v in values}), name
-        if name in ("few", "large", "i") and values:
-            values = sorted(map(float, values))
-            middle = (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2
-            assert got[name].median == pytest.approx(middle), name
-        else:
-            assert got[name].median is None
