@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from respeval.functions import cost as cost_functions
 from respeval.functions import sanitize
@@ -920,22 +923,32 @@ def stream_trailing_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _arrivals(spark: SparkSession, path: str, table: DataFrame) -> DataFrame:
-    """The rows as a stream in three batches, with the time at which each arrived."""
+def _arrivals(
+    spark: SparkSession, path: str, table: DataFrame, run: Callable[[DataFrame], StreamingQuery]
+) -> None:
+    """The rows arrive in three parts, with the time of each; ``run`` goes on from its checkpoint after every part.
+
+    A part has as many files as there were tasks that read the table.
+    """
     # A stream's watermark begins at 1970, so arrivals lie well after it.
     timed = table.withColumn("at", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id")))
     for i in range(3):
-        timed.filter(F.pmod(F.col("doc_id"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        timed.filter(F.pmod(F.col("doc_id"), F.lit(3)) == i).write.mode("append").parquet(path)
+        run(spark.readStream.schema(timed.schema).parquet(path))
 
 
 def stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results that arrive in three batches, copies among them in any, cleaned as they come."""
     docs = rel.load(spark, sf_dir, "documents")
     results = rel.derive(docs, rel.DIRTY_SCORES | {"doc_id": "doc_id"})
-    arrived = _arrivals(spark, work_path(spark, "stream-clean"), results)
-    cleaned = streams.clean_stream(arrived, "at", "1000 days", ignore=["at", "doc_id"])
-    return _persist(spark, cleaned, "stream-cleaned").select(
+    path = work_path(spark, "stream-clean")
+
+    def run(arrived: DataFrame) -> StreamingQuery:
+        cleaned = streams.clean_stream(arrived, "at", "1000 days", ignore=["at", "doc_id"])
+        return streams.run_available(cleaned, streams.persist_batches(f"{path}/out"), f"{path}/checkpoint")
+
+    _arrivals(spark, f"{path}/in", results, run)
+    return streams.read_persisted(spark, f"{path}/out", results).select(
         "prompt_id",
         "response",
         *[r6(c) for c in ("overall_score", "score_accuracy", "score_tone")],
@@ -945,11 +958,14 @@ def stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids that recur in a stream of raw results, with their last counts."""
-    arrived = _arrivals(spark, work_path(spark, "stream-ids"), _raw_results(spark, sf_dir).select("doc_id", "prompt_id"))
-    repeated = streams.repeated_id_stream(arrived, "at", "prompt_id", "3650 days")
-    path = work_path(spark, "stream-repeated")
-    streams.run_updates(repeated, f"{path}/out", f"{path}/checkpoint")
-    stored = streams.read_persisted(spark, f"{path}/out", repeated)
+    path = work_path(spark, "stream-ids")
+
+    def run(arrived: DataFrame) -> StreamingQuery:
+        repeated = streams.repeated_id_stream(arrived, "at", "prompt_id", "3650 days")
+        return streams.run_updates(repeated, f"{path}/out", f"{path}/checkpoint")
+
+    _arrivals(spark, f"{path}/in", _raw_results(spark, sf_dir).select("doc_id", "prompt_id"), run)
+    stored = spark.read.schema("prompt_id string, n bigint, batch_id bigint").parquet(f"{path}/out")
     return stored.groupBy("prompt_id").agg(F.max("n").alias("n"))
 
 

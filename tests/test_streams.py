@@ -12,6 +12,7 @@ from respeval.operators.quality import clean_results, duplicated_keys
 from respeval.operators.rates import request_rate
 from respeval.operators.running import budget_alerts
 from respeval.operators.scoring import score_responses
+from respeval.plans import catalog
 from respeval.sources.results import save_responses, stream_results
 from respeval.streaming import budget, streams, trailing
 from tests.test_text import random_texts
@@ -280,3 +281,20 @@ def test_repeated_ids_over_batches(spark, table, tmp_path):
     streams.run_updates(repeated, out, str(tmp_path / "ck"))
     last = streams.read_persisted(spark, out, repeated).groupBy("prompt_id").agg(F.max("n").alias("n"))
     assert sorted(map(str, last.collect())) == sorted(map(str, duplicated_keys(df).collect()))
+
+
+def test_arrivals_are_written_by_many_tasks(spark, tmp_path):
+    """Three parts, each with a file per task that read the table, and a run after each that sees only its part."""
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df = spark.range(0, 600, 1, 4).select(F.col("id").alias("doc_id"), (F.col("id") % 250).cast("string").alias("prompt_id"))
+    files = []
+
+    def run(arrived):
+        files.append(len(spark.read.parquet(path).inputFiles()))
+        return streams.run_available(arrived, streams.persist_batches(out), str(tmp_path / "ck"))
+
+    catalog._arrivals(spark, path, df, run)
+    assert files == [4, 8, 12]
+    stored = spark.read.parquet(out).groupBy("batch_id").agg(F.count("*"), F.count_distinct(F.col("doc_id") % 3), F.min("at"))
+    assert [(n, kinds) for _, n, kinds, _ in sorted(stored.collect())] == [(200, 1)] * 3
+    assert spark.read.parquet(out).select("doc_id", "prompt_id").exceptAll(df).count() == 0
