@@ -298,3 +298,16 @@ def test_arrivals_are_written_by_many_tasks(spark, tmp_path):
     stored = spark.read.parquet(out).groupBy("batch_id").agg(F.count("*"), F.count_distinct(F.col("doc_id") % 3), F.min("at"))
     assert [(n, kinds) for _, n, kinds, _ in sorted(stored.collect())] == [(200, 1)] * 3
     assert spark.read.parquet(out).select("doc_id", "prompt_id").exceptAll(df).count() == 0
+
+
+def test_repeated_ids_of_a_table_of_many_files(spark, tmp_path, monkeypatch):
+    """The query's counts, of copies within a part and over parts; no task takes a part, or the table, alone."""
+    rows = [(i, f"text {i % 170}" if i % 7 else None, "en", "src1", 9) for i in range(480)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(catalog, "work_path", lambda spark, name: str(tmp_path / "work" / name))
+    got = catalog.stream_repeated_ids(spark, str(tmp_path))
+    expected = docs.groupBy(F.md5("text").alias("prompt_id")).agg(F.count("*").alias("n")).filter("n > 1")
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    names = [str(f) for f in (tmp_path / "work").rglob("*.parquet") if f.is_file()]
+    assert len([f for f in names if "batch_id=" not in f]) == 12
