@@ -778,14 +778,15 @@ def stream_rejected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed_csv(table: str, columns: dict[str, str], multi_line: bool):
-    """A table as CSV files, and back as a stream of them."""
+    """A table as CSV files, at least four and as many as its size calls for, and back as a stream of them in two batches."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = work_path(spark, "stream-csv")
         rows = rel.load(spark, sf_dir, table).select(*columns)
-        io.save_responses(rows.repartition(4), f"{path}/in", "csv")
+        files = io.file_count(rows, least=4)
+        io.save_responses(rows.repartition(files), f"{path}/in", "csv")
         schema = ", ".join(f"{c} {t}" for c, t in sorted(columns.items()))
-        stream = io.stream_results(spark, f"{path}/in", schema, files_per_batch=2, multi_line=multi_line)
+        stream = io.stream_results(spark, f"{path}/in", schema, files_per_batch=-(-files // 2), multi_line=multi_line)
         return _persist(spark, stream, "streamed")
 
     return query

@@ -311,3 +311,18 @@ def test_repeated_ids_of_a_table_of_many_files(spark, tmp_path, monkeypatch):
     assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
     names = [str(f) for f in (tmp_path / "work").rglob("*.parquet") if f.is_file()]
     assert len([f for f in names if "batch_id=" not in f]) == 12
+
+
+def test_streamed_csv_has_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    """More files for a larger table, still in two batches; records with line breaks, quotes and nulls are whole."""
+    rows = [(i, f'line {i}\n"quoted", {"x" * 300}' if i % 9 else None, "en", f"src{i % 4}", i) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(catalog, "work_path", lambda spark, name: str(tmp_path / "work" / name))
+    monkeypatch.setattr(catalog.io, "FILE_BYTES", 20_000, raising=False)
+    got = catalog.QUERIES["stream_csv"](spark, str(tmp_path))
+    assert sorted(map(str, got.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    written = [f for f in (tmp_path / "work").rglob("*.csv") if f.is_file()]
+    assert len(written) >= 13 and max(f.stat().st_size for f in written) < 30_000
+    batches = {f.parent.name for f in (tmp_path / "work").rglob("*.parquet") if f.is_file()}
+    assert batches == {"batch_id=0", "batch_id=1"}
