@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from respeval.functions.scores import DEFAULT_WEIGHTS
 from respeval.operators import baselines, reports
 from respeval.operators.costs import cost_by_model, cost_summary, row_cost
 from respeval.operators.execute import (
@@ -19,7 +21,7 @@ from respeval.operators.regression import regression_report, run_verdict
 from respeval.operators.scoring import Rubric, score_responses
 from respeval.sources.prompts import load_prompts
 from respeval.sources.results import load_baseline, save_as_baseline, save_report
-from respeval.sources.storage import remove
+from respeval.sources.storage import remove, write_and_read
 from respeval.streaming.answers import execute_resumable
 
 
@@ -51,11 +53,26 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def _report_columns(scored: DataFrame) -> DataFrame:
+    """The columns that reports read: scores and defects, no texts; of a table without scores the first as well."""
+    read = {*DEFAULT_WEIGHTS, "aggregated_score", "overall_score", "defects"}
+    names = [c for c in scored.columns if c.lower() in read or c.lower().startswith("score_")]
+    if not {"aggregated_score", "overall_score"} & set(names) and scored.columns[0] not in names:
+        names.insert(0, scored.columns[0])
+    return scored.select(*[F.col(f"`{c}`") for c in names])
+
+
 def write_reports(scored: DataFrame, path: str) -> dict[str, str]:
     """Write the report tables of a scored table; returns name -> path of those that worked.
 
-    A report that fails, for example for want of its column, does not stop the others.
+    The columns that reports read are stored first, so that a table that is scored as it is read is scored once. A
+    report that fails, for example for want of its column, does not stop the others; nor does a column that
+    cannot be stored, without which each report reads the given table.
     """
+    try:
+        scored = write_and_read(_report_columns(scored), "scored")
+    except (PySparkException, ValueError, IndexError) as e:
+        warnings.warn(f"scores are not stored: {e}", stacklevel=2)
     written = {}
     for name, build in REPORTS.items():
         try:

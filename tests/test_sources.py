@@ -8,10 +8,12 @@ from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from respeval import schemas
 from respeval.operators.costs import price_requests
 from respeval.plans.workflows import (
+    REPORTS,
     check_run,
     evaluate,
     score_results,
@@ -193,3 +195,30 @@ def test_one_failing_report_does_not_stop_the_others(table, tmp_path):
 def test_schemas_name_the_stored_columns():
     assert schemas.RAW_RESULTS.names[:3] == ["prompt_id", "prompt", "response"]
     assert schemas.PROMPT_FILE["prompts"].dataType.elementType == schemas.PROMPT
+
+
+def test_reports_score_a_table_once(spark, tmp_path):
+    """A table that is scored as it is read is scored once for all reports, and its texts are not stored."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(i):
+        calls.add(1)
+        return i % 5 + 0.5
+
+    named = [F.col("id").cast("string").alias("prompt_id"), F.lit("D01, D02").alias("defects")]
+    df = spark.range(0, 40, 1, 2).select(*named, score("id").alias("overall_score"))
+    written = write_reports(df, str(tmp_path / "r"))
+    assert set(written) == set(REPORTS) and calls.value == 40
+    (stats,) = spark.read.json(written["statistics"]).collect()
+    assert (stats.total_evaluations, stats.mean_overall) == (40, 2.5)
+    assert {(r.defect, r["count"]) for r in spark.read.json(written["defect_summary"]).collect()} == {("D01", 40), ("D02", 40)}
+
+
+def test_reports_of_a_table_that_cannot_be_stored(table, tmp_path):
+    """A column that fails stops only the reports that read it."""
+    df = table([("a", 3.0)], "prompt_id string, overall_score double")
+    df = df.withColumn("defects", F.when(F.col("overall_score") < 9, F.raise_error(F.lit("no defects"))).cast("string"))
+    with pytest.warns(UserWarning, match="defect_summary"):
+        written = write_reports(df, str(tmp_path / "r"))
+    assert set(written) == set(REPORTS) - {"defect_summary"}
