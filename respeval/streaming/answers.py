@@ -20,6 +20,9 @@ from respeval.operators.prompts import pending_prompts
 from respeval.sources.results import load_baseline
 
 QUESTIONS_PER_FILE = 1000
+# A batch takes a second besides its calls, so without a given size there are so many at most, of so many files at least.
+BATCHES = 32
+FILES_PER_BATCH = 8
 _QUESTION = "digest string, prompt string"
 _ANSWER = f"digest string, {RESULT_SCHEMA}, timestamp timestamp"
 
@@ -47,10 +50,17 @@ def answer_questions(
     fn: Callable[[str], str],
     model: str = DEFAULT_MODEL,
     concurrency: int | None = None,
-    files_per_batch: int = 8,
+    files_per_batch: int | None = None,
     then: Callable[[int], None] | None = None,
 ) -> StreamingQuery:
-    """Ask all questions that have no answer yet, some files at a time; ``then`` is called after each batch."""
+    """Ask all questions that have no answer yet, some files at a time; ``then`` is called after each batch.
+
+    Without ``files_per_batch`` a batch has ``FILES_PER_BATCH`` files, or more where the questions would take over
+    ``BATCHES`` batches: the calls a lost driver repeats are those of one batch.
+    """
+    if files_per_batch is None:
+        files = len(spark.read.schema(_QUESTION).parquet(f"{path}/questions").inputFiles())
+        files_per_batch = max(FILES_PER_BATCH, -(-files // BATCHES))
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         named = batch.select(F.col("digest").alias("prompt_id"), "prompt")
@@ -91,7 +101,7 @@ def execute_resumable(
     model: str = DEFAULT_MODEL,
     concurrency: int | None = None,
     per_file: int = QUESTIONS_PER_FILE,
-    files_per_batch: int = 8,
+    files_per_batch: int | None = None,
 ) -> DataFrame:
     """``execute_prompts`` with its answers logged under ``path``; a call after a failure goes on from there.
 

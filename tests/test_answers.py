@@ -94,3 +94,17 @@ def test_evaluate_goes_on(spark, tmp_path):
     assert not os.path.exists(f"{out}/calls")
     evaluate(spark, str(tmp_path / "prompts"), fn, out)  # a run that came to its end starts anew
     assert set(calls(folder).values()) == {2}
+
+
+def test_a_large_run_has_no_more_batches(spark, tmp_path, monkeypatch):
+    """Many files of questions are answered in a bounded number of batches, each question once."""
+    monkeypatch.setattr(answers, "BATCHES", 3, raising=False)
+    folder, path = tmp_path / "calls", str(tmp_path / "log")
+    folder.mkdir()
+    asked = spark.createDataFrame([(str(i), f"prompt {i}") for i in range(100)], "id string, text string")
+    answers.submit_prompts(asked, path, "m", per_file=2)
+    assert len([f for f in os.listdir(f"{path}/questions") if f.endswith(".parquet")]) >= 50
+    results = answers.execute_resumable(asked, noting(folder), path, "m", 2)
+    assert results.count() == 100 and set(calls(folder).values()) == {1} and len(calls(folder)) == 100
+    batches = [f for f in os.listdir(f"{path}/answers") if f.startswith("batch_id=")]
+    assert 2 <= len(batches) <= 3
